@@ -78,6 +78,15 @@ class TopicModel(FoldIn):
     def fold_in(self, corpus: Corpus, background: str = "reestimate") -> FoldIn:
         return self.trainer.fold_in(corpus, self, background)
 
+    def log_likelihood(self, corpus: Corpus) -> DataFrame:
+        """(doc_id, loglik) of the documents the model was fitted to, the prior of theta included."""
+        return self.trainer.log_likelihood(corpus, self)
+
+    def drop(self) -> None:
+        """Delete the model's tables."""
+        for table in self.owned:
+            table.drop()
+
 
 class Plsa:
     """Probabilistic latent semantic analysis with a fixed number of rounds."""
@@ -114,6 +123,11 @@ class Plsa:
         run.go(frozen=True)
         return FoldIn(run.theta.select("doc_id", *run.ts()), run.perplexities, owned=run.kept())
 
+    def log_likelihood(self, corpus: Corpus, model: TopicModel) -> DataFrame:
+        run = self._start(corpus, model.word_phi)
+        run.theta = model.theta
+        return run.document_likelihoods()
+
     # -- parts the robust model replaces -----------------------------------
 
     def _start(self, corpus: Corpus, phi: Stored | DataFrame) -> "_Run":
@@ -260,6 +274,12 @@ class _Run:
 
     # -- perplexity ------------------------------------------------------------
 
+    def document_likelihoods(self) -> DataFrame:
+        sums = self.rows().groupBy("doc_id").agg(F.sum(self.log_likelihood()).alias("ll"))
+        joined = self.theta.join(sums.hint("shuffle_hash"), "doc_id", "left")
+        prior = self.trainer.theta_prior.log_prior(self.ts())
+        return joined.select("doc_id", (F.coalesce("ll", F.lit(0.0)) + prior).alias("loglik"))
+
     def final_likelihood(self) -> float:
         return self.rows().agg(F.sum(self.log_likelihood())).first()[0] or 0.0
 
