@@ -82,6 +82,12 @@ def lookup_words(counts: DataFrame, vocabulary: Vocabulary, limit: int = BROADCA
     return frequent.unionByName(rare.join(words.where(F.col("word_id") >= head), "token"))
 
 
+def bag_of_words(docs: DataFrame, vocabulary: Vocabulary, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """(doc_id, token, n) of (doc_id, text) rows; words outside the vocabulary are dropped."""
+    counts = document_counts(docs, choose_buckets(docs, vocabulary.occurrences))
+    return lookup_words(counts, vocabulary, limit).select("doc_id", "token", "n")
+
+
 @dataclass
 class Corpus:
     """documents(doc_id, length), vocabulary, and bow(doc_id, word_id, n).
@@ -98,12 +104,6 @@ class Corpus:
     broadcast_bytes: int = BROADCAST_BYTES
     owned: list[Stored] = field(default_factory=list)
 
-    def token_bow(self) -> DataFrame:
-        """(doc_id, token, n)."""
-        words = self.vocabulary.frame.select("word_id", "token")
-        head = self.vocabulary.head(limit=self.broadcast_bytes)
-        return join_words(self.bow, words, head, self.vocabulary.size).select("doc_id", "token", "n")
-
     def drop(self) -> None:
         """Delete the bag of words and document tables (not the vocabulary)."""
         for stored in self.owned:

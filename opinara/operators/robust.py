@@ -136,19 +136,26 @@ class _RobustRun(_Run):
             F.sum("x").alias("total_noise"),
             F.sum(likelihood).alias("ll"),
         )
-        sums = sums.withColumn("new_s", ratio_or(F.lit(1.0), F.col("total_noise"), F.lit(0.0)))
-        return self.store_theta(sums, ("new_s",))
+        # Within a document theta is constant, so it multiplies the sums, not the rows.
+        old = self.theta.select("doc_id", *self.ts())
+        expected = sums.join(old.hint("shuffle_hash"), "doc_id").select(
+            "doc_id",
+            "ll",
+            ratio_or(F.lit(1.0), F.col("total_noise"), F.lit(0.0)).alias("new_s"),
+            *[(F.col(f"d{k}") * t).alias(f"r{k}") for k, t in enumerate(self.ts())],
+        )
+        return self.store_theta(expected, ("new_s",))
 
     def robust_phi(self, weights: DataFrame, frozen: bool) -> Stored:
         joined = weights.join(self.theta.hint("shuffle_hash"), "doc_id")
         topics = [] if frozen else [F.sum(F.col("share") * t).alias(f"w{k}") for k, t in enumerate(self.ts())]
         sums = joined.groupBy("word_id").agg(*topics, F.sum("share").alias("wb"))
         background = F.lit(self.trainer.gamma) * F.col("bg") * F.coalesce("wb", F.lit(0.0))
-        counts = [] if frozen else self.counts()
-        new = self.phi.join(sums, "word_id", "left").select(
-            "word_id", *self.ps(), *counts, background.alias("b")
-        )
-        return store(new, "phi")
+        new = self.phi.join(sums, "word_id", "left").withColumn("b", background)
+        if frozen:
+            return store(new.select("word_id", *self.ps(), "b"), "phi")
+        new = new.withColumns({f"r{k}": F.col(f"w{k}") * p for k, p in enumerate(self.ps())})
+        return store(new.select("word_id", *self.ps(), *self.counts(), "b"), "phi")
 
     def advance(self, theta: Stored, phi: Stored | None, frozen: bool) -> None:
         old_phi = self.phi_table

@@ -1,12 +1,13 @@
 """PLSA and robust PLSA by expectation maximisation over DataFrames.
 
-One round reads the bag of words, looks up each row's topic mixture of the
-document and word probabilities, and aggregates twice: by document and by
-word.  The tables keyed by document share their bucketing, the word table is
-joined by ``join_words``; so per round only partial sums by word and the rare
-words beyond the broadcast limit are shuffled.  The tables hold one column
-per topic (``t0..`` by document, ``p0..`` by word), which keeps the sums in
-generated code.
+One round passes over the bag of words once.  Each row meets the mixture of
+its document and the probabilities of its word, and one aggregation over two
+grouping sets gives the expected counts by document and by word.  The bag and
+the document table share their bucketing and the word table is joined by
+``join_words``, so the bag itself does not move: only partial sums and the
+rare words beyond the broadcast limit are shuffled.  The tables hold one
+column per topic (``t0..`` by document, ``p0..`` by word), which keeps the
+sums in generated code.
 """
 
 from __future__ import annotations
@@ -194,23 +195,47 @@ class _Run:
     def log_likelihood() -> Column:
         return F.when(F.col("z") > 0, F.col("n") * F.ln("z")).otherwise(F.lit(MINUS_INFINITY))
 
+    def expected(self) -> list[Column]:
+        """Expected count of the row's word per topic."""
+        return [(F.col("share") * p * t).alias(f"r{k}") for k, (p, t) in enumerate(zip(self.ps(), self.ts()))]
+
     def go(self, frozen: bool) -> None:
         for _ in range(self.trainer.iterations):
             prior = self.log_priors()
-            theta, likelihood = self.next_theta()
-            phi = None if frozen else self.next_phi()
+            if frozen:
+                theta, likelihood = self.store_theta(self.sums_by_document())
+                phi = None
+            else:
+                sums = self.store_sums()
+                theta, likelihood = self.store_theta(sums.frame.where("kind = 'document'").drop("kind", "word_id"))
+                phi = self.store_phi(sums.frame.where("kind = 'word'").drop("kind", "doc_id"))
+                sums.drop()
             self.note_perplexity(likelihood, prior)
             self.advance(theta, phi)
         if self.trainer.perplexity:
             self.note_perplexity(self.final_likelihood(), self.log_priors())
 
-    def next_theta(self) -> tuple[Stored, float]:
+    def store_sums(self) -> Stored:
+        """Expected counts and log likelihoods, by document and by word from the same pass."""
         rows = self.rows().withColumn("share", self.share()).withColumn("ll", self.log_likelihood())
-        sums = rows.groupBy("doc_id").agg(
-            *[F.sum(F.col("share") * p).alias(f"d{k}") for k, p in enumerate(self.ps())],
-            F.sum("ll").alias("ll"),
+        sums = (
+            rows.select("doc_id", "word_id", "ll", *self.expected())
+            .groupingSets([["doc_id"], ["word_id"]], "doc_id", "word_id")
+            .agg(
+                F.when(F.grouping("doc_id") == 0, "document").otherwise("word").alias("kind"),
+                *[F.sum(f"r{k}").alias(f"r{k}") for k in self.ks],
+                F.sum("ll").alias("ll"),
+            )
+        )
+        return store(sums, "sums", "kind")
+
+    def sums_by_document(self) -> DataFrame:
+        """The same by document only; follows the bucketing, without a shuffle."""
+        rows = self.rows().withColumn("share", self.share()).withColumn("ll", self.log_likelihood())
+        rows = rows.select("doc_id", "ll", *self.expected())
+        return rows.groupBy("doc_id").agg(
+            *[F.sum(f"r{k}").alias(f"r{k}") for k in self.ks], F.sum("ll").alias("ll")
         )
-        return self.store_theta(sums)
 
     def store_theta(self, sums: DataFrame, keep: tuple[str, ...] = ()) -> tuple[Stored, float]:
         """Regularise and normalise; documents without words or counts keep their mixture."""
@@ -222,7 +247,7 @@ class _Run:
             *keep,
             *self.ts(),
             *[
-                prior.regularize(F.coalesce(t * F.col(f"d{k}"), F.lit(0.0)), t).alias(f"c{k}")
+                prior.regularize(F.coalesce(f"r{k}", F.lit(0.0)), t).alias(f"c{k}")
                 for k, t in enumerate(self.ts())
             ],
         ).withColumn("total", add([F.col(f"c{k}") for k in self.ks]))
@@ -236,19 +261,16 @@ class _Run:
         likelihood = table.frame.agg(F.sum("ll")).first()[0] if self.trainer.perplexity else None
         return table, likelihood or 0.0
 
-    def next_phi(self) -> Stored:
-        rows = self.rows().withColumn("share", self.share())
-        sums = rows.groupBy("word_id").agg(
-            *[F.sum(F.col("share") * t).alias(f"w{k}") for k, t in enumerate(self.ts())]
-        )
-        return store(self.phi.join(sums, "word_id", "left").select("word_id", *self.ps(), *self.counts()), "phi")
+    def store_phi(self, sums: DataFrame) -> Stored:
+        """Regularised counts ``c`` beside the old ``p``; every word of the vocabulary stays."""
+        joined = self.phi.join(sums, "word_id", "left")
+        return store(joined.select("word_id", *self.ps(), *self.counts()), "phi")
 
     def counts(self) -> list[Column]:
         """Regularised counts by word; words without any count take part with zero."""
         prior = self.trainer.phi_prior
         return [
-            prior.regularize(F.coalesce(p * F.col(f"w{k}"), F.lit(0.0)), p).alias(f"c{k}")
-            for k, p in enumerate(self.ps())
+            prior.regularize(F.coalesce(f"r{k}", F.lit(0.0)), p).alias(f"c{k}") for k, p in enumerate(self.ps())
         ]
 
     def normalised(self, counts: DataFrame, *others: Column) -> DataFrame:

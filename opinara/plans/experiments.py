@@ -105,7 +105,7 @@ def rank_instance(
     closest = closest_nth_points(points_of(vectors), centers).select(
         "cluster_id", F.col("doc_id").alias("closest_doc_id"), F.col("distance").alias("closest_distance")
     )
-    return (
+    ranking = (
         best.select("doc_id", "prediction")
         .join(furthest, "doc_id")
         .join(closest, "cluster_id")
@@ -119,3 +119,6 @@ def rank_instance(
             "closest_distance",
         )
     )
+    row = ranking.collect()  # one row
+    vectors.unpersist()
+    return reviews.sparkSession.createDataFrame(row, ranking.schema)

@@ -200,7 +200,8 @@ def vocabulary(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def bag_of_words(spark: SparkSession, folder: str) -> DataFrame:
-    return corpus.build_corpus(texts(spark, folder)).token_bow()
+    docs = texts(spark, folder)
+    return corpus.bag_of_words(docs, corpus.build_vocabulary(text.frequent_tokens(docs)))
 
 
 @query

@@ -62,10 +62,10 @@ class Stored:
         filesystem.delete(hadoop_path, True)
 
 
-def store(frame: DataFrame, name: str) -> Stored:
+def store(frame: DataFrame, name: str, partition_by: str | None = None) -> Stored:
     spark = frame.sparkSession
     path = new_path(spark, name)
-    frame.write.parquet(path)
+    frame.write.parquet(path, partitionBy=partition_by)
     return Stored(spark.read.schema(frame.schema).parquet(path), path)
 
 
