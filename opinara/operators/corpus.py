@@ -2,20 +2,18 @@
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.operators.rowids import Numbered, number_rows
-from opinara.operators.text import RARE_TOKEN_THRESHOLD, document_counts, frequent_tokens
+from opinara.operators.text import RARE_TOKEN_THRESHOLD, choose_buckets, document_counts
 from opinara.sources.state import Stored, store_bucketed
 
 # A side is broadcast only below this estimate of its size on an executor.
 BROADCAST_BYTES = 256 << 20
 _ROW_OVERHEAD = 64
-_ROWS_PER_BUCKET = 32_000_000
 
 
 @dataclass
@@ -84,7 +82,7 @@ def lookup_words(counts: DataFrame, vocabulary: Vocabulary, limit: int = BROADCA
 
 def bag_of_words(docs: DataFrame, vocabulary: Vocabulary, limit: int = BROADCAST_BYTES) -> DataFrame:
     """(doc_id, token, n) of (doc_id, text) rows; words outside the vocabulary are dropped."""
-    counts = document_counts(docs, choose_buckets(docs, vocabulary.occurrences))
+    counts = document_counts(docs, choose_buckets(docs.select("doc_id", "text")))
     return lookup_words(counts, vocabulary, limit).select("doc_id", "token", "n")
 
 
@@ -122,15 +120,6 @@ def join_words(rows: DataFrame, by_word: DataFrame, head: int, size: int) -> Dat
     return frequent.unionByName(rare)
 
 
-def choose_buckets(frame: DataFrame, occurrences: int) -> int:
-    """One bucket per free task slot at least, more when the collection needs them."""
-    spark = frame.sparkSession
-    slots = min(
-        int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism
-    )
-    return max(1, slots, math.ceil(occurrences / _ROWS_PER_BUCKET))
-
-
 def _assemble(
     counts: DataFrame, ids: DataFrame, vocabulary: Vocabulary, buckets: int, limit: int, partitioned: bool
 ) -> Corpus:
@@ -157,16 +146,24 @@ def build_corpus(
     threshold: int = RARE_TOKEN_THRESHOLD,
     vocabulary: Vocabulary | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    buckets: int | None = None,
 ) -> Corpus:
     """Corpus of (doc_id, text) rows with unique ids.
 
-    With a given ``vocabulary`` the words outside it are dropped, as needed to
-    fold new documents into a fitted model.
+    The texts are tokenised once: their counts are written in the buckets that
+    the bag of words keeps, and the vocabulary is taken from the counts.  With
+    a given ``vocabulary`` the words outside it are dropped, as needed to fold
+    new documents into a fitted model.
     """
-    vocabulary = vocabulary or build_vocabulary(frequent_tokens(docs, threshold))
-    buckets = choose_buckets(docs, vocabulary.occurrences)
+    buckets = buckets or choose_buckets(docs.select("doc_id", "text"))
     counts = document_counts(docs, buckets)
-    return _assemble(counts, docs, vocabulary, buckets, broadcast_bytes, partitioned=True)
+    if vocabulary is not None:
+        return _assemble(counts, docs, vocabulary, buckets, broadcast_bytes, partitioned=True)
+    written = store_bucketed(counts, "counts", "doc_id", buckets)
+    vocabulary = build_vocabulary(_above(written.frame, threshold))
+    corpus = _assemble(written.frame, docs, vocabulary, buckets, broadcast_bytes, partitioned=True)
+    written.drop()
+    return corpus
 
 
 def corpus_from_counts(
@@ -175,11 +172,15 @@ def corpus_from_counts(
     threshold: int = 0,
     vocabulary: Vocabulary | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
+    buckets: int | None = None,
 ) -> Corpus:
     """Corpus of ready (doc_id, token, n) rows; ``ids`` adds documents without words."""
     if vocabulary is None:
-        totals = counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > threshold)
-        vocabulary = build_vocabulary(totals)
+        vocabulary = build_vocabulary(_above(counts, threshold))
     ids = counts.select("doc_id").distinct() if ids is None else ids
-    buckets = choose_buckets(counts, vocabulary.occurrences)
+    buckets = buckets or choose_buckets(counts)
     return _assemble(counts, ids, vocabulary, buckets, broadcast_bytes, partitioned=False)
+
+
+def _above(counts: DataFrame, threshold: int) -> DataFrame:
+    return counts.groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > threshold)

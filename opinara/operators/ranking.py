@@ -9,6 +9,7 @@ shuffle of points.  More centers than fit one block are met block by block.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,10 +62,8 @@ def _nth_center(points: DataFrame, centers: DataFrame, n: int, sign: int, block_
     if not 1 <= n <= count:
         raise ValueError(f"n must be in 1 .. {count}, the number of centers")
     best = [_measured(points, v, sign).select("doc_id", F.slice("ranked", 1, n).alias("best")) for v in values]
-    merged = best[0]
+    merged = reduce(DataFrame.unionByName, best)
     if len(best) > 1:
-        for part in best[1:]:
-            merged = merged.unionByName(part)
         # At most n entries per block and document meet here.
         merged = merged.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
     chosen = merged.select("doc_id", F.element_at("best", n).alias("chosen"))
@@ -74,11 +73,12 @@ def _nth_center(points: DataFrame, centers: DataFrame, n: int, sign: int, block_
 def center_distances(points: DataFrame, centers: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, cluster_id, distance) of every point to every center."""
     values, _ = _blocks(centers, block_bytes)
-    parts = [_measured(points, v, 1).select("doc_id", F.explode("ranked").alias("d")) for v in values]
-    merged = parts[0]
-    for part in parts[1:]:
-        merged = merged.unionByName(part)
-    return merged.select("doc_id", F.col("d.cluster_id"), F.col("d.distance"))
+    distance = squared_distance(F.col("point"), F.col("c.center")).alias("distance")
+    parts = [
+        points.select("doc_id", "point", F.explode(value).alias("c")).select("doc_id", "c.cluster_id", distance)
+        for value in values
+    ]
+    return reduce(DataFrame.unionByName, parts)
 
 
 def furthest_nth_cluster(

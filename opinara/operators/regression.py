@@ -117,9 +117,13 @@ def train_by_gradient(
     return GradientModel(weights)
 
 
-def predict_by_weights(tf: DataFrame, weights: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
-    """(doc_id, prediction) of (doc_id, bucket, tf) rows by a (bucket, weight) table of ``num_features`` rows."""
+def predict_by_weights(docs: DataFrame, weights: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
+    """(doc_id, prediction) of (doc_id, text) rows by a (bucket, weight) table of at most ``num_features`` rows.
+
+    Documents without words are predicted zero.
+    """
     if weights.limit(num_features + 1).count() > num_features:
         raise ValueError(f"more than {num_features} weights")
-    weighted = tf.join(F.broadcast(weights), "bucket")
-    return weighted.groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("weight")).alias("prediction"))
+    weighted = hashed_tf(docs, num_features).join(F.broadcast(weights), "bucket")
+    sums = weighted.groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("weight")).alias("prediction"))
+    return docs.select("doc_id").join(sums, "doc_id", "left").fillna({"prediction": 0.0})

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, Tokenizer
 from pyspark.ml.functions import vector_to_array
@@ -14,6 +16,10 @@ from opinara.functions.text import hash_bucket, tokens
 NUM_FEATURES = 1000
 RARE_TOKEN_THRESHOLD = 2
 
+_BYTES_PER_BUCKET = 256 << 20
+# Plans without statistics claim sizes beyond this.
+_UNKNOWN_SIZE = 1 << 60
+
 
 def token_rows(docs: DataFrame, drop_empty: bool = True) -> DataFrame:
     """(doc_id, pos, token), one row per word, positions from 0."""
@@ -31,6 +37,17 @@ def frequent_tokens(docs: DataFrame, threshold: int = RARE_TOKEN_THRESHOLD) -> D
     return token_counts(docs).where(F.col("n") > threshold)
 
 
+def choose_buckets(docs: DataFrame) -> int:
+    """One bucket per task slot at least, more when the input's files call for them."""
+    spark = docs.sparkSession
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    slots = min(partitions, spark.sparkContext.defaultParallelism)
+    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    if size > _UNKNOWN_SIZE:
+        return partitions
+    return max(1, slots, math.ceil(size / _BYTES_PER_BUCKET))
+
+
 def document_counts(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """(doc_id, token, n).
 
@@ -45,12 +62,15 @@ def document_counts(docs: DataFrame, partitions: int | None = None) -> DataFrame
     return words.groupBy("doc_id", "token").agg(F.count("*").alias("n"))
 
 
-def hashed_tf(docs: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
-    """(doc_id, bucket, tf) by md5 buckets, which any SQL engine can repeat."""
-    buckets = docs.select("doc_id", F.explode(tokens("text")).alias("token")).select(
-        "doc_id", hash_bucket(F.col("token"), num_features).alias("bucket")
-    )
-    return buckets.groupBy("doc_id", "bucket").agg(F.count("*").alias("tf"))
+def hashed_tf(docs: DataFrame, num_features: int = NUM_FEATURES, partitions: int | None = None) -> DataFrame:
+    """(doc_id, bucket, tf) by md5 buckets, which any SQL engine can repeat.
+
+    Words are counted before they are hashed; both groupings follow the one
+    shuffle of the texts by document.
+    """
+    counts = document_counts(docs, partitions or choose_buckets(docs.select("doc_id", "text")))
+    buckets = counts.select("doc_id", hash_bucket(F.col("token"), num_features).alias("bucket"), "n")
+    return buckets.groupBy("doc_id", "bucket").agg(F.sum("n").alias("tf"))
 
 
 def vectorize(docs: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:

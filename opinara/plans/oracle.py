@@ -258,8 +258,9 @@ def nth(partition: str, order: str, n: int, columns: str = "doc_id, cluster_id,
 
 
 PREDICTED = tf() + [
-    ("w", f"SELECT DISTINCT bucket, {unit('CAST(bucket AS VARCHAR)')} - 0.5 AS weight FROM tf"),
-    ("pred", "SELECT doc_id, sum(tf * weight) AS prediction FROM tf JOIN w USING (bucket) GROUP BY doc_id"),
+    ("w", f"SELECT range AS bucket, {unit('CAST(range AS VARCHAR)')} - 0.5 AS weight FROM range(1000)"),
+    ("known", "SELECT doc_id, sum(tf * weight) AS prediction FROM tf JOIN w USING (bucket) GROUP BY doc_id"),
+    ("pred", "SELECT doc_id, coalesce(prediction, 0.0) AS prediction FROM documents LEFT JOIN known USING (doc_id)"),
     ("shown", "SELECT doc_id, round(prediction, 6) AS prediction FROM pred"),
 ]
 

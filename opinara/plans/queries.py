@@ -416,16 +416,15 @@ def wssse_given_centers(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ranking.within_set_error(points(spark, folder), centers(spark, folder)), 6, "wssse")
 
 
-def weights(spark: SparkSession, folder: str) -> DataFrame:
-    """(bucket, weight) for every bucket the documents use, drawn by hash."""
-    used = text.hashed_tf(texts(spark, folder)).select("bucket").distinct()
-    return used.select("bucket", (hash_unit(F.col("bucket").cast("string")) - 0.5).alias("weight"))
+def weights(spark: SparkSession) -> DataFrame:
+    """(bucket, weight): given weights, drawn by hash."""
+    buckets = spark.range(text.NUM_FEATURES).withColumnRenamed("id", "bucket")
+    return buckets.select("bucket", (hash_unit(F.col("bucket").cast("string")) - 0.5).alias("weight"))
 
 
 @query
 def predict_given_weights(spark: SparkSession, folder: str) -> DataFrame:
-    tf = text.hashed_tf(texts(spark, folder))
-    return rounded(regression.predict_by_weights(tf, weights(spark, folder)), 6, "prediction")
+    return rounded(regression.predict_by_weights(texts(spark, folder), weights(spark)), 6, "prediction")
 
 
 @query
@@ -444,7 +443,7 @@ def most_useful_per_business(spark: SparkSession, folder: str) -> DataFrame:
 @query
 def rmse_mse(spark: SparkSession, folder: str) -> DataFrame:
     frame = labelled(spark, folder).select("doc_id", "label")
-    scored = regression.predict_by_weights(text.hashed_tf(texts(spark, folder)), weights(spark, folder))
+    scored = regression.predict_by_weights(texts(spark, folder), weights(spark))
     return rounded(regression.errors(scored.join(frame, "doc_id")), 6, "mse", "rmse")
 
 

@@ -88,7 +88,7 @@ def test_gradient_steps_match_numpy(spark, reviews):
         assert model.weights == pytest.approx(w.tolist(), abs=1e-9)
         predictions = {r.doc_id: r.prediction for r in model.transform(packed).collect()}
         assert [predictions[r.doc_id] for r in rows] == pytest.approx((x @ w).tolist(), abs=1e-9)
-        by_table = regression.predict_by_weights(text.hashed_tf(labelled), model.table(packed)).collect()
+        by_table = regression.predict_by_weights(labelled, model.table(packed)).collect()
         assert {r.doc_id: r.prediction for r in by_table} == pytest.approx(predictions)
 
 
