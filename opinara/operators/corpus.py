@@ -7,8 +7,9 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opinara.operators.partitions import choose_buckets
 from opinara.operators.rowids import Numbered, number_rows
-from opinara.operators.text import RARE_TOKEN_THRESHOLD, choose_buckets, document_counts
+from opinara.operators.text import RARE_TOKEN_THRESHOLD, document_counts
 from opinara.sources.state import Stored, store_bucketed
 
 # A side is broadcast only below this estimate of its size on an executor.

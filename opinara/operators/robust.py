@@ -1,10 +1,8 @@
 """Robust PLSA: besides the topics, a background over all words and noise per document explain words.
 
 The noise of a word in a document changes every round, so each round writes
-one table of the bag's size: the word's unnormalised noise ``x`` and its
-``share`` = n / z.  It is bucketed by document like the bag itself; both
-aggregations of the round read it, one joined with phi only, the other with
-theta only.  The noise is ``x * s`` with ``s`` kept in the document's row.
+the bag anew with the word's unnormalised noise ``x``, in the same buckets.
+The noise is ``x * s``, with ``s`` kept in the document's row.
 """
 
 from __future__ import annotations
@@ -15,7 +13,7 @@ from pyspark.sql import functions as F
 from opinara.functions.numeric import ratio_or
 from opinara.operators.corpus import Corpus, join_words
 from opinara.operators.priors import Prior
-from opinara.operators.topics import MINUS_INFINITY, FoldIn, Plsa, TopicModel, _row_bytes, _Run
+from opinara.operators.topics import FoldIn, Plsa, TopicModel, _row_bytes, _Run
 from opinara.sources.state import Stored, store, store_bucketed
 
 # Weights of background and noise.
@@ -92,93 +90,55 @@ class _RobustRun(_Run):
     def kept(self) -> list[Stored]:
         return super().kept() + ([self.weights_table] if self.weights_table else [])
 
-    # -- columns -----------------------------------------------------------
-
     def mixture(self) -> Column:
         gamma, eps = self.trainer.gamma, self.trainer.eps
         total = F.lit(eps) * F.col("x") * F.col("s") + F.lit(gamma) * F.col("bg") + super().mixture()
         return total / F.lit(1.0 + eps + gamma)
 
-    def rows(self) -> DataFrame:
-        with_theta = self.bag.join(self.theta.hint("shuffle_hash"), "doc_id")
-        joined = join_words(with_theta, self.phi, self.head, self.corpus.vocabulary.size)
-        return joined.withColumn("z", self.mixture())
-
-    # -- one round -----------------------------------------------------------
-
-    def go(self, frozen: bool) -> None:
-        for _ in range(self.trainer.iterations):
-            prior = self.log_priors()
-            weights = self.store_weights()
-            theta, likelihood = self.robust_theta(weights.frame)
-            phi = None if frozen and self.fixed_background else self.robust_phi(weights.frame, frozen)
-            self.note_perplexity(likelihood, prior)
-            self.advance(theta, phi, frozen)
-            self.replace_bag(weights)
-        if self.trainer.perplexity:
-            self.note_perplexity(self.final_likelihood(), self.log_priors())
+    def noise_count(self) -> Column:
+        return F.lit(self.trainer.eps) * F.col("x") * F.col("s") * F.col("share")
 
-    def store_weights(self) -> Stored:
-        rows = self.rows().withColumn("share", self.share())
-        noise = F.lit(self.trainer.eps) * F.col("x") * F.col("s") * F.col("share")
-        weights = rows.select("doc_id", "word_id", "n", F.coalesce(noise, F.lit(0.0)).alias("x"), "share")
-        if self.head < self.corpus.vocabulary.size:
-            weights = weights.repartition(self.corpus.buckets, "doc_id")
-        return store_bucketed(weights, "weights", "doc_id", self.corpus.buckets)
+    def expected(self) -> dict[str, Column]:
+        background = F.lit(self.trainer.gamma) * F.col("bg") * F.col("share")
+        return {**super().expected(), "noise_count": self.noise_count(), "background_count": background}
 
-    def robust_theta(self, weights: DataFrame) -> tuple[Stored, float]:
-        joined = join_words(weights, self.phi.drop("bg"), self.head, self.corpus.vocabulary.size)
-        likelihood = F.when(F.col("share") > 0, F.col("n") * F.ln(F.col("n") / F.col("share"))).otherwise(
-            F.lit(MINUS_INFINITY)
-        )
-        sums = joined.groupBy("doc_id").agg(
-            *[F.sum(F.col("share") * p).alias(f"d{k}") for k, p in enumerate(self.ps())],
-            F.sum("x").alias("total_noise"),
-            F.sum(likelihood).alias("ll"),
-        )
-        # Within a document theta is constant, so it multiplies the sums, not the rows.
-        old = self.theta.select("doc_id", *self.ts())
-        expected = sums.join(old.hint("shuffle_hash"), "doc_id").select(
-            "doc_id",
-            "ll",
-            ratio_or(F.lit(1.0), F.col("total_noise"), F.lit(0.0)).alias("new_s"),
-            *[(F.col(f"d{k}") * t).alias(f"r{k}") for k, t in enumerate(self.ts())],
-        )
-        return self.store_theta(expected, ("new_s",))
-
-    def robust_phi(self, weights: DataFrame, frozen: bool) -> Stored:
-        joined = weights.join(self.theta.hint("shuffle_hash"), "doc_id")
-        topics = [] if frozen else [F.sum(F.col("share") * t).alias(f"w{k}") for k, t in enumerate(self.ts())]
-        sums = joined.groupBy("word_id").agg(*topics, F.sum("share").alias("wb"))
-        background = F.lit(self.trainer.gamma) * F.col("bg") * F.coalesce("wb", F.lit(0.0))
-        new = self.phi.join(sums, "word_id", "left").withColumn("b", background)
-        if frozen:
-            return store(new.select("word_id", *self.ps(), "b"), "phi")
-        new = new.withColumns({f"r{k}": F.col(f"w{k}") * p for k, p in enumerate(self.ps())})
-        return store(new.select("word_id", *self.ps(), *self.counts(), "b"), "phi")
+    def needs_words(self, frozen: bool) -> bool:
+        return not (frozen and self.fixed_background)
 
-    def advance(self, theta: Stored, phi: Stored | None, frozen: bool) -> None:
-        old_phi = self.phi_table
-        super().advance(theta, None)
-        self.theta = self.theta.withColumnRenamed("new_s", "s").fillna({"s": 0.0})
-        if not phi:
-            return
-        total = phi.frame.agg(F.sum("b")).first()[0] or 0.0
+    def theta_extra(self) -> list[Column]:
+        return [ratio_or(F.lit(1.0), F.coalesce("noise_count", F.lit(0.0)), F.lit(0.0)).alias("s")]
+
+    def store_phi(self, sums: DataFrame, frozen: bool) -> Stored:
+        joined = self.phi.join(sums, "word_id", "left")
+        counts = [] if frozen else self.counts()
+        background = F.coalesce("background_count", F.lit(0.0)).alias("background_count")
+        return store(joined.select("word_id", *self.ps(), *counts, background), "phi")
+
+    def new_phi(self, table: DataFrame, frozen: bool) -> DataFrame:
+        """With the background normalised; all zero where it has no weight."""
+        total = table.agg(F.sum("background_count")).first()[0] or 0.0
         scale = 1.0 / total if total > 0 and self.trainer.gamma != 0 else 0.0
-        background = (F.col("b") * F.lit(scale)).alias("bg")
+        background = (F.col("background_count") * F.lit(scale)).alias("bg")
         if frozen:
-            self.phi = phi.frame.select("word_id", *self.ps(), background)
-        else:
-            self.phi = self.normalised(phi.frame, background)
-        self.phi_table = phi
-        if old_phi:
-            old_phi.drop()
-
-    def replace_bag(self, weights: Stored) -> None:
+            return table.select("word_id", *self.ps(), background)
+        return self.normalised(table, background)
+
+    def advance(self, theta: Stored, phi: Stored | None, frozen: bool) -> None:
+        weights = self.store_weights()
+        super().advance(theta, phi, frozen)
         if self.weights_table:
             self.weights_table.drop()
         self.weights_table = weights
-        self.bag = weights.frame.drop("share")
+        self.bag = weights.frame
+
+    def store_weights(self) -> Stored:
+        """The bag with the next round's unnormalised noise, from the tables of this round."""
+        rows = self.rows().withColumn("share", self.share())
+        noise = F.coalesce(self.noise_count(), F.lit(0.0)).alias("x")
+        weights = rows.select("doc_id", "word_id", "n", noise)
+        if self.head < self.corpus.vocabulary.size:
+            weights = weights.repartition(self.corpus.buckets, "doc_id")
+        return store_bucketed(weights, "weights", "doc_id", self.corpus.buckets)
 
     # -- results ---------------------------------------------------------------
 

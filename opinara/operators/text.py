@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import HashingTF, Tokenizer
 from pyspark.ml.functions import vector_to_array
@@ -11,15 +9,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions.text import hash_bucket, tokens
+from opinara.operators.partitions import choose_buckets, spread
 
 # Number of hash buckets, rare-token threshold.
 NUM_FEATURES = 1000
 RARE_TOKEN_THRESHOLD = 2
 
-_BYTES_PER_BUCKET = 256 << 20
-# Plans without statistics claim sizes beyond this.
-_UNKNOWN_SIZE = 1 << 60
-
 
 def token_rows(docs: DataFrame, drop_empty: bool = True) -> DataFrame:
     """(doc_id, pos, token), one row per word, positions from 0."""
@@ -28,7 +23,7 @@ def token_rows(docs: DataFrame, drop_empty: bool = True) -> DataFrame:
 
 def token_counts(docs: DataFrame) -> DataFrame:
     """(token, n) over the collection; partial counts before the shuffle take the weight off stop words."""
-    words = docs.select(F.explode(tokens("text")).alias("token"))
+    words = spread(docs.select("text")).select(F.explode(tokens("text")).alias("token"))
     return words.groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -37,17 +32,6 @@ def frequent_tokens(docs: DataFrame, threshold: int = RARE_TOKEN_THRESHOLD) -> D
     return token_counts(docs).where(F.col("n") > threshold)
 
 
-def choose_buckets(docs: DataFrame) -> int:
-    """One bucket per task slot at least, more when the input's files call for them."""
-    spark = docs.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    slots = min(partitions, spark.sparkContext.defaultParallelism)
-    size = int(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
-    if size > _UNKNOWN_SIZE:
-        return partitions
-    return max(1, slots, math.ceil(size / _BYTES_PER_BUCKET))
-
-
 def document_counts(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     """(doc_id, token, n).
 
@@ -74,7 +58,7 @@ def hashed_tf(docs: DataFrame, num_features: int = NUM_FEATURES, partitions: int
 
 
 def vectorize(docs: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
-    """Add ``words`` and the sparse vector ``features``; row-wise, no shuffle.
+    """Add ``words`` and the sparse vector ``features``; row-wise.
 
     NULL texts are read as empty, since the tokenizer rejects NULL.
     """
@@ -82,7 +66,7 @@ def vectorize(docs: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
         Tokenizer(inputCol="text", outputCol="words"),
         HashingTF(numFeatures=num_features, inputCol="words", outputCol="features"),
     ]
-    filled = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    filled = spread(docs).withColumn("text", F.coalesce("text", F.lit("")))
     return Pipeline(stages=stages).fit(filled).transform(filled)
 
 

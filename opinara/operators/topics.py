@@ -162,6 +162,7 @@ class _Run:
         self.theta = corpus.documents.select(
             "doc_id", *[F.lit(1.0 / trainer.topics).alias(f"t{k}") for k in self.ks]
         )
+        self.bag = corpus.bow
         self.perplexities: list[float] = []
 
     def kept(self) -> list[Stored]:
@@ -182,7 +183,7 @@ class _Run:
 
     def rows(self) -> DataFrame:
         """The bag of words with theta, phi and ``z``, the probability of the word in the document."""
-        with_theta = self.corpus.bow.join(self.theta.hint("shuffle_hash"), "doc_id")
+        with_theta = self.bag.join(self.theta.hint("shuffle_hash"), "doc_id")
         joined = join_words(with_theta, self.phi, self.head, self.corpus.vocabulary.size)
         return joined.withColumn("z", self.mixture())
 
@@ -195,73 +196,69 @@ class _Run:
     def log_likelihood() -> Column:
         return F.when(F.col("z") > 0, F.col("n") * F.ln("z")).otherwise(F.lit(MINUS_INFINITY))
 
-    def expected(self) -> list[Column]:
-        """Expected count of the row's word per topic."""
-        return [(F.col("share") * p * t).alias(f"r{k}") for k, (p, t) in enumerate(zip(self.ps(), self.ts()))]
+    def expected(self) -> dict[str, Column]:
+        """What a row adds to the sums: expected counts of its word per topic, and more in other models."""
+        return {f"r{k}": F.col("share") * p * t for k, (p, t) in enumerate(zip(self.ps(), self.ts()))}
+
+    def weighed(self) -> DataFrame:
+        rows = self.rows().withColumn("share", self.share())
+        sums = {**self.expected(), "ll": self.log_likelihood()}
+        return rows.select("doc_id", "word_id", *[column.alias(name) for name, column in sums.items()])
 
     def go(self, frozen: bool) -> None:
         for _ in range(self.trainer.iterations):
             prior = self.log_priors()
-            if frozen:
-                theta, likelihood = self.store_theta(self.sums_by_document())
-                phi = None
-            else:
+            if self.needs_words(frozen):
                 sums = self.store_sums()
-                theta, likelihood = self.store_theta(sums.frame.where("kind = 'document'").drop("kind", "word_id"))
-                phi = self.store_phi(sums.frame.where("kind = 'word'").drop("kind", "doc_id"))
+                theta = self.store_theta(sums.frame.where("kind = 'document'").drop("kind", "word_id"))
+                phi = self.store_phi(sums.frame.where("kind = 'word'").drop("kind", "doc_id"), frozen)
                 sums.drop()
-            self.note_perplexity(likelihood, prior)
-            self.advance(theta, phi)
+            else:
+                theta, phi = self.store_theta(self.sums_by_document()), None
+            if self.trainer.perplexity:
+                self.note_perplexity(theta.frame.agg(F.sum("ll")).first()[0], prior)
+            self.advance(theta, phi, frozen)
         if self.trainer.perplexity:
-            self.note_perplexity(self.final_likelihood(), self.log_priors())
+            likelihood = self.rows().agg(F.sum(self.log_likelihood())).first()[0]
+            self.note_perplexity(likelihood, self.log_priors())
+
+    def needs_words(self, frozen: bool) -> bool:
+        return not frozen
 
     def store_sums(self) -> Stored:
-        """Expected counts and log likelihoods, by document and by word from the same pass."""
-        rows = self.rows().withColumn("share", self.share()).withColumn("ll", self.log_likelihood())
-        sums = (
-            rows.select("doc_id", "word_id", "ll", *self.expected())
-            .groupingSets([["doc_id"], ["word_id"]], "doc_id", "word_id")
-            .agg(
-                F.when(F.grouping("doc_id") == 0, "document").otherwise("word").alias("kind"),
-                *[F.sum(f"r{k}").alias(f"r{k}") for k in self.ks],
-                F.sum("ll").alias("ll"),
-            )
-        )
-        return store(sums, "sums", "kind")
+        """The sums by document and by word from the same pass."""
+        rows = self.weighed()
+        names = [c for c in rows.columns if c not in ("doc_id", "word_id")]
+        kind = F.when(F.grouping("doc_id") == 0, "document").otherwise("word").alias("kind")
+        grouped = rows.groupingSets([["doc_id"], ["word_id"]], "doc_id", "word_id")
+        return store(grouped.agg(kind, *[F.sum(c).alias(c) for c in names]), "sums", "kind")
 
     def sums_by_document(self) -> DataFrame:
-        """The same by document only; follows the bucketing, without a shuffle."""
-        rows = self.rows().withColumn("share", self.share()).withColumn("ll", self.log_likelihood())
-        rows = rows.select("doc_id", "ll", *self.expected())
-        return rows.groupBy("doc_id").agg(
-            *[F.sum(f"r{k}").alias(f"r{k}") for k in self.ks], F.sum("ll").alias("ll")
-        )
+        """The sums by document only; follows the bucketing, without a shuffle."""
+        rows = self.weighed()
+        names = [c for c in rows.columns if c not in ("doc_id", "word_id")]
+        return rows.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in names])
 
-    def store_theta(self, sums: DataFrame, keep: tuple[str, ...] = ()) -> tuple[Stored, float]:
+    def store_theta(self, sums: DataFrame) -> Stored:
         """Regularise and normalise; documents without words or counts keep their mixture."""
         joined = self.theta.join(sums.hint("shuffle_hash"), "doc_id", "left")
         prior = self.trainer.theta_prior
-        counted = joined.select(
-            "doc_id",
-            "ll",
-            *keep,
-            *self.ts(),
-            *[
-                prior.regularize(F.coalesce(f"r{k}", F.lit(0.0)), t).alias(f"c{k}")
-                for k, t in enumerate(self.ts())
-            ],
-        ).withColumn("total", add([F.col(f"c{k}") for k in self.ks]))
+        counts = {
+            f"c{k}": prior.regularize(F.coalesce(f"r{k}", F.lit(0.0)), t) for k, t in enumerate(self.ts())
+        }
+        counted = joined.withColumns(counts).withColumn("total", add([F.col(c) for c in counts]))
         new = counted.select(
             "doc_id",
             "ll",
-            *keep,
             *[ratio_or(F.col(f"c{k}"), F.col("total"), t).alias(f"t{k}") for k, t in enumerate(self.ts())],
+            *self.theta_extra(),
         )
-        table = store_bucketed(new, "theta", "doc_id", self.corpus.buckets)
-        likelihood = table.frame.agg(F.sum("ll")).first()[0] if self.trainer.perplexity else None
-        return table, likelihood or 0.0
+        return store_bucketed(new, "theta", "doc_id", self.corpus.buckets)
+
+    def theta_extra(self) -> list[Column]:
+        return []
 
-    def store_phi(self, sums: DataFrame) -> Stored:
+    def store_phi(self, sums: DataFrame, frozen: bool) -> Stored:
         """Regularised counts ``c`` beside the old ``p``; every word of the vocabulary stays."""
         joined = self.phi.join(sums, "word_id", "left")
         return store(joined.select("word_id", *self.ps(), *self.counts()), "phi")
@@ -282,14 +279,17 @@ class _Run:
         ]
         return counts.select("word_id", *columns, *others)
 
-    def advance(self, theta: Stored, phi: Stored | None) -> None:
-        old = [self.theta_table]
+    def new_phi(self, table: DataFrame, frozen: bool) -> DataFrame:
+        return self.normalised(table)
+
+    def advance(self, theta: Stored, phi: Stored | None, frozen: bool) -> None:
+        """Move on to the new tables and delete the old ones, which nothing reads any more."""
+        old = [self.theta_table, self.phi_table if phi else None]
         self.theta_table = theta
         self.theta = theta.frame.drop("ll")
         if phi:
-            old.append(self.phi_table)
             self.phi_table = phi
-            self.phi = self.normalised(phi.frame)
+            self.phi = self.new_phi(phi.frame, frozen)
         for table in old:
             if table:
                 table.drop()
@@ -302,9 +302,6 @@ class _Run:
         prior = self.trainer.theta_prior.log_prior(self.ts())
         return joined.select("doc_id", (F.coalesce("ll", F.lit(0.0)) + prior).alias("loglik"))
 
-    def final_likelihood(self) -> float:
-        return self.rows().agg(F.sum(self.log_likelihood())).first()[0] or 0.0
-
     def log_priors(self) -> float:
         """Log density of the current theta and phi."""
         total = 0.0
@@ -318,7 +315,7 @@ class _Run:
             total += terms + self.trainer.topics * prior.log_constant(self.corpus.vocabulary.size)
         return total
 
-    def note_perplexity(self, likelihood: float, prior: float) -> None:
-        if self.trainer.perplexity and self.corpus.length:
-            exponent = -(likelihood + prior) / self.corpus.length
+    def note_perplexity(self, likelihood: float | None, prior: float) -> None:
+        if self.corpus.length:
+            exponent = -((likelihood or 0.0) + prior) / self.corpus.length
             self.perplexities.append(math.exp(exponent) if exponent < 700 else math.inf)
