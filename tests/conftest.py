@@ -16,6 +16,7 @@ def spark(tmp_path_factory):
         "opinara-tests",
         "4",
         **{
+            "spark.sql.shuffle.partitions": "2",
             "spark.checkpoint.dir": str(work / "shared"),
             "spark.sql.warehouse.dir": str(work / "warehouse"),
         },

@@ -100,7 +100,7 @@ def test_result_does_not_depend_on_partitioning_or_join_way(spark, docs, model,
         assert again.perplexities == pytest.approx(model.perplexities)
         robust = RobustPlsa(K, 2).fit(other)
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", "4")
+        spark.conf.set("spark.sql.shuffle.partitions", "2")
     close(thetas(robust), thetas(RobustPlsa(K, 2).fit(build_corpus(docs))))
 
 
