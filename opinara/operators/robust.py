@@ -7,6 +7,8 @@ The noise is ``x * s``, with ``s`` kept in the document's row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -123,13 +125,14 @@ class _RobustRun(_Run):
             return table.select("word_id", *self.ps(), background)
         return self.normalised(table, background)
 
-    def advance(self, theta: Stored, phi: Stored | None, frozen: bool) -> None:
-        weights = self.store_weights()
-        super().advance(theta, phi, frozen)
+    def more_jobs(self) -> list[Callable]:
+        return [self.store_weights]
+
+    def advance_more(self, results: list) -> None:
         if self.weights_table:
             self.weights_table.drop()
-        self.weights_table = weights
-        self.bag = weights.frame
+        self.weights_table = results[0]
+        self.bag = self.weights_table.frame
 
     def store_weights(self) -> Stored:
         """The bag with the next round's unnormalised noise, from the tables of this round."""

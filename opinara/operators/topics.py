@@ -13,6 +13,7 @@ sums in generated code.
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ from opinara.functions.numeric import add, ratio_or
 from opinara.functions.text import hash_unit
 from opinara.operators.corpus import BROADCAST_BYTES, Corpus, Vocabulary, build_corpus, join_words
 from opinara.operators.priors import Prior, UniformPrior
-from opinara.sources.state import Stored, store, store_bucketed
+from opinara.sources.state import Stored, store, store_bucketed, together
 
 MINUS_INFINITY = float("-inf")
 
@@ -208,20 +209,38 @@ class _Run:
     def go(self, frozen: bool) -> None:
         for _ in range(self.trainer.iterations):
             prior = self.log_priors()
-            if self.needs_words(frozen):
-                sums = self.store_sums()
-                theta = self.store_theta(sums.frame.where("kind = 'document'").drop("kind", "word_id"))
-                phi = self.store_phi(sums.frame.where("kind = 'word'").drop("kind", "doc_id"), frozen)
+            sums = self.store_sums() if self.needs_words(frozen) else None
+            jobs = [lambda: self.round_theta(sums)]
+            if sums:
+                jobs.append(lambda: self.round_phi(sums, frozen))
+            done = together(self.theta.sparkSession, *jobs, *self.more_jobs())
+            if sums:
                 sums.drop()
-            else:
-                theta, phi = self.store_theta(self.sums_by_document()), None
+            theta, likelihood = done[0]
             if self.trainer.perplexity:
-                self.note_perplexity(theta.frame.agg(F.sum("ll")).first()[0], prior)
-            self.advance(theta, phi, frozen)
+                self.note_perplexity(likelihood, prior)
+            self.advance(theta, *(done[1] if sums else (None, None)))
+            self.advance_more(done[len(jobs) :])
         if self.trainer.perplexity:
             likelihood = self.rows().agg(F.sum(self.log_likelihood())).first()[0]
             self.note_perplexity(likelihood, self.log_priors())
 
+    def round_theta(self, sums: Stored | None) -> tuple[Stored, float | None]:
+        by_document = sums.frame.where("kind = 'document'").drop("kind", "word_id") if sums else None
+        theta = self.store_theta(self.sums_by_document() if by_document is None else by_document)
+        return theta, theta.frame.agg(F.sum("ll")).first()[0] if self.trainer.perplexity else None
+
+    def round_phi(self, sums: Stored, frozen: bool) -> tuple[Stored, DataFrame]:
+        phi = self.store_phi(sums.frame.where("kind = 'word'").drop("kind", "doc_id"), frozen)
+        return phi, self.new_phi(phi.frame, frozen)
+
+    def more_jobs(self) -> list[Callable]:
+        """What else a round computes from the tables it starts with."""
+        return []
+
+    def advance_more(self, results: list) -> None:
+        pass
+
     def needs_words(self, frozen: bool) -> bool:
         return not frozen
 
@@ -282,14 +301,13 @@ class _Run:
     def new_phi(self, table: DataFrame, frozen: bool) -> DataFrame:
         return self.normalised(table)
 
-    def advance(self, theta: Stored, phi: Stored | None, frozen: bool) -> None:
+    def advance(self, theta: Stored, phi: Stored | None, new_phi: DataFrame | None) -> None:
         """Move on to the new tables and delete the old ones, which nothing reads any more."""
         old = [self.theta_table, self.phi_table if phi else None]
         self.theta_table = theta
         self.theta = theta.frame.drop("ll")
         if phi:
-            self.phi_table = phi
-            self.phi = self.new_phi(phi.frame, frozen)
+            self.phi_table, self.phi = phi, new_phi
         for table in old:
             if table:
                 table.drop()

@@ -11,8 +11,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
+from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -85,3 +88,10 @@ def store_bucketed(frame: DataFrame, name: str, key: str, buckets: int) -> Store
         .saveAsTable(table)
     )
     return Stored(spark.table(table), path, table)
+
+
+def together(spark: SparkSession, *jobs: Callable) -> list:
+    """Run independent jobs at the same time, so that one fills the slots the other leaves idle."""
+    with ThreadPoolExecutor(len(jobs)) as pool:
+        running = [pool.submit(inheritable_thread_target(spark)(job)) for job in jobs]
+        return [job.result() for job in running]
