@@ -292,7 +292,6 @@ def gradient(step: float, ridge: float) -> str:
 def oracle() -> dict[str, str]:
     train = f"{hash32('CAST(doc_id AS VARCHAR)')} % 100 < 70"
     counts = "SELECT source AS business_id, count(*) AS review_count FROM documents GROUP BY source"
-    robust_z = log_sum
     priors = [dirichlet(THETA_ALPHA), dirichlet(PHI_ALPHA)]
     last = ROUNDS
     regularized_parts = [
@@ -338,7 +337,7 @@ def oracle() -> dict[str, str]:
         "robust_background": with_(robust_em(), f"SELECT token, round(bg, {PHI_DIGITS}) AS bg FROM bg{last}"),
         "robust_noise": with_(robust_em(), f"SELECT doc_id, token, round(noise, {THETA_DIGITS}) AS noise FROM noise{last}"),
         "robust_perplexity": with_(
-            robust_em() + [robust_rows(last)], perplexity_of([robust_z(f"rows{i}") for i in range(last + 1)])
+            robust_em() + [robust_rows(last)], perplexity_of([log_sum(f"rows{i}") for i in range(last + 1)])
         ),
         "robust_fold_in": theta_sql(robust_folded(None), f"xtheta{last}"),
         "robust_fold_in_fixed": theta_sql(robust_folded(f"bg{last}"), f"xtheta{last}"),
