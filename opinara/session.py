@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import SparkSession
 
 
@@ -22,3 +24,16 @@ def build_session(app: str = "opinara", cores: str = "*", memory: str = "8g", **
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+def let_workers_import(spark: SparkSession) -> None:
+    """Have Python workers find this package where the driver found it.
+
+    For machines that see the same folder (local mode, a shared installation);
+    elsewhere ship the package with ``--py-files``, which comes first.
+    """
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    environment = spark.sparkContext.environment
+    paths = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root not in paths:
+        environment["PYTHONPATH"] = os.pathsep.join([*paths, root])
