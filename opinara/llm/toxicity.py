@@ -37,12 +37,14 @@ from opinara.sources.state import store
 #: Size of the hash space of terms, in bits.
 HASH_BITS = 32
 #: Lengths of the word beginnings that are terms.
-PREFIXES = (3, 4, 5)
+PREFIXES = (3, 4, 5, 6, 7)
 #: Labelled rows of each class that are fitted to, at most.
 MAX_ROWS = 10_000
 #: Terms whose counts are compared, and terms that become features.
 CANDIDATES, FEATURES = 20_000, 256
 FACTORS = 8
+#: Toxic rows in which a term has to occur; fewer are chance among so many terms.
+LEAST_ROWS = 5
 #: The bound on words that a worker remembers.
 REMEMBERED = 1_000_000
 
@@ -113,7 +115,7 @@ class FactorizationMachine:
         return score(text)
 
 
-def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 400, rate: float = 0.05, seed: int = 7):
+def train(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rounds: int = 1000, rate: float = 0.05, seed: int = 7):
     """Bias, weights and factors by full-batch Adam on the weighted logistic loss with a quadratic penalty."""
     random = np.random.default_rng(seed)
     weight = weight / weight.sum()
@@ -185,7 +187,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features:
         .mapInArrow(_count_terms(None), schema)
         .groupBy("term")
         .agg(F.sum("n").alias("n"))
-        .filter(F.col("n") >= max(3, toxic // 2000))
+        .filter(F.col("n") >= max(LEAST_ROWS, toxic // 1000))
         .orderBy(F.desc("n"), "term")
         .limit(CANDIDATES)
         .collect()
@@ -198,8 +200,10 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features:
     p, q = counts[:, 1] / toxic, counts[:, 0] / clean
     pooled = counts.sum(axis=1) / (toxic + clean)
     z = (p - q) / np.sqrt(np.maximum(pooled * (1 - pooled), 1e-9) * (1 / toxic + 1 / clean))
-    chosen = np.argsort(-np.abs(z), kind="stable")[:features]
-    terms = [often[i]["term"] for i in chosen if abs(z[i]) > 4]
+    # A word and its beginnings that occur in as many rows say the same thing; one of them is enough.
+    first_of_kind = {tuple(counts[i]): i for i in reversed(range(len(often)))}
+    telling = sorted((i for i in first_of_kind.values() if abs(z[i]) > 4), key=lambda i: -abs(z[i]))
+    terms = [often[i]["term"] for i in telling[:features]]
     index = TermIndex(terms)
 
     def design(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -223,5 +227,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS, features:
     x, y = np.zeros((len(cases), len(terms))), np.array([r["toxic"] for r in cases], float)
     for i, r in enumerate(cases):
         x[i, r["places"]] = 1
-    bias, weights, factors = train(x, y, np.array([r["n"] for r in cases], float))
+    # Half way to equal classes: one telling term is then enough where nothing speaks against it.
+    more = np.sqrt(clean / toxic)
+    bias, weights, factors = train(x, y, np.array([r["n"] * (more if r["toxic"] else 1) for r in cases]))
     return FactorizationMachine(terms, bias, weights, factors)
