@@ -68,7 +68,7 @@ class Stored:
 def store(frame: DataFrame, name: str, partition_by: str | None = None) -> Stored:
     spark = frame.sparkSession
     path = new_path(spark, name)
-    frame.write.parquet(path, partitionBy=partition_by)
+    frame.write.parquet(path, partitionBy=partition_by, compression="zstd")
     return Stored(spark.read.schema(frame.schema).parquet(path), path)
 
 
@@ -83,6 +83,7 @@ def store_bucketed(frame: DataFrame, name: str, key: str, buckets: int) -> Store
     table = f"opinara_{name}_{uuid.uuid4().hex}"
     (
         frame.write.format("parquet")
+        .option("compression", "zstd")
         .bucketBy(buckets, key)
         .option("path", path)
         .saveAsTable(table)
