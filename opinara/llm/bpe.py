@@ -117,11 +117,13 @@ def _cut_into_blocks(pattern: str, block_bytes: int):
             return index, [], [], []
 
         def flush():
-            words = list(index)
+            # Frequent words first, for short positions; the many of equal number by name, for words that compress.
+            words = sorted(index)
+            codes = np.fromiter((index[w] for w in words), np.int64, len(words))
             sequence = np.concatenate(sequences) if sequences else np.zeros(0, np.uint32)
-            order = np.argsort(-np.bincount(sequence, minlength=len(words)), kind="stable")
+            order = np.argsort(-np.bincount(sequence, minlength=len(words))[codes], kind="stable")
             rank = np.empty(len(words), np.uint32)
-            rank[order] = np.arange(len(words), dtype=np.uint32)
+            rank[codes[order]] = np.arange(len(words), dtype=np.uint32)
             positions = pack_ints(rank[sequence])
             columns = [[first + blocks], [ids], [counts], [positions], [[words[i] for i in order]]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, schema)], schema=schema)
@@ -155,11 +157,12 @@ def _encode_runs(path: str, pattern: str, pack_rows: int):
             block, index = np.concatenate(blocks), np.concatenate(indexes)
             length, ids = np.array(lengths, np.int64), np.array(flat, np.uint32)
             starts = np.cumsum(length) - length
-            order = np.argsort(block, kind="stable")
+            order = np.lexsort((index, block))
             cuts = np.flatnonzero(np.diff(block[order])) + 1
             out = []
             for part in np.split(order, cuts):
-                out.append((int(block[part[0]]), pack_ints(index[part], length[part], gather(ids, starts[part], length[part]))))
+                steps = np.diff(index[part], prepend=0)
+                out.append((int(block[part[0]]), pack_ints(steps, length[part], gather(ids, starts[part], length[part]))))
             return pa.RecordBatch.from_arrays(
                 [pa.array([b for b, _ in out], pa.int64()), pa.array([p for _, p in out], pa.binary())], ["block", "packed"]
             )
@@ -183,7 +186,7 @@ def _encode_runs(path: str, pattern: str, pack_rows: int):
 
 
 def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-    parts = [unpack_ints(p.as_py()) for p in right.column("packed")]
+    parts = [(np.cumsum(steps, dtype=np.int64), length, ids) for steps, length, ids in (unpack_ints(p.as_py()) for p in right.column("packed"))]
     size = 1 + max((int(index.max()) for index, _, _ in parts), default=-1)
     starts, lengths, at = np.zeros(size, np.int64), np.zeros(size, np.int64), 0
     for index, length, ids in parts:
