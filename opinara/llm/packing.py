@@ -24,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from unicodedata import is_normalized
 from zlib import crc32
 
 import numpy as np
@@ -36,57 +37,106 @@ from opinara.sources.state import store
 
 CAPACITY = 2048
 #: The bound on chunks that a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 1_000_000
 #: States that the search may visit before it settles for its best solution.
-NODES = 20_000
+NODES = 6_000
 #: Undominated fillings that are kept of those found for a bin.
 FILLINGS = 4
 
 _PIECES = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
 
+def _byte_characters() -> dict[int, str]:
+    """The character that stands for each byte: itself where it is printable, else the next one from 256 on."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Places(dict):
+    """Numbers chunks as they are met, and lists the new ones."""
+
+    def __init__(self):
+        self.new: list[bytes] = []
+
+    def __missing__(self, chunk: bytes) -> int:
+        at = self[chunk] = len(self)
+        self.new.append(chunk)
+        return at
+
+
 class ChunkEncoder:
     """Ids of a text by a public tokenizer, meeting each distinct chunk once.
 
     Chunks are what stands between ASCII white space.  The tokenizer drops white
     space, lets no token and no composition of characters reach across it, and
-    so gives a text the ids of its chunks one after another.
+    so gives a text the ids of its chunks one after another.  A chunk of letters
+    goes to the tokenizer's model directly, with a closing mark apart; any other
+    chunk takes the tokenizer's whole way.
     """
 
+    _BYTES = _byte_characters()
+    #: Letters below this are alike in every version of Unicode that counts here.
+    _PLAIN = "\u0530"
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.marks = {m: self.tokenizer.encode(m, add_special_tokens=False).ids for m in ".,;:!?"}
         self._forget()
 
     def _forget(self):
-        self.place: dict[bytes, int] = {}
-        self.flat = np.zeros(1 << 20, np.uint32)
-        self.used = 0
+        self.place = _Places()
+        self.flat, self.used = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64)
 
+    def _ids_of_letters(self, chunk: bytes) -> list[int] | None:
+        body, end = chunk.decode(), []
+        if len(body) > 1 and body[-1] in self.marks:
+            body, end = body[:-1], self.marks[body[-1]]
+        if not body.isalpha():
+            return None
+        if body.isascii():
+            spelled = body.lower()
+        else:
+            if max(body) >= self._PLAIN or not is_normalized("NFC", body):
+                return None
+            low = "".join([c.lower() for c in body])
+            if not low.isalpha():
+                return None
+            spelled = "".join([self._BYTES[b] for b in low.encode()])
+        return [t.id for t in self.model.tokenize(spelled)] + end
+
     def _learn(self, chunks: list[bytes]):
-        encoded = self.tokenizer.encode_batch_fast([c.decode() for c in chunks], add_special_tokens=False)
-        for chunk, one in zip(chunks, encoded):
-            ids, at = one.ids, len(self.place)
-            while self.used + len(ids) > len(self.flat):
-                self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
-            if at == len(self.starts):
-                self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
-                self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
-            self.flat[self.used : self.used + len(ids)] = ids
-            self.starts[at], self.lengths[at] = self.used, len(ids)
-            self.place[chunk] = at
-            self.used += len(ids)
+        found = [self._ids_of_letters(c) for c in chunks]
+        others = [i for i, ids in enumerate(found) if ids is None]
+        if others:
+            encoded = self.tokenizer.encode_batch_fast([chunks[i].decode() for i in others], add_special_tokens=False)
+            for i, one in zip(others, encoded):
+                found[i] = one.ids
+        lengths = np.array([len(ids) for ids in found], np.int64)
+        flat = np.array([i for ids in found for i in ids], np.uint32)
+        first = len(self.place) - len(chunks)
+        while self.used + len(flat) > len(self.flat):
+            self.flat = np.concatenate([self.flat, np.zeros_like(self.flat)])
+        while len(self.place) > len(self.starts):
+            self.starts = np.concatenate([self.starts, np.zeros_like(self.starts)])
+            self.lengths = np.concatenate([self.lengths, np.zeros_like(self.lengths)])
+        self.flat[self.used : self.used + len(flat)] = flat
+        self.starts[first : first + len(chunks)] = self.used + np.cumsum(lengths) - lengths
+        self.lengths[first : first + len(chunks)] = lengths
+        self.used += len(flat)
 
     def encode(self, text: str) -> np.ndarray:
-        chunks = text.encode().split()
         if len(self.place) > REMEMBERED:
             self._forget()
-        unknown = [c for c in dict.fromkeys(chunks) if c not in self.place]
-        if unknown:
-            self._learn(unknown)
-        places = np.fromiter(map(self.place.__getitem__, chunks), np.int64, len(chunks))
+        place = self.place
+        places = np.array([place[c] for c in text.encode().split()], np.int64)
+        if place.new:
+            self._learn(place.new)
+            place.new = []
         return gather(self.flat, self.starts[places], self.lengths[places])
 
 
@@ -133,59 +183,60 @@ def _largest_below(counts: np.ndarray) -> np.ndarray:
     return np.maximum.accumulate(lengths)
 
 
-def fillings(counts: np.ndarray, room: int, keep: int = FILLINGS) -> list[tuple[int, ...]]:
-    """Fillings of ``room`` from the lengths present, fullest first, none dominated by another.
+def _best_pairs(counts: np.ndarray, below: np.ndarray, room: int, keep: int) -> list[tuple[int, ...]]:
+    """For every first piece the largest second that fits, the fullest pairs first; of equal ones that with the largest piece."""
+    first = np.flatnonzero(counts[: room + 1])[::-1]
+    second = below[room - first]
+    short = (second == first) & (counts[first] < 2)
+    second = np.where(short, below[np.minimum(room - first, first - 1)], second)
+    first, second = first[second <= first], second[second <= first]
+    order = np.argsort(-(first + second), kind="stable")[:keep]
+    return [(int(a), int(b)) if b else (int(a),) for a, b in zip(first[order], second[order])]
+
+
+def fillings(counts: np.ndarray, room: int, keep: int = FILLINGS, branch: int = 2) -> list[tuple[int, ...]]:
+    """Complete fillings of ``room`` from the pieces present, fullest first, without dominated ones.
 
-    A filling is dominated when another one puts a single larger piece where it
-    has several pieces of no greater sum; so of equally full ones that with the
-    fewest and largest pieces comes first, and a filling to which a piece could
-    be added is not complete.
+    A filling is dominated when another one has a single piece where it has
+    several of no greater sum: one piece that fills the room dominates all
+    others, and of equally full fillings the one with fewer, larger pieces comes
+    first.  A filling to which a piece could be added is not complete.
     """
     below = _largest_below(counts)
-    if not below[room]:
+    most = int(below[room])
+    if not most:
         return [()]
+    if most == room:
+        return [(room,)]
     found: list[tuple[int, ...]] = []
+    # Far more room than the largest piece takes: such pieces come first, as often as two more must fit.
+    if room > 3 * most:
+        n = min(int(counts[most]), room // most - 2)
+        rest = counts.copy()
+        rest[most] -= n
+        return [(most,) * n + f for f in fillings(rest, room - n * most, keep, branch)]
+    for pair in _best_pairs(counts, below, room, keep):
+        left = room - sum(pair)
+        if not left or not below[left]:
+            found.append(pair)
+            continue
+        rest = counts.copy()
+        for piece in pair:
+            rest[piece] -= 1
+        more = fillings(rest, left, keep if branch else 1, branch - 1) if branch else [_fullest(rest, left)]
+        found += [pair + f for f in more]
+    unique = dict.fromkeys(tuple(sorted(f, reverse=True)) for f in found)
+    return sorted(unique, key=lambda f: (-sum(f), len(f), [-x for x in f]))[:keep]
+
 
-    def complete(chosen: tuple[int, ...], room: int, depth: int):
-        most = int(below[room])
-        if not most:
-            found.append(chosen)
-            return
-        if most == room:
-            found.append((*chosen, most))
-            return
-        # The best pair at once: for every first piece the largest second.
-        first = np.flatnonzero(counts[: most + 1])
-        first = first[first > 0][::-1]
-        second = below[np.minimum(room - first, len(below) - 1)]
-        second = np.where((second == first) & (counts[first] < 2), below[np.maximum(np.minimum(room - first, first - 1), 0)], second)
-        total = first + second
-        order = np.argsort(-total, kind="stable")[:keep]
-        for i in order.tolist():
-            a, b = int(first[i]), int(second[i])
-            if not b:
-                found.append((*chosen, a))
-            elif a + b == room or depth == 0 or not below[room - a - b]:
-                found.append((*chosen, a, b))
-                if a + b == room:
-                    return
-            else:
-                complete((*chosen, a, b), room - a - b, depth - 1)
-
-    complete((), room, 6)
-    valid = []
-    for f in found:
-        items, n = np.unique(np.array(f, int), return_counts=True)
-        if (counts[items] >= n).all():
-            valid.append(tuple(sorted(f, reverse=True)))
-    if not valid:  # pieces of one length ran out: fill by best fit
-        left, chosen, free = counts.copy(), [], room
-        while (most := int(_largest_below(left[: free + 1])[-1])):
-            chosen.append(most)
-            left[most] -= 1
-            free -= most
-        valid = [tuple(chosen)]
-    return sorted(dict.fromkeys(valid), key=lambda f: (-sum(f), len(f), [-x for x in f]))[:keep]
+def _fullest(counts: np.ndarray, room: int) -> tuple[int, ...]:
+    """Always the largest piece that fits."""
+    left, chosen = counts.copy(), []
+    while most := int(_largest_below(left[: room + 1])[-1]):
+        chosen.append(most)
+        left[most] -= 1
+        room -= most
+    return tuple(chosen)
 
 
 def best_fit(counts: np.ndarray, capacity: int) -> list[Pattern]:
@@ -232,14 +283,20 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NOD
     best = best_fit(counts, capacity)
     least = lower_bound(counts, capacity)
     total = int((counts * np.arange(len(counts))).sum())
-    stack: list[tuple[np.ndarray, tuple, int, int]] = [(counts, (), 0, 0)]  # left, patterns so far (linked), bins, waste
+    # Siblings share the counts they start from, so memory follows the depth of the search alone.
+    stack: list[tuple] = [(counts, None, (), 0)]  # counts before the pattern, pattern, patterns before it (linked), waste
     while stack and nodes and bins(best) > least:
         nodes -= 1
-        left, path, used, waste = stack.pop()
+        before, pattern, path, waste = stack.pop()
         # A better solution has one bin less at most, so no more waste than this.
         allowed = (bins(best) - 1) * capacity - total
         if waste > allowed:
             continue
+        left = before
+        if pattern:
+            left, path = before.copy(), (path, pattern)
+            for length, n in pattern.items:
+                left[length] -= n * pattern.copies
         if not left.any():
             best = []
             while path:
@@ -257,11 +314,9 @@ def complete_bins(counts: np.ndarray, capacity: int = CAPACITY, nodes: int = NOD
             lost = capacity - int((items * n).sum())
             if lost:
                 copies = min(copies, max(1, (allowed - waste) // lost))
-            after = left.copy()
-            after[items] -= n * copies
-            pattern = Pattern(sorted(zip(items.tolist(), n.tolist()), reverse=True), copies)
             if waste + lost * copies <= allowed:
-                options.append((after, (path, pattern), used + copies, waste + lost * copies))
+                made = Pattern(sorted(zip(items.tolist(), n.tolist()), reverse=True), copies)
+                options.append((left, made, path, waste + lost * copies))
         stack += reversed(options)  # the fullest filling is tried first
     return best
 
