@@ -16,7 +16,9 @@ def tokens(text: Column | str, drop_empty: bool = True) -> Column:
     lowered = F.lower(F.coalesce(text, F.lit("")))
     if drop_empty:
         return F.array_remove(F.split(lowered, r"\s"), "")
-    return F.split(F.regexp_replace(lowered, r"\s+$", ""), r"\s")
+    ended = F.regexp_replace(lowered, r"\s+$", "")
+    only_space = (ended == "") & (lowered != "")
+    return F.when(only_space, F.array().cast("array<string>")).otherwise(F.split(ended, r"\s"))
 
 
 def hash32(value: Column) -> Column:

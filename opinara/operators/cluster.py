@@ -12,11 +12,23 @@ from opinara.sources.state import shared_folder
 # Number of clusters or topics, rounds.
 CLUSTERS = 5
 ITERATIONS = 10
+PARTITIONS = 8
 
 
-def train_kmeans(vectors: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, seed: int = 0) -> KMeansModel:
-    """K-means on a vector column ``features``; the training cost is ``model.summary.trainingCost``."""
-    return KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="features", predictionCol="cluster_id").fit(vectors)
+def in_order(vectors: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
+    """Partitions that depend on ``doc_id`` and their number only: the seeding draws by partition and position."""
+    return vectors.repartition(partitions, "doc_id").sortWithinPartitions("doc_id")
+
+
+def train_kmeans(
+    vectors: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, seed: int = 0, partitions: int = PARTITIONS
+) -> KMeansModel:
+    """K-means on ``doc_id`` and a vector column ``features``; the training cost is ``model.summary.trainingCost``.
+
+    The result belongs to ``partitions``, which should grow with the data, and not to the session or the files.
+    """
+    means = KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="features", predictionCol="cluster_id")
+    return means.fit(in_order(vectors, partitions))
 
 
 def centroids(spark: SparkSession, model: KMeansModel) -> DataFrame:
@@ -30,10 +42,12 @@ def points_of(vectors: DataFrame, column: str = "features") -> DataFrame:
     return vectors.select("doc_id", vector_to_array(column).alias("point"))
 
 
-def train_lda(vectors: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, seed: int = 0) -> LDAModel:
-    """LDA by expectation maximisation; its graph is checkpointed in the shared folder."""
+def train_lda(
+    vectors: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, seed: int = 0, partitions: int = PARTITIONS
+) -> LDAModel:
+    """LDA by expectation maximisation, partitioned as k-means is; its graph is checkpointed in the shared folder."""
     shared_folder(vectors.sparkSession)
-    return LDA(k=k, maxIter=iterations, seed=seed, optimizer="em", featuresCol="features").fit(vectors)
+    return LDA(k=k, maxIter=iterations, seed=seed, optimizer="em", featuresCol="features").fit(in_order(vectors, partitions))
 
 
 def add_tfidf(vectors: DataFrame) -> DataFrame:

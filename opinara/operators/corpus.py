@@ -136,7 +136,12 @@ def _assemble(
         .select("doc_id", F.coalesce("length", F.lit(0)).alias("length"))
     )
     documents_table = store_bucketed(documents, "documents", "doc_id", buckets)
-    length = documents_table.frame.agg(F.sum("length")).first()[0] or 0
+    # The documents lie in buckets of their ids, so this needs no shuffle.
+    found = documents_table.frame.groupBy("doc_id").agg(F.sum("length").alias("length"), F.count("*").alias("rows"))
+    totals = found.agg(F.sum("length").alias("length"), F.max("rows").alias("rows"), F.count_if(F.isnull("doc_id")).alias("none")).first()
+    if totals["none"] or (totals["rows"] or 0) > 1:
+        raise ValueError("doc_id has to be present and unique")
+    length = totals["length"] or 0
     return Corpus(
         documents_table.frame, vocabulary, bow_table.frame, buckets, length, limit, [bow_table, documents_table]
     )

@@ -7,6 +7,8 @@ import math
 from pyspark.sql import DataFrame
 
 _BYTES_PER_BUCKET = 256 << 20
+# Spark allows 100,000 buckets; beyond this number they grow with the input instead.
+MOST_BUCKETS = 50_000
 # Below this much per task slot an input may sit in too few splits to keep all slots busy.
 _SMALL_PER_SLOT = 64 << 20
 # Plans without statistics claim sizes beyond this.
@@ -26,11 +28,19 @@ def _slots(frame: DataFrame) -> int:
 
 
 def choose_buckets(frame: DataFrame) -> int:
-    """One bucket per task slot at least, more when the input's files call for them."""
+    """One bucket per task slot at least, more when the input's files call for them.
+
+    The files count as they lie there, before filters; give ``buckets`` where
+    only a small part of them is taken.
+    """
     size = scanned_bytes(frame)
     if size > _UNKNOWN_SIZE:
         return int(frame.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(_slots(frame), math.ceil(size / _BYTES_PER_BUCKET))
+    return buckets_for(size, _slots(frame))
+
+
+def buckets_for(size: int, slots: int) -> int:
+    return min(MOST_BUCKETS, max(slots, math.ceil(size / _BYTES_PER_BUCKET)))
 
 
 def spread(frame: DataFrame) -> DataFrame:

@@ -69,8 +69,15 @@ class RobustPlsa(Plsa):
         model.word_background = run.phi.select("word_id", "bg")
         model.background = run.background()
         model.noise = run.noise()
+        model.last_run = run
         return model
 
+    def log_likelihood(self, corpus: Corpus, model: TopicModel) -> DataFrame:
+        """With the noise and background of the last round, which belong to the corpus that was fitted to."""
+        if model.last_run is None or model.last_run.corpus is not corpus:
+            raise ValueError("noise is known for the corpus of the fit only")
+        return model.last_run.document_likelihoods()
+
 
 class _RobustRun(_Run):
     def __init__(self, trainer: RobustPlsa, corpus: Corpus, phi: Stored | DataFrame):
@@ -79,7 +86,7 @@ class _RobustRun(_Run):
         self.head = corpus.vocabulary.head(_row_bytes(trainer.topics + 1), corpus.broadcast_bytes)
         self.fixed_background = False
         if "bg" not in self.phi.columns:
-            self.phi = self.phi.withColumn("bg", F.lit(1.0 / size))
+            self.phi = self.phi.withColumn("bg", F.lit(1.0 / size if size else 0.0))
         length = F.col("length")
         self.theta = corpus.documents.select(
             "doc_id",

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.functions.text import hash_bucket, hash32
+from opinara.functions.text import hash32, hash_bucket, hash_unit
 from opinara.operators.rowids import number_rows
 
 # Least review count (exclusive), training percentage.
@@ -56,6 +56,11 @@ def random_rows(rows: DataFrame, key: str, n: int = 1, seed: int = 0) -> DataFra
     return rows.orderBy(*_shuffled(key, seed)).limit(n)
 
 
+def random_fraction(rows: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:
+    """About this share of the rows, each kept or not by a seeded hash of its own key; no row has to meet another."""
+    return rows.where(hash_unit(F.concat(F.col(key).cast("string"), F.lit(f":{seed}"))) < fraction)
+
+
 def random_business(businesses: DataFrame, seed: int = 0) -> DataFrame:
     """One business, drawn at random."""
     return random_rows(businesses, "business_id", 1, seed)

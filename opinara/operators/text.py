@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import HashingTF, Tokenizer
+from pyspark.ml.feature import HashingTF
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -57,20 +56,18 @@ def hashed_tf(docs: DataFrame, num_features: int = NUM_FEATURES, partitions: int
     return buckets.groupBy("doc_id", "bucket").agg(F.sum("n").alias("tf"))
 
 
-def vectorize(docs: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
-    """Add ``words`` and the sparse vector ``features``; row-wise.
+def vectorize(docs: DataFrame, num_features: int = NUM_FEATURES, drop_empty: bool = True) -> DataFrame:
+    """Add ``words``, as in every other table, and the sparse vector ``features``; row-wise.
 
-    NULL texts are read as empty, since the tokenizer rejects NULL.
+    NULL texts are read as empty.  ``drop_empty=False`` counts the empty words between neighbouring separators.
     """
-    stages = [
-        Tokenizer(inputCol="text", outputCol="words"),
-        HashingTF(numFeatures=num_features, inputCol="words", outputCol="features"),
-    ]
-    filled = spread(docs).withColumn("text", F.coalesce("text", F.lit("")))
-    return Pipeline(stages=stages).fit(filled).transform(filled)
+    filled = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    worded = filled.withColumn("words", tokens("text", drop_empty))
+    return HashingTF(numFeatures=num_features, inputCol="words", outputCol="features").transform(worded)
 
 
 def vector_entries(vectors: DataFrame, column: str = "features") -> DataFrame:
     """(doc_id, idx, value) of the non-zero vector entries."""
-    entries = vectors.select("doc_id", F.posexplode(vector_to_array(column)).alias("idx", "value"))
-    return entries.where(F.col("value") != 0)
+    entries = F.transform(vector_to_array(column), lambda value, idx: F.struct(idx.alias("idx"), value.alias("value")))
+    present = F.filter(entries, lambda entry: entry["value"] != 0)
+    return vectors.select("doc_id", F.inline(present))

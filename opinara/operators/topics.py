@@ -13,6 +13,7 @@ sums in generated code.
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -59,6 +60,10 @@ class FoldIn:
         return self.theta.sparkSession.createDataFrame(rows, "iteration int, perplexity double")
 
 
+# The largest exponent whose exponential is finite.
+_LARGEST_EXPONENT = math.log(sys.float_info.max)
+
+
 @dataclass
 class TopicModel(FoldIn):
     """A fitted model: theta, phi(token, p0..), and for the robust kind background and noise."""
@@ -68,16 +73,21 @@ class TopicModel(FoldIn):
     vocabulary: Vocabulary = None
     word_phi: DataFrame = None
     word_background: DataFrame | None = None
+    last_run: object = None
     broadcast_bytes: int = BROADCAST_BYTES
 
     def transform(self, docs: DataFrame, background: str = "reestimate") -> FoldIn:
         """Topic mixtures of new (doc_id, text) rows under the fitted phi."""
         corpus = build_corpus(docs, vocabulary=self.vocabulary, broadcast_bytes=self.broadcast_bytes)
         result = self.fold_in(corpus, background)
-        corpus.drop()
+        if self.trainer.iterations:  # without a round the result is a view of the corpus
+            corpus.drop()
         return result
 
     def fold_in(self, corpus: Corpus, background: str = "reestimate") -> FoldIn:
+        """Mixtures of a corpus that was built with this model's vocabulary; any other numbers its words differently."""
+        if self.vocabulary is not None and corpus.vocabulary is not self.vocabulary:
+            raise ValueError("build the corpus with vocabulary=model.vocabulary")
         return self.trainer.fold_in(corpus, self, background)
 
     def log_likelihood(self, corpus: Corpus) -> DataFrame:
@@ -336,4 +346,4 @@ class _Run:
     def note_perplexity(self, likelihood: float | None, prior: float) -> None:
         if self.corpus.length:
             exponent = -((likelihood or 0.0) + prior) / self.corpus.length
-            self.perplexities.append(math.exp(exponent) if exponent < 700 else math.inf)
+            self.perplexities.append(math.exp(exponent) if exponent <= _LARGEST_EXPONENT else math.inf)

@@ -318,6 +318,7 @@ def oracle() -> dict[str, str]:
         "hashed_tf": with_(tf(), "SELECT doc_id, bucket, tf FROM tf"),
         "vocabulary": with_(corpus(), "SELECT row_number() OVER (ORDER BY n DESC, token) - 1 AS word_id, token, n FROM voc"),
         "bag_of_words": with_(corpus(), "SELECT doc_id, token, n FROM bow"),
+        "vectorize": with_(counted(), "SELECT doc_id, CAST(sum(n) AS BIGINT) AS n_words FROM cnt GROUP BY doc_id"),
         "document_lengths": with_(corpus(), "SELECT doc_id, length FROM lens"),
         "collection_stats": with_(
             corpus(),

@@ -190,7 +190,8 @@ def hashed_tf(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def vectorize(spark: SparkSession, folder: str) -> DataFrame:
-    return text.vector_entries(text.vectorize(texts(spark, folder)))
+    entries = text.vector_entries(text.vectorize(texts(spark, folder)))
+    return entries.groupBy("doc_id").agg(F.sum("value").cast("bigint").alias("n_words"))
 
 
 @query

@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from opinara.operators.rowids import number_rows
+
 BUSINESS_SCHEMA = T.StructType(
     [T.StructField("business_id", T.StringType()), T.StructField("review_count", T.LongType())]
 )
@@ -35,8 +38,17 @@ def read_businesses(
 def read_reviews(
     spark: SparkSession, path: str, schema: T.StructType | None = REVIEW_SCHEMA, view: str | None = "review"
 ) -> DataFrame:
-    """Reviews; only the nested fields of the schema are parsed."""
-    return read_json(spark, path, schema, view)
+    """Reviews; only the nested fields of the schema are parsed.
+
+    Files without ids get them in the order of their lines.
+    """
+    reviews = read_json(spark, path, schema)
+    if "doc_id" not in reviews.columns:
+        reviews = reviews.withColumn("doc_id", F.lit(None).cast("long"))
+    if reviews.where("doc_id IS NOT NULL").isEmpty():
+        lines = reviews.drop("doc_id").withColumn("_line", F.monotonically_increasing_id())
+        reviews = number_rows(lines, [F.col("_line")], "doc_id").frame.drop("_line")
+    return name_view(reviews, view)
 
 
 def name_view(frame: DataFrame, view: str | None) -> DataFrame:

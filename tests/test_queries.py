@@ -4,29 +4,11 @@ import os
 
 import pytest
 
+from opinara.plans.queries import QUERIES
 from tests.check_oracle import compare, connect, registered
 
 FOLDER = "/root/testdata/sf0.001"
 
-# Left to check_oracle.py, unless OPINARA_ALL_QUERIES is set: more views of models that the others cover.
-REPEATED = {
-    "custom_prior_theta",
-    "dirichlet_log_prior",
-    "doc_loglik",
-    "document_lengths",
-    "kmeans_theta",
-    "phi_log_prior",
-    "plsa_init",
-    "plsa_perplexity",
-    "plsa_phi",
-    "regularized_phi",
-    "regularized_theta",
-    "robust_background",
-    "robust_fold_in_fixed",
-    "robust_perplexity",
-    "robust_theta",
-}
-
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="the test tables are not here")
 
 
@@ -35,10 +17,9 @@ def connection():
     return connect(FOLDER)
 
 
-@pytest.mark.parametrize("name", list(registered.queries()))
+# The corpus operators have tests of their own, which go with them.
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, connection, name):
-    if name in REPEATED and not os.environ.get("OPINARA_ALL_QUERIES"):
-        pytest.skip("left to check_oracle.py")
     assert compare(spark, connection, FOLDER, name) is None
 
 
