@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.columns import whole
+from opinara.llm.columns import drawn, whole
 
 UNKNOWN = "unknown"
 #: Notices by licence family.
@@ -205,7 +205,7 @@ def sample_paragraphs(docs: DataFrame, text: str = "text", rows: int = UNKNOWN_R
     lines = F.split(whole(text), "\n")
     pick = F.get(lines, F.pmod(F.xxhash64(whole(text)), F.size(lines)).cast("int"))
     found = docs.select(pick.alias("line")).filter("length(line) BETWEEN 1 AND 2000")
-    return [r["line"] for r in found.orderBy(F.xxhash64("line"), "line").limit(rows).collect()]
+    return [r["line"] for r in drawn(found, ["line"], rows, docs.count()).collect()]
 
 
 _SCANNED = (

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from opinara.llm.columns import whole
+from opinara.llm.columns import drawn, whole
 from opinara.sources.state import store
 
 #: Size of the hash space of terms, in bits.
@@ -147,12 +147,10 @@ def _sample(docs: DataFrame, labels: DataFrame, max_rows: int) -> DataFrame:
     usable = labels.select(F.col("doc_id").cast("long").alias("key"), F.col("toxic").cast("int").alias("toxic")).filter(
         F.col("toxic").isin(0, 1) & in_training(F.col("key"))
     )
-    order = [F.xxhash64("key"), F.col("key")]
-    drawn = usable.filter("toxic = 1").orderBy(*order).limit(max_rows).unionAll(
-        usable.filter("toxic = 0").orderBy(*order).limit(max_rows)
-    )
+    counted = {r["toxic"]: r["n"] for r in usable.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = (drawn(usable.filter(F.col("toxic") == y), ["key"], max_rows, counted.get(y, 0)) for y in (1, 0))
     texts = docs.select(F.col("doc_id").cast("long").alias("key"), whole("text").alias("text"))
-    return texts.join(F.broadcast(drawn), "key").select("text", "toxic")
+    return texts.join(F.broadcast(toxic.unionAll(clean)), "key").select("text", "toxic")
 
 
 def _count_terms(places: set[int] | None):
