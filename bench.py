@@ -14,7 +14,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 from opinara.operators import corpus, ranking, regression, text  # noqa: E402
 from opinara.operators.robust import RobustPlsa  # noqa: E402
 from opinara.operators.topics import Plsa  # noqa: E402
-from opinara.plans import queries  # noqa: E402
+from opinara.plans import experiments, queries  # noqa: E402
 from opinara.session import build_session  # noqa: E402
 
 ROUNDS = 3
@@ -61,10 +61,10 @@ def main():
         ),
         "nearest_center": lambda: run(ranking.nearest_center(points, centers)),
         "closest_nth_points": lambda: run(ranking.closest_nth_points(points, centers, 3)),
-        "kmeans_reviews": lambda: run(queries.kmeans_reviews(spark, folder)),
-        "lda_reviews": lambda: run(queries.lda_reviews(spark, folder)),
-        "useful_models": lambda: run(queries.useful_models(spark, folder)),
-        "kmeans_tfidf": lambda: run(queries.kmeans_tfidf(spark, folder)),
+        "kmeans_reviews": lambda: run(queries.kmeans_reviews_rows(spark, folder)),
+        "lda_reviews": lambda: run(queries.lda_reviews_rows(spark, folder)),
+        "useful_models": lambda: run(experiments.train_useful(queries.reviews(spark, folder)).metrics),
+        "kmeans_tfidf": lambda: run(queries.kmeans_tfidf_rows(spark, folder)),
     }
     seconds = {}
     for name, step in steps.items():

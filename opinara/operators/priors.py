@@ -27,6 +27,13 @@ class Prior:
         """New count of one component, given its old probability; NaN-free and not below zero."""
         return F.greatest(F.lit(0.0), count)
 
+    def regularize_all(self, counts: list[Column], olds: list[Column]) -> list[Column]:
+        """New counts of a row, given its old probabilities: of a document by topic, or of a word by topic.
+
+        Override this instead of ``regularize`` where the topics depend on one another.
+        """
+        return [self.regularize(count, old) for count, old in zip(counts, olds)]
+
     def log_term(self, probability: Column) -> Column:
         """One component's share of the log density."""
         return F.lit(0.0)

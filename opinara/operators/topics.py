@@ -271,10 +271,7 @@ class _Run:
     def store_theta(self, sums: DataFrame) -> Stored:
         """Regularise and normalise; documents without words or counts keep their mixture."""
         joined = self.theta.join(sums.hint("shuffle_hash"), "doc_id", "left")
-        prior = self.trainer.theta_prior
-        counts = {
-            f"c{k}": prior.regularize(F.coalesce(f"r{k}", F.lit(0.0)), t) for k, t in enumerate(self.ts())
-        }
+        counts = {f"c{k}": c for k, c in enumerate(self.regularised(self.trainer.theta_prior, self.ts()))}
         counted = joined.withColumns(counts).withColumn("total", add([F.col(c) for c in counts]))
         new = counted.select(
             "doc_id",
@@ -294,10 +291,10 @@ class _Run:
 
     def counts(self) -> list[Column]:
         """Regularised counts by word; words without any count take part with zero."""
-        prior = self.trainer.phi_prior
-        return [
-            prior.regularize(F.coalesce(f"r{k}", F.lit(0.0)), p).alias(f"c{k}") for k, p in enumerate(self.ps())
-        ]
+        return [c.alias(f"c{k}") for k, c in enumerate(self.regularised(self.trainer.phi_prior, self.ps()))]
+
+    def regularised(self, prior: Prior, olds: list[Column]) -> list[Column]:
+        return prior.regularize_all([F.coalesce(f"r{k}", F.lit(0.0)) for k in self.ks], olds)
 
     def normalised(self, counts: DataFrame, *others: Column) -> DataFrame:
         """Divide by the topic totals; a topic without any count keeps its words."""

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 import math
 
-from opinara.operators.regression import RIDGE
+from opinara.operators.regression import ITERATIONS, RIDGE
 from opinara.operators.robust import EPS, GAMMA
-from opinara.plans.queries import BUSINESS, PHI_ALPHA, PHI_DIGITS, PULL, ROUNDS, THETA_ALPHA, THETA_DIGITS, TOPICS
+from opinara.plans.queries import BUSINESS, PHI_ALPHA, PHI_DIGITS, PULL, PUSH, ROUNDS, SHORT_STEP, STEP, THETA_ALPHA, THETA_DIGITS, TOPICS
 
 KS = range(TOPICS)
 SPLIT = r"string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]')"
@@ -113,7 +113,9 @@ def next_theta(i: int, prior: str = NO_PRIOR, prefix: str = "", source: str | No
 
 def next_phi(i: int, prior: str = NO_PRIOR, source: str | None = None) -> list[tuple[str, str]]:
     source = source or f"rows{i}"
-    counts = ", ".join(prior.format(c=f"coalesce(p{k} * w{k}, 0)", old=f"p{k}") + f" AS c{k}" for k in KS)
+    counts = ", ".join(
+        prior.format(c=f"coalesce(p{k} * w{k}, 0)", old=f"p{k}", all=total("p#")) + f" AS c{k}" for k in KS
+    )
     return [
         (f"wsum{i}", f"SELECT token, {cols('sum(CASE WHEN z > 0 THEN n / z END * t#) AS w#')} FROM {source} GROUP BY token"),
         (f"wcnt{i}", f"SELECT token, {counts} FROM phi{i} LEFT JOIN wsum{i} USING (token)"),
@@ -158,8 +160,7 @@ def log_sum(source: str, weight: str = "z") -> str:
     return f"(SELECT sum(CASE WHEN z > 0 THEN n * ln({weight}) ELSE '-infinity'::DOUBLE END) FROM {source})"
 
 
-def perplexity_of(parts: list[str]) -> str:
-    length = "(SELECT sum(length) FROM lens)"
+def perplexity_of(parts: list[str], length: str = "(SELECT sum(length) FROM lens)") -> str:
     selects = [
         f"SELECT CAST({i} AS INTEGER) AS iteration, round(exp(-({part}) / {length}), 4) AS perplexity"
         for i, part in enumerate(parts)
@@ -219,10 +220,10 @@ def robust_round(i: int, prefix: str = "") -> list[tuple[str, str]]:
     ]
 
 
-def robust_em() -> list[tuple[str, str]]:
+def robust_em(theta_prior: str = NO_PRIOR, phi_prior: str = NO_PRIOR) -> list[tuple[str, str]]:
     ctes = corpus() + start_phi() + start_theta() + robust_start()
     for i in range(ROUNDS):
-        ctes += [robust_rows(i)] + next_theta(i) + next_phi(i) + robust_round(i)
+        ctes += [robust_rows(i)] + next_theta(i, theta_prior) + next_phi(i, phi_prior) + robust_round(i)
     return ctes
 
 
@@ -265,14 +266,14 @@ PREDICTED = tf() + [
 ]
 
 
-def gradient(step: float, ridge: float) -> str:
+def gradient(step: float, ridge: float, rounds: int) -> str:
     ctes = [
         ("lab", "SELECT doc_id, text, CAST(quality AS DOUBLE) AS label FROM documents JOIN labels USING (doc_id)"),
         *tf("lab"),
         ("buckets", "SELECT range AS bucket FROM range(1000)"),
         ("w0", "SELECT bucket, 0.0::DOUBLE AS weight FROM buckets"),
     ]
-    for i in range(2):
+    for i in range(rounds):
         size = step / math.sqrt(i + 1)
         ctes += [
             (
@@ -286,7 +287,13 @@ def gradient(step: float, ridge: float) -> str:
                 f"SELECT bucket, weight * {1 - size * ridge!r} - {size!r} * coalesce(g, 0) AS weight FROM w{i} LEFT JOIN g{i} USING (bucket)",
             ),
         ]
-    return with_(ctes, "SELECT bucket, round(weight, 8) AS weight FROM w2")
+    return with_(ctes, f"SELECT bucket, round(weight, 8) AS weight FROM w{rounds}")
+
+
+def gradients(rounds: int, step: float) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{name}' AS model, * FROM ({gradient(step, ridge, rounds)})" for name, ridge in (("linear", 0.0), ("ridge", RIDGE))
+    )
 
 
 def oracle() -> dict[str, str]:
@@ -294,13 +301,30 @@ def oracle() -> dict[str, str]:
     counts = "SELECT source AS business_id, count(*) AS review_count FROM documents GROUP BY source"
     priors = [dirichlet(THETA_ALPHA), dirichlet(PHI_ALPHA)]
     last = ROUNDS
+    new_length = "(SELECT sum(n) FROM xbow)"
     regularized_parts = [
         f"{log_sum(f'rows{i}')} + (SELECT sum({THETA_DENSITY}) FROM theta{i}) + "
         + " + ".join(phi_density(k, f"phi{i}") for k in KS)
         for i in range(last + 1)
     ]
     business = f"SELECT doc_id, text FROM documents WHERE source = '{BUSINESS}'"
+    drawn = "ORDER BY " + hash32("business_id || ':0'") + ", business_id LIMIT 1"
+    clustered = "SELECT doc_id, true AS nearest, true AS cost_holds FROM documents"
+    errors_hold = "SELECT model, true AS mse_holds, true AS rmse_holds{more} FROM (VALUES ('linear'), ('ridge')) AS m(model)"
     return {
+        # What solvers find is beyond SQL: these say which rows there are, and that every check of a row is true.
+        "save_load_model": "SELECT doc_id, true AS linear_same, true AS ridge_same FROM documents",
+        "kmeans_reviews": f"{clustered} WHERE source = '{BUSINESS}'",
+        "kmeans_tfidf": clustered,
+        "kmeans_theta": clustered,
+        "centroids": "SELECT range AS center_id, CAST(1000 AS INTEGER) AS width, true AS own FROM range(5)",
+        "lda_reviews": f"SELECT doc_id, true AS is_mixture FROM documents WHERE source = '{BUSINESS}'",
+        "linear_useful": "SELECT range AS bucket, true AS stationary FROM range(1000)",
+        "ridge_useful": "SELECT range AS bucket, true AS stationary FROM range(1000)",
+        "useful_models": errors_hold.format(more=""),
+        "train_all": errors_hold.format(more=", true AS cost_holds, true AS loglik_holds"),
+        "observe": f"SELECT doc_id, text, true AS pred_holds, true AS nearest FROM documents WHERE source = '{BUSINESS}'",
+        "rank_instance": f"SELECT business_id, true AS best_holds, true AS furthest_holds, true AS closest_holds FROM ({counts}) WHERE review_count > 5 {drawn}",
         "scan_documents": "SELECT * FROM documents",
         "scan_json_reviews": "SELECT doc_id, source AS business_id, text, CAST(coalesce(quality, 0) AS BIGINT) AS useful FROM documents LEFT JOIN labels USING (doc_id)",
         "reviews_of_business": business,
@@ -345,6 +369,21 @@ def oracle() -> dict[str, str]:
         "regularized_theta": theta_sql(em(*priors), f"theta{last}"),
         "regularized_phi": phi_sql(em(*priors), f"phi{last}"),
         "regularized_perplexity": with_(em(*priors) + [rows(last)], perplexity_of(regularized_parts)),
+        "robust_doc_loglik": with_(
+            robust_em() + [robust_rows(last)],
+            f"SELECT ids.doc_id, round(coalesce(sum(n * ln(z)), 0), 4) AS loglik FROM ids LEFT JOIN rows{last} USING (doc_id) GROUP BY ids.doc_id",
+        ),
+        "plsa_fold_in_perplexity": with_(
+            folded() + [rows(last, "x", f"phi{last}")], perplexity_of([log_sum(f"xrows{i}") for i in range(last + 1)], new_length)
+        ),
+        "robust_fold_in_perplexity": with_(
+            robust_folded(None) + [robust_rows(last, "x", f"phi{last}")],
+            perplexity_of([log_sum(f"xrows{i}") for i in range(last + 1)], new_length),
+        ),
+        "robust_regularized_theta": theta_sql(robust_em(*priors), f"theta{last}"),
+        "robust_regularized_phi": phi_sql(robust_em(*priors), f"phi{last}"),
+        "robust_regularized_perplexity": with_(robust_em(*priors) + [robust_rows(last)], perplexity_of(regularized_parts)),
+        "custom_prior_phi": phi_sql(em(phi_prior=f"greatest(0.0::DOUBLE, {{c}} - {PUSH} * {{old}} * ({{all}} - {{old}}))"), f"phi{last}"),
         "dirichlet_log_prior": with_(em(*priors), f"SELECT doc_id, round({THETA_DENSITY}, 4) AS log_prior FROM theta{last}"),
         "phi_log_prior": with_(
             em(*priors), "SELECT " + ", ".join(f"round({phi_density(k, f'phi{last}')}, 4) AS log_prior{k}" for k in KS)
@@ -370,9 +409,6 @@ def oracle() -> dict[str, str]:
             PREDICTED,
             "SELECT round(avg((prediction - quality) ** 2), 6) AS mse, round(sqrt(avg((prediction - quality) ** 2)), 6) AS rmse FROM pred JOIN labels USING (doc_id)",
         ),
-        "gd_two_steps": "SELECT 'linear' AS model, * FROM ("
-        + gradient(0.001, 0.0)
-        + ") UNION ALL SELECT 'ridge' AS model, * FROM ("
-        + gradient(0.001, RIDGE)
-        + ")",
+        "gd_two_steps": gradients(2, STEP),
+        "gd_twelve_steps": gradients(ITERATIONS, SHORT_STEP),
     }

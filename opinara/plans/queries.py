@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from opinara.functions.numeric import add
 from opinara.functions.text import hash_unit
 from opinara.operators import cluster, corpus, ranking, regression, selection, text
 from opinara.operators.priors import Prior, SymmetricDirichlet
 from opinara.operators.robust import RobustPlsa
 from opinara.operators.topics import Plsa, TopicModel, initial_phi
-from opinara.plans import experiments
+from opinara.plans import checks, experiments
 from opinara.sources import models
 from opinara.sources.readers import name_view, read_reviews, read_table
 from opinara.sources.state import new_path
@@ -25,6 +27,10 @@ BUSINESS = "src3"
 THETA_ALPHA = 0.5
 PHI_ALPHA = 0.8
 PULL = 10.0
+PUSH = 10_000.0
+
+#: Of two gradient steps, and of twelve, where texts of thousands of words make longer ones diverge.
+STEP, SHORT_STEP = 0.001, 0.00001
 
 THETA_DIGITS = 6
 PHI_DIGITS = 10
@@ -107,7 +113,7 @@ def scan_json_reviews(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def save_load_model(spark: SparkSession, folder: str) -> DataFrame:
-    """Predictions of the trained and the stored models side by side."""
+    """Do the stored models predict what the trained ones do, and what their weights say?"""
     frame = reviews(spark, folder)
     path = new_path(spark, "models")
     trained: list[models.Models] = []
@@ -118,10 +124,21 @@ def save_load_model(spark: SparkSession, folder: str) -> DataFrame:
 
     models.load_or_train(spark, path, train)
     loaded = models.load_or_train(spark, path, train)
-    scored = text.vectorize(texts(spark, folder)).select("doc_id", "features")
-    for name, model in (("trained_pred", trained[0][1]), ("loaded_pred", loaded[1])):
-        scored = model.transform(scored).withColumnRenamed("prediction", name)
-    return scored.select("doc_id", "trained_pred", "loaded_pred")
+    vectors = text.vectorize(texts(spark, folder)).select("doc_id", "features")
+    scored = vectors
+    for name, pair in (("trained", trained[0]), ("loaded", loaded)):
+        for kind, model in zip(("linear", "ridge"), pair):
+            scored = model.transform(scored).withColumnRenamed("prediction", f"{name}_{kind}")
+    for kind, model in zip(("linear", "ridge"), loaded):
+        expected = checks.predictions(vectors, model).withColumnRenamed("expected", f"expected_{kind}")
+        scored = scored.join(expected, "doc_id")
+    return scored.select(
+        "doc_id",
+        *[
+            ((F.col(f"trained_{k}") == F.col(f"loaded_{k}")) & checks.close(F.col(f"loaded_{k}"), F.col(f"expected_{k}"))).alias(f"{k}_same")
+            for k in ("linear", "ridge")
+        ],
+    )
 
 
 # -- selection -------------------------------------------------------------------
@@ -310,6 +327,24 @@ def robust_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(fitted(spark, folder, robust(perplexity=True)).perplexity, 4, "perplexity")
 
 
+@query
+def robust_doc_loglik(spark: SparkSession, folder: str) -> DataFrame:
+    built = corpus.build_corpus(texts(spark, folder))
+    return rounded(robust().fit(built).log_likelihood(built), 4, "loglik")
+
+
+@query
+def plsa_fold_in_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    folded = fitted(spark, folder, plsa(perplexity=True)).transform(new_texts(spark, folder))
+    return rounded(folded.perplexity, 4, "perplexity")
+
+
+@query
+def robust_fold_in_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    folded = fitted(spark, folder, robust(perplexity=True)).transform(new_texts(spark, folder))
+    return rounded(folded.perplexity, 4, "perplexity")
+
+
 @query
 def robust_fold_in(spark: SparkSession, folder: str) -> DataFrame:
     return theta_columns(fitted(spark, folder, robust()).transform(new_texts(spark, folder)).theta)
@@ -340,6 +375,22 @@ def regularized_perplexity(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(model.perplexity, 4, "perplexity")
 
 
+@query
+def robust_regularized_theta(spark: SparkSession, folder: str) -> DataFrame:
+    return theta_columns(fitted(spark, folder, robust(**dirichlet())).theta)
+
+
+@query
+def robust_regularized_phi(spark: SparkSession, folder: str) -> DataFrame:
+    return phi_columns(fitted(spark, folder, robust(**dirichlet())).phi)
+
+
+@query
+def robust_regularized_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    model = fitted(spark, folder, robust(perplexity=True, **dirichlet()))
+    return rounded(model.perplexity, 4, "perplexity")
+
+
 @query
 def dirichlet_log_prior(spark: SparkSession, folder: str) -> DataFrame:
     """Log density of each document's mixture."""
@@ -370,6 +421,19 @@ def custom_prior_theta(spark: SparkSession, folder: str) -> DataFrame:
     return theta_columns(fitted(spark, folder, plsa(theta_prior=Pull())).theta)
 
 
+class Push(Prior):
+    """A prior over the whole row: takes from a word's count what it shares with the other topics."""
+
+    def regularize_all(self, counts: list[Column], olds: list[Column]) -> list[Column]:
+        total = add(olds)
+        return [F.greatest(F.lit(0.0), c - F.lit(PUSH) * old * (total - old)) for c, old in zip(counts, olds)]
+
+
+@query
+def custom_prior_phi(spark: SparkSession, folder: str) -> DataFrame:
+    return phi_columns(fitted(spark, folder, plsa(phi_prior=Push())).phi)
+
+
 # -- ranking -----------------------------------------------------------------------
 
 
@@ -448,13 +512,12 @@ def rmse_mse(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(regression.errors(scored.join(frame, "doc_id")), 6, "mse", "rmse")
 
 
-@query
-def gd_two_steps(spark: SparkSession, folder: str) -> DataFrame:
-    """Weights after two plain and two ridge steps."""
+def _gradient_weights(spark: SparkSession, folder: str, rounds: int, step: float) -> DataFrame:
+    """(model, bucket, weight) after as many plain and ridge steps."""
     frame = labelled(spark, folder)
     packed = regression.packed_tf(frame).join(frame.select("doc_id", "label"), "doc_id", "right")
     tables = [
-        regression.train_by_gradient(packed, 2, step=0.001, ridge=ridge)
+        regression.train_by_gradient(packed, rounds, step=step, ridge=ridge)
         .table(packed)
         .select(F.lit(name).alias("model"), "bucket", F.round("weight", 8).alias("weight"))
         for name, ridge in (("linear", 0.0), ("ridge", regression.RIDGE))
@@ -462,50 +525,99 @@ def gd_two_steps(spark: SparkSession, folder: str) -> DataFrame:
     return tables[0].unionByName(tables[1])
 
 
+@query
+def gd_two_steps(spark: SparkSession, folder: str) -> DataFrame:
+    return _gradient_weights(spark, folder, 2, STEP)
+
+
+@query
+def gd_twelve_steps(spark: SparkSession, folder: str) -> DataFrame:
+    return _gradient_weights(spark, folder, regression.ITERATIONS, SHORT_STEP)
+
+
 # -- clustering and regression by the ML library -----------------------------------------
+#
+# What a solver finds cannot be said in SQL.  The functions ``*_rows`` give the models' output; the queries
+# say per row what must hold of it, by the formulas of ``checks``.
+
+
+def business_features(spark: SparkSession, folder: str) -> DataFrame:
+    return experiments.business_vectors(plain_reviews(spark, folder), BUSINESS).select("doc_id", "features")
+
+
+def kmeans_reviews_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, cluster_id, wssse) of the reviews of a business."""
+    vectors = business_features(spark, folder)
+    model = cluster.train_kmeans(vectors)
+    return model.transform(vectors).select("doc_id", "cluster_id", F.lit(model.summary.trainingCost).alias("wssse"))
 
 
 @query
 def kmeans_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = experiments.business_vectors(plain_reviews(spark, folder), BUSINESS)
-    model = cluster.train_kmeans(vectors.select("doc_id", "features"))
-    cost = F.lit(model.summary.trainingCost)
-    return model.transform(vectors).select("doc_id", "cluster_id", cost.alias("wssse"))
+    vectors = business_features(spark, folder)
+    model = cluster.train_kmeans(vectors)
+    return checks.clusters(vectors, model.transform(vectors), model)
 
 
 @query
 def centroids(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = experiments.business_vectors(plain_reviews(spark, folder), BUSINESS)
-    return cluster.centroids(spark, cluster.train_kmeans(vectors.select("doc_id", "features")))
+    """Centers as a table: does the model put each into its own cluster, is the table the model's?"""
+    model = cluster.train_kmeans(business_features(spark, folder))
+    table = cluster.centroids(spark, model)
+    vectors = table.select(F.col("cluster_id").alias("doc_id"), array_to_vector("center").alias("features"))
+    distances = checks.center_distances(vectors, model)
+    zero = F.get("distances", F.col("doc_id").cast("int")) <= checks.TOLERANCE * (1 + F.array_max("distances"))
+    return (
+        model.transform(vectors)
+        .join(distances, "doc_id")
+        .join(table.select(F.col("cluster_id").alias("doc_id"), F.size("center").alias("width")), "doc_id")
+        .select(F.col("doc_id").alias("center_id"), "width", ((F.col("cluster_id") == F.col("doc_id")) & zero).alias("own"))
+    )
 
 
-@query
-def lda_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = experiments.business_vectors(plain_reviews(spark, folder), BUSINESS)
-    model = cluster.train_lda(vectors.select("doc_id", "features"))
+def lda_reviews_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """(doc_id, t0..): topic mixtures of the reviews of a business."""
+    vectors = business_features(spark, folder)
+    model = cluster.train_lda(vectors)
     mixture = vector_to_array("topicDistribution")
     return model.transform(vectors).select("doc_id", *[mixture[k].alias(f"t{k}") for k in range(TOPICS)])
 
 
-def _test_predictions(spark: SparkSession, folder: str, train) -> DataFrame:
-    vectors = text.vectorize(labelled(spark, folder)).withColumn("label", F.col("label").cast("double"))
-    training, test = selection.split(vectors)
-    return train(training).transform(test).select("doc_id", "label", "prediction")
+@query
+def lda_reviews(spark: SparkSession, folder: str) -> DataFrame:
+    shares = [F.col(f"t{k}") for k in range(TOPICS)]
+    return lda_reviews_rows(spark, folder).select("doc_id", checks.mixture(shares).alias("is_mixture"))
+
+
+def useful_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    vectors = text.vectorize(labelled(spark, folder))
+    return selection.split(vectors.select("doc_id", "features", F.col("label").cast("double").alias("label")))
 
 
 @query
 def linear_useful(spark: SparkSession, folder: str) -> DataFrame:
-    return _test_predictions(spark, folder, regression.train_linear)
+    training, _ = useful_vectors(spark, folder)
+    return checks.stationary(training, regression.train_linear(training), 0.0)
 
 
 @query
 def ridge_useful(spark: SparkSession, folder: str) -> DataFrame:
-    return _test_predictions(spark, folder, regression.train_ridge)
+    training, _ = useful_vectors(spark, folder)
+    return checks.stationary(training, regression.train_ridge(training), regression.RIDGE)
+
+
+def _metrics_hold(spark: SparkSession, folder: str, trained: experiments.UsefulModels) -> DataFrame:
+    _, test = useful_vectors(spark, folder)
+    parts = []
+    for name, model in zip(("linear", "ridge"), trained):
+        scored = test.join(checks.predictions(test, model), "doc_id").select("label", "expected")
+        parts.append(checks.metrics(scored, trained.metrics, name))
+    return parts[0].unionByName(parts[1])
 
 
 @query
 def useful_models(spark: SparkSession, folder: str) -> DataFrame:
-    return experiments.train_useful(reviews(spark, folder)).metrics
+    return _metrics_hold(spark, folder, experiments.train_useful(reviews(spark, folder)))
 
 
 # -- whole experiments ---------------------------------------------------------------
@@ -513,35 +625,73 @@ def useful_models(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def train_all(spark: SparkSession, folder: str) -> DataFrame:
-    """Training cost, topic likelihood and test error of the three models of a business."""
+    """Training cost, topic likelihood and test errors of the three models of a business."""
     trained = experiments.train_all(reviews(spark, folder), BUSINESS)
-    return trained.useful.metrics.withColumns(
+    distances = checks.center_distances(business_features(spark, folder), trained.kmeans)
+    likelihood = trained.lda.trainingLogLikelihood()
+    return _metrics_hold(spark, folder, trained.useful).withColumns(
         {
-            "wssse": F.lit(trained.kmeans.summary.trainingCost),
-            "lda_loglik": F.lit(trained.lda.trainingLogLikelihood()),
+            "cost_holds": F.lit(checks.cost_holds(distances, trained.kmeans)),
+            "loglik_holds": F.lit(math.isfinite(likelihood) and likelihood < 0),
         }
     )
 
 
 @query
 def observe(spark: SparkSession, folder: str) -> DataFrame:
-    frame = reviews(spark, folder)
-    vectors = experiments.business_vectors(plain_reviews(spark, folder), BUSINESS)
-    kmeans = cluster.train_kmeans(vectors.select("doc_id", "features"))
-    ridge = experiments.train_useful(frame).ridge
-    return experiments.observe(plain_reviews(spark, folder), BUSINESS, kmeans, ridge)
+    """Each review of a business with its text: predicted by the weights, and in the nearest cluster?"""
+    vectors = business_features(spark, folder)
+    kmeans = cluster.train_kmeans(vectors)
+    ridge = experiments.train_useful(reviews(spark, folder)).ridge
+    seen = experiments.observe(plain_reviews(spark, folder), BUSINESS, kmeans, ridge)
+    placed = checks.clusters(vectors, seen, kmeans)
+    return (
+        seen.join(placed, "doc_id")
+        .join(checks.predictions(vectors, ridge), "doc_id")
+        .select("doc_id", "text", checks.close(F.col("useful_pred"), F.col("expected")).alias("pred_holds"), "nearest")
+    )
 
 
 @query
 def rank_instance(spark: SparkSession, folder: str) -> DataFrame:
+    """The business drawn; are the three choices the best by plain comparison with all its reviews?"""
     linear = experiments.train_useful(reviews(spark, folder)).linear
-    return experiments.rank_instance(plain_reviews(spark, folder), businesses(spark, folder), linear, minimum=5)
+    row = experiments.rank_instance(plain_reviews(spark, folder), businesses(spark, folder), linear, minimum=5).first()
+    vectors = experiments.business_vectors(plain_reviews(spark, folder), row["business_id"]).select("doc_id", "features")
+    kmeans = cluster.train_kmeans(vectors)
+    to_chosen = F.get("distances", F.lit(row["furthest_cluster_id"]).cast("int"))
+    facts = checks.center_distances(vectors, kmeans).join(checks.predictions(vectors, linear), "doc_id")
+    best, closest = F.col("doc_id") == row["most_useful_doc_id"], F.col("doc_id") == row["closest_doc_id"]
+    all_of = facts.agg(
+        F.max("expected").alias("most"),
+        F.max(F.when(best, F.col("expected"))).alias("own"),
+        F.max(F.when(best, F.array_max("distances"))).alias("furthest"),
+        F.max(F.when(best, to_chosen)).alias("own_furthest"),
+        F.min(to_chosen).alias("closest"),
+        F.max(F.when(closest, to_chosen)).alias("own_closest"),
+    )
+    return all_of.select(
+        F.lit(row["business_id"]).alias("business_id"),
+        checks.close(F.col("own"), F.col("most")).alias("best_holds"),
+        checks.close(F.col("own_furthest"), F.col("furthest")).alias("furthest_holds"),
+        checks.close(F.col("own_closest"), F.col("closest")).alias("closest_holds"),
+    )
+
+
+def tfidf_vectors(spark: SparkSession, folder: str) -> DataFrame:
+    return cluster.add_tfidf(text.vectorize(texts(spark, folder)).select("doc_id", "features"))
+
+
+def kmeans_tfidf_rows(spark: SparkSession, folder: str) -> DataFrame:
+    vectors = tfidf_vectors(spark, folder)
+    return cluster.train_kmeans(vectors).transform(vectors).select("doc_id", "cluster_id")
 
 
 @query
 def kmeans_tfidf(spark: SparkSession, folder: str) -> DataFrame:
-    vectors = cluster.add_tfidf(text.vectorize(texts(spark, folder)).select("doc_id", "features"))
-    return cluster.train_kmeans(vectors).transform(vectors).select("doc_id", "cluster_id")
+    vectors = tfidf_vectors(spark, folder)
+    model = cluster.train_kmeans(vectors)
+    return checks.clusters(vectors, model.transform(vectors), model)
 
 
 @query
@@ -549,4 +699,5 @@ def kmeans_theta(spark: SparkSession, folder: str) -> DataFrame:
     theta = fitted(spark, folder, plsa()).theta
     assembler = VectorAssembler(inputCols=[f"t{k}" for k in range(TOPICS)], outputCol="features")
     vectors = assembler.transform(theta)
-    return cluster.train_kmeans(vectors).transform(vectors).select("doc_id", "cluster_id")
+    model = cluster.train_kmeans(vectors)
+    return checks.clusters(vectors, model.transform(vectors), model)

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinara.operators import cluster, regression, selection, text
-from opinara.plans import experiments
+from opinara.plans import checks, experiments
 from opinara.sources import models, readers
 from opinara.sources.state import new_path, path_exists, shared_folder
 
@@ -169,3 +169,30 @@ def test_experiments(spark, reviews):
 def test_state_goes_to_the_configured_folder(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
     assert os.path.isdir(shared_folder(spark))
+
+
+def test_library_solutions_match_numpy(spark, reviews):
+    labelled = selection.text_with_label(reviews)
+    vectors = text.vectorize(labelled, 40).select("doc_id", "features", F.col("label").cast("double").alias("label"))
+    rows = vectors.collect()
+    x, y = np.array([r.features.toArray() for r in rows]), np.array([r.label for r in rows])
+    ridge = np.linalg.solve(x.T @ x / len(y) + 0.01 * np.eye(40), x.T @ y / len(y))
+    assert regression.train_ridge(vectors, 0.01).coefficients.toArray() == pytest.approx(ridge, abs=1e-6)  # the solver stops by its gain
+    linear = regression.train_linear(vectors).coefficients.toArray()
+    best = x @ np.linalg.lstsq(x, y, rcond=None)[0]
+    assert x @ linear == pytest.approx(best, abs=1e-5)
+
+
+def test_checks_see_wrong_models(spark, reviews):
+    vectors = experiments.business_vectors(reviews, "b1").select("doc_id", "features")
+    model = cluster.train_kmeans(vectors, 3)
+    assigned = model.transform(vectors)
+    right = checks.clusters(vectors, assigned, model).collect()
+    assert len(right) == 30 and all(r.nearest and r.cost_holds for r in right)
+    moved = assigned.withColumn("cluster_id", (F.col("cluster_id") + 1) % 3)
+    assert not any(r.nearest for r in checks.clusters(vectors, moved, model).collect())
+    labelled = selection.text_with_label(reviews)
+    training = text.vectorize(labelled).select("doc_id", "features", F.col("label").cast("double").alias("label"))
+    ridge = regression.train_ridge(training)
+    assert all(r.stationary for r in checks.stationary(training, ridge, regression.RIDGE).collect())
+    assert not all(r.stationary for r in checks.stationary(training, ridge, 1.0).collect())

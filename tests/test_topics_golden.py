@@ -74,8 +74,6 @@ def theta_of(result):
 @pytest.mark.parametrize("limit", [None, 0])
 @pytest.mark.parametrize("name", CASES)
 def test_fit(spark, name, limit):
-    if limit == 0 and name not in ("plsa2", "robust2"):
-        pytest.skip("the shuffled way is tried on the two-round cases")
     trainer, theta, phi, perplexities = CASES[name]
     corpus, start = make_corpus(spark, limit)
     model = trainer.fit(corpus, start)
