@@ -81,7 +81,9 @@ class GradientModel:
         return F.aggregate(
             F.coalesce("terms", F.array().cast("array<struct<bucket:bigint,tf:bigint>>")),
             F.lit(0.0),
-            lambda total, term: total + term["tf"] * F.get(weights, term["bucket"].cast("int")),
+            lambda total, term: total
+            + term["tf"]
+            * F.coalesce(F.get(weights, term["bucket"].cast("int")), F.raise_error("a bucket has no weight").cast("double")),
         )
 
     def transform(self, packed: DataFrame) -> DataFrame:
@@ -131,10 +133,15 @@ def train_by_gradient(
 def predict_by_weights(docs: DataFrame, weights: DataFrame, num_features: int = NUM_FEATURES) -> DataFrame:
     """(doc_id, prediction) of (doc_id, text) rows by a (bucket, weight) table of at most ``num_features`` rows.
 
-    Documents without words are predicted zero.
+    Documents without words, and buckets without a weight, count zero.
+    Buckets beyond ``num_features``, given twice or NULL are errors.
     """
-    if weights.limit(num_features + 1).count() > num_features:
-        raise ValueError(f"more than {num_features} weights")
+    legal = F.col("bucket").between(0, num_features - 1)
+    seen = weights.agg(
+        F.count("*").alias("rows"), F.count(F.when(legal, 1)).alias("legal"), F.countDistinct("bucket").alias("distinct")
+    ).first()
+    if not seen["rows"] == seen["legal"] == seen["distinct"]:
+        raise ValueError(f"buckets of weights have to be in 0 .. {num_features - 1} and given once each")
     weighted = hashed_tf(docs, num_features).join(F.broadcast(weights), "bucket")
     sums = weighted.groupBy("doc_id").agg(F.sum(F.col("tf") * F.col("weight")).alias("prediction"))
     return docs.select("doc_id").join(sums, "doc_id", "left").fillna({"prediction": 0.0})

@@ -196,3 +196,13 @@ def test_checks_see_wrong_models(spark, reviews):
     ridge = regression.train_ridge(training)
     assert all(r.stationary for r in checks.stationary(training, ridge, regression.RIDGE).collect())
     assert not all(r.stationary for r in checks.stationary(training, ridge, 1.0).collect())
+
+
+def test_buckets_and_weights_have_to_fit(spark):
+    docs = spark.createDataFrame([(1, "a b c d")], "doc_id bigint, text string")
+    for rows in ([(4, 1.0)], [(-1, 1.0)], [(1, 1.0), (1, 2.0)], [(None, 1.0)]):
+        weights = spark.createDataFrame(rows, "bucket bigint, weight double")
+        with pytest.raises(ValueError):
+            regression.predict_by_weights(docs, weights, 4)
+    with pytest.raises(Exception, match="no weight"):
+        regression.GradientModel([0.5]).transform(regression.packed_tf(docs, 100)).collect()
