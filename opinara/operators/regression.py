@@ -46,8 +46,12 @@ def train_ridge(labelled: DataFrame, weight: float = RIDGE) -> LinearRegressionM
     """Ridge regression without intercept: half the mean squared error plus ``weight`` / 2 of the squared weights.
 
     The library divides its parameter by the labels' standard deviation (of the population), which is made up for here.
+    Where all labels are the same number other than zero it has no ridge, and this raises.
     """
-    deviation = labelled.agg(F.stddev_pop("label")).first()[0] or 0.0
+    deviation, mean = labelled.agg(F.stddev_pop("label"), F.avg("label")).first()
+    if weight and mean and not deviation:
+        raise ValueError("all labels are equal")
+    deviation = deviation or 0.0
     return _regression(weight * deviation).fit(labelled)
 
 

@@ -178,6 +178,8 @@ def test_library_solutions_match_numpy(spark, reviews):
     x, y = np.array([r.features.toArray() for r in rows]), np.array([r.label for r in rows])
     ridge = np.linalg.solve(x.T @ x / len(y) + 0.01 * np.eye(40), x.T @ y / len(y))
     assert regression.train_ridge(vectors, 0.01).coefficients.toArray() == pytest.approx(ridge, abs=1e-6)  # the solver stops by its gain
+    with pytest.raises(ValueError, match="equal"):
+        regression.train_ridge(vectors.withColumn("label", F.lit(3.0)))
     linear = regression.train_linear(vectors).coefficients.toArray()
     best = x @ np.linalg.lstsq(x, y, rcond=None)[0]
     assert x @ linear == pytest.approx(best, abs=1e-5)
