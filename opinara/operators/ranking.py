@@ -9,8 +9,11 @@ shuffle of points.  More centers than fit one block are met block by block.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,56 +21,74 @@ from opinara.functions.numeric import squared_distance
 
 BLOCK_BYTES = 32 << 20
 _CENTER_OVERHEAD = 64
+#: Entries that a task ranks by folding: n times the centers of a block.
+FOLD_CELLS = 1 << 20
 
 
-def _blocks(centers: DataFrame, block_bytes: int) -> tuple[list[Column], int]:
-    """The centers as array values (one scalar subquery per block), and their number."""
-    size = centers.agg(F.count("*").alias("n"), F.max(F.size("center")).alias("width")).first()
+def _center_parts(centers: DataFrame, block_bytes: int) -> tuple[int, list[DataFrame]]:
+    """Length of the centers, and the centers in blocks of at most about ``block_bytes``."""
+    size = centers.agg(
+        F.count("*").alias("n"), F.max(F.size("center")).alias("width"), F.min(F.size("center")).alias("least")
+    ).first()
     if not size["n"]:
         raise ValueError("there are no centers")
-    row_bytes = 8 * size["width"] + _CENTER_OVERHEAD
-    count = math.ceil(size["n"] * row_bytes / block_bytes)
+    if size["width"] != size["least"]:
+        raise ValueError("the centers differ in length")
+    count = math.ceil(size["n"] * (8 * size["width"] + _CENTER_OVERHEAD) / block_bytes)
+    part = F.pmod(F.xxhash64("cluster_id"), F.lit(count))
+    return size["width"], [centers.where(part == i) if count > 1 else centers for i in range(count)]
+
+
+def _blocks(centers: DataFrame, block_bytes: int) -> tuple[list[Column], int]:
+    """The centers as array values (one scalar subquery per block), and their number."""
+    _, parts = _center_parts(centers, block_bytes)
     entry = F.struct("cluster_id", F.col("center").cast("array<double>").alias("center"))
-    values = []
-    for block in range(count):
-        part = centers
-        if count > 1:
-            part = centers.where(F.pmod(F.xxhash64("cluster_id"), F.lit(count)) == block)
-        values.append(part.agg(F.sort_array(F.collect_list(entry)).alias("centers")).scalar())
-    return values, size["n"]
+    values = [part.agg(F.sort_array(F.collect_list(entry)).alias("centers")).scalar() for part in parts]
+    return values, centers.count()
 
 
-def _measured(points: DataFrame, centers: Column, sign: int) -> DataFrame:
-    """(doc_id, ranked): all centers as (key, cluster_id, distance), sorted by key, then id.
+def _measured(points: DataFrame, centers: Column, sign: int) -> tuple[DataFrame, Column]:
+    """The points beside the centers, and the entries (key, cluster_id) of all centers in a row.
 
-    The key puts near (1) or far (-1) centers first.
+    The key is the distance, negative where far (-1) centers come first; ties go to the lower id.
     """
 
-    def measure(c: Column) -> Column:
+    def entry(c: Column) -> Column:
         distance = squared_distance(F.col("point"), c["center"])
-        return F.struct(distance.alias("distance"), c["cluster_id"].alias("cluster_id"))
+        return F.struct((distance * sign).alias("key"), c["cluster_id"].alias("cluster_id"))
 
-    def ranked(m: Column) -> Column:
-        return F.struct(
-            (m["distance"] * sign).alias("key"), m["cluster_id"].alias("cluster_id"), m["distance"].alias("distance")
-        )
+    return points.select("doc_id", "point", centers.alias("centers")), F.transform("centers", entry)
 
-    placed = points.select("doc_id", "point", centers.alias("centers"))
-    distances = F.transform(F.transform("centers", measure), ranked)
-    return placed.select("doc_id", F.array_sort(distances).alias("ranked"))
 
+def _first_center(points: DataFrame, values: list[Column], sign: int) -> DataFrame:
+    """(doc_id, chosen): the least entry, without sorting the others."""
+    best = []
+    for value in values:
+        placed, entries = _measured(points, value, sign)
+        best.append(placed.select("doc_id", F.array_min(entries).alias("chosen")))
+    merged = reduce(DataFrame.unionByName, best)
+    return merged.groupBy("doc_id").agg(F.min("chosen").alias("chosen")) if len(best) > 1 else merged
 
-def _nth_center(points: DataFrame, centers: DataFrame, n: int, sign: int, block_bytes: int) -> DataFrame:
-    values, count = _blocks(centers, block_bytes)
-    if not 1 <= n <= count:
-        raise ValueError(f"n must be in 1 .. {count}, the number of centers")
-    best = [_measured(points, v, sign).select("doc_id", F.slice("ranked", 1, n).alias("best")) for v in values]
+
+def _later_center(points: DataFrame, values: list[Column], n: int, sign: int) -> DataFrame:
+    """(doc_id, chosen): the n-th entry in order."""
+    best = []
+    for value in values:
+        placed, entries = _measured(points, value, sign)
+        best.append(placed.select("doc_id", F.slice(F.array_sort(entries), 1, n).alias("best")))
     merged = reduce(DataFrame.unionByName, best)
     if len(best) > 1:
         # At most n entries per block and document meet here.
         merged = merged.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
-    chosen = merged.select("doc_id", F.element_at("best", n).alias("chosen"))
-    return chosen.select("doc_id", F.col("chosen.cluster_id"), F.col("chosen.distance"))
+    return merged.select("doc_id", F.element_at("best", n).alias("chosen"))
+
+
+def _nth_center(points: DataFrame, centers: DataFrame, n: int, sign: int, block_bytes: int) -> DataFrame:
+    values, count = _blocks(centers, block_bytes)
+    if not 1 <= n <= count:
+        raise ValueError(f"n must be in 1 .. {count}, the number of centers")
+    chosen = _first_center(points, values, sign) if n == 1 else _later_center(points, values, n, sign)
+    return chosen.select("doc_id", "chosen.cluster_id", (F.col("chosen.key") * sign).alias("distance"))
 
 
 def center_distances(points: DataFrame, centers: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -98,17 +119,75 @@ def within_set_error(points: DataFrame, centers: DataFrame) -> DataFrame:
     return nearest_center(points, centers).agg(F.sum("distance").alias("wssse"))
 
 
-def closest_nth_points(points: DataFrame, centers: DataFrame, n: int = 1) -> DataFrame:
+def _nearest_of_partition(points: DataFrame, block: list, n: int) -> DataFrame:
+    """(cluster_id, doc_id, distance): for each center of a block the n closest points of each partition.
+
+    Distances are summed one dimension after the other, as ``squared_distance`` does.  A task keeps n points a
+    center and looks at no more than ``cells`` distances at a time.
+    """
+    ids = np.array([r["cluster_id"] for r in block], np.int64)
+    matrix = np.array([r["center"] for r in block], np.float64).T.copy()
+    cells = FOLD_CELLS
+
+    def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width, count = matrix.shape
+        best, docs = np.full((n, count), np.inf), np.full((n, count), np.iinfo(np.int64).max)
+        found = 0
+        step = max(1, cells // count)
+        for batch in batches:
+            names = batch.column(0).to_numpy()
+            values = batch.column(1).flatten().to_numpy().reshape(len(names), width)
+            for start in range(0, len(names), step):
+                part = values[start : start + step]
+                distance = np.zeros((len(part), count))
+                for i in range(width):
+                    difference = part[:, i, None] - matrix[i]
+                    distance += difference * difference
+                found += len(part)
+                near = (distance <= best[-1]).any(axis=1)
+                both = np.concatenate([best, distance[near]])
+                named = np.repeat(names[start : start + step][near][:, None], count, axis=1)
+                of = np.concatenate([docs, named])
+                order = np.lexsort((of, both), axis=0)[:n]
+                best, docs = np.take_along_axis(both, order, 0), np.take_along_axis(of, order, 0)
+        kept = min(n, found)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.tile(ids, kept)), pa.array(docs[:kept].ravel()), pa.array(best[:kept].ravel())],
+            ["cluster_id", "doc_id", "distance"],
+        )
+
+    return points.mapInArrow(nearest, "cluster_id bigint, doc_id bigint, distance double")
+
+
+def closest_nth_points(
+    points: DataFrame, centers: DataFrame, n: int = 1, block_bytes: int = BLOCK_BYTES, fold_cells: int = FOLD_CELLS
+) -> DataFrame:
     """(cluster_id, doc_id, distance): for each center its n-th closest point, ties by the lower doc id.
 
-    The row number's limit is applied inside each partition first, so a
-    center receives n rows per partition, not all points.
+    Each partition keeps its n closest points of every center as it goes, and
+    only these are shuffled and ranked; no pair of point and center is sorted.
+    Where n times the centers of a block is above ``fold_cells``, pairs are
+    ranked by a window instead, whose row limit is applied inside each
+    partition first.  Points without a distance, NULL ones and those of
+    another length than the centers, are not ranked.
     """
     if n < 1:
         raise ValueError("n counts from 1")
+    width, parts = _center_parts(centers, block_bytes)
+    usable = points.select(F.col("doc_id").cast("long"), F.col("point").cast("array<double>").alias("point")).where(
+        F.col("doc_id").isNotNull() & (F.size("point") == width) & ~F.exists("point", lambda x: x.isNull() | F.isnan(x))
+    )
+    near = []
+    for part in parts:
+        block = part.select(F.col("cluster_id").cast("long"), F.col("center").cast("array<double>")).collect()
+        if block and n * len(block) <= fold_cells:
+            near.append(_nearest_of_partition(usable, block, n))
+        elif block:
+            near.append(center_distances(usable, part, block_bytes))
     order = Window.partitionBy("cluster_id").orderBy(F.col("distance"), F.col("doc_id"))
-    ranked = center_distances(points, centers).withColumn("rank", F.row_number().over(order))
-    return ranked.where(F.col("rank") <= n).where(F.col("rank") == n).drop("rank")
+    ranked = reduce(DataFrame.unionByName, near).withColumn("rank", F.row_number().over(order))
+    nth = ranked.where(F.col("rank") <= n).where(F.col("rank") == n)
+    return nth.select("cluster_id", "doc_id", "distance")
 
 
 def closest_nth_point(points: DataFrame, centers: DataFrame, cluster_id: int, n: int = 1) -> DataFrame:

@@ -75,6 +75,33 @@ def test_many_blocks_give_the_same(spark):
     assert rows(ranking.nearest_center(points, centers, small).select("doc_id", "cluster_id")) == brute
 
 
+def test_closest_points_by_fold_and_by_window(spark):
+    draw = random.Random(5)
+    vectors = [[float(draw.randrange(3)) for _ in range(3)] for _ in range(90)]  # many ties
+    centers = spark.createDataFrame(list(enumerate(vectors[:12])), "cluster_id bigint, center array<double>")
+    data = list(enumerate(vectors[12:])) + [(900, None), (901, [1.0]), (902, [None, 0.0, 0.0])]
+    points = spark.createDataFrame(data, "doc_id bigint, point array<double>").repartition(5)
+    for n in (1, 2, 7):
+        brute = set()
+        for c, center in enumerate(vectors[:12]):
+            near = sorted((sum((a - b) ** 2 for a, b in zip(p, center)), i) for i, p in enumerate(vectors[12:]))
+            brute.add((c, near[n - 1][1], near[n - 1][0]))
+        assert rows(ranking.closest_nth_points(points, centers, n)) == brute
+        assert rows(ranking.closest_nth_points(points, centers, n, block_bytes=88 * 4)) == brute
+        assert rows(ranking.closest_nth_points(points, centers, n, fold_cells=0)) == brute
+    assert rows(ranking.closest_nth_points(points, centers, 500)) == set()
+    assert rows(ranking.closest_nth_points(points.limit(0), centers)) == set()
+
+
+def test_first_centers_are_not_sorted(points, centers):
+    for frame in (ranking.nearest_center(points, centers), ranking.furthest_nth_cluster(points, centers)):
+        main = frame._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]
+        assert "array_sort" not in main and "Sort" not in main.replace("sort_array", "")
+    folded = ranking.closest_nth_points(points, centers, 2)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in folded and "MapInArrow" in folded
+    assert folded.count("Generate explode") == 0  # no pair rows
+
+
 def test_within_set_error(points, centers):
     assert ranking.within_set_error(points, centers).first()[0] == pytest.approx(1.0)
 
