@@ -8,7 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import bpe, chat, exact_dedup, licenses, packing, quality, sharding, simhash, toxicity, url_filter
+from opinara.llm import bpe, chat, exact_dedup, hard_negatives, licenses, packing, quality, secret_scan, sharding, simhash
+from opinara.llm import toxicity, turn_repair, url_filter
 from opinara.session import let_workers_import
 
 SHARDS = 24
@@ -95,6 +96,52 @@ def op10_chat(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op11_hard_negatives(spark: SparkSession, folder: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    vectors = hard_negatives.rounded(table(spark, folder, "embeddings"), moved)
+    return hard_negatives.mine(vectors, F.col("vec_id") % 100 == 0)
+
+
+def op12_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    spans, base = F.col("spans"), secret_scan.KINDS[:3]
+    found = secret_scan.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id",
+        *[F.size(secret_scan.of_kind(spans, kind)).cast("long").alias(f"n_{kind}") for kind in base],
+        F.sha2(secret_scan.named(secret_scan.of_kind(spans, *base)), 256).alias("base_sha256"),
+        secret_scan.named(spans).alias("spans"),
+        F.size(secret_scan.of_kind(spans, "novel")).cast("long").alias("n_novel"),
+    )
+
+
+def damaged(turns: DataFrame) -> DataFrame:
+    """The conversations with rows dropped, emptied, cut, repeated and given to the user."""
+    key = F.concat_ws(":", *[F.coalesce(F.col(c).cast("string"), F.lit(" ")) for c in ("conv_id", "turn")])
+    harm = F.crc32(key.cast("binary")) % 20
+    text = turn_repair.spaced("text")
+    return turns.select(
+        "conv_id",
+        "turn",
+        F.when(harm == 4, "user").otherwise(turn_repair.spaced("role")).alias("role"),
+        F.when(harm == 1, "").when(harm == 2, F.regexp_replace(text, "[.!?]", "")).otherwise(text).alias("text"),
+        F.explode(F.sequence(F.lit(1), F.when(harm == 3, 2).otherwise(1))).alias("copy"),
+    ).filter(harm != 0)
+
+
+def op13_turn_repair(spark: SparkSession, folder: str) -> DataFrame:
+    turns = table(spark, folder, "conversations")
+    found = turn_repair.repair(turn_repair.marked(damaged(turns))).withColumnRenamed("conv_id", "of")
+    every = turns.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
+    joined = every.join(found, F.col("conv_id").eqNullSafe(F.col("of")), "left")
+    counts = [F.coalesce(c, F.lit(0)).alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return joined.select(
+        "conv_id",
+        *counts,
+        F.coalesce("audit", F.lit("")).alias("audit"),
+        F.coalesce("repaired_sha256", F.sha2(F.lit(""), 256)).alias("repaired_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -108,5 +155,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash,
         op9_quality,
         op10_chat,
+        op11_hard_negatives,
+        op12_secrets,
+        op13_turn_repair,
     )
 }
