@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -23,3 +24,8 @@ def squared_distance(a: Column, b: Column) -> Column:
         a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))
     )
     return F.aggregate(squares, F.lit(0.0), lambda total, x: total + x)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` over a value that is computed once, however often the body or a lambda in it names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))

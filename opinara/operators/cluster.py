@@ -2,39 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.ml.clustering import LDA, KMeans, KMeansModel, LDAModel
+import math
+from dataclasses import dataclass
+
+from pyspark.ml.clustering import LDA, LDAModel
 from pyspark.ml.feature import IDF
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from opinara.functions.numeric import let
+from opinara.operators.kmeans import CLUSTERS, ITERATIONS, Clustering, KMeans, array_of, nearest, points_of_vectors, vector_entries
 from opinara.sources.state import shared_folder
 
-# Number of clusters or topics, rounds.
-CLUSTERS = 5
-ITERATIONS = 10
-PARTITIONS = 8
+#: Rows of a partition for LDA; below them a few partitions, which depend on the number of rows alone.
+PARTITION_ROWS, SMALL_PARTITIONS, SMALL_ROWS = 50_000, 8, 64
+
+
+def in_order(vectors: DataFrame) -> DataFrame:
+    """Partitions that depend on ``doc_id`` and the number of rows only: LDA draws by partition and position."""
+    rows = vectors.count()
+    parts = max(1, min(SMALL_PARTITIONS, math.ceil(rows / SMALL_ROWS)), math.ceil(rows / PARTITION_ROWS))
+    return vectors.repartition(parts, "doc_id").sortWithinPartitions("doc_id")
+
+
+@dataclass
+class KMeansFit:
+    """K-means of one set of vectors."""
+
+    clustering: Clustering
+    cost: float
+
+    @property
+    def rounds(self) -> int:
+        return self.clustering.rounds
 
+    def transform(self, vectors: DataFrame, column: str = "features") -> DataFrame:
+        """Add ``cluster_id``, row-wise; NULL for a vector that has none or a component that is not finite."""
+        # A subquery may not stand inside a lambda, so the centers are a column for a while.
+        beside, centers = "_kmeans_centers", self.clustering.packed.frame.select("centers").scalar()
+        own = let(array_of(column), lambda v: let(vector_entries(v), lambda e: self._cluster(F.col(beside), e)))
+        return vectors.withColumn(beside, centers).withColumn("cluster_id", own).drop(beside)
 
-def in_order(vectors: DataFrame, partitions: int = PARTITIONS) -> DataFrame:
-    """Partitions that depend on ``doc_id`` and their number only: the seeding draws by partition and position."""
-    return vectors.repartition(partitions, "doc_id").sortWithinPartitions("doc_id")
+    @staticmethod
+    def _cluster(centers: Column, entries: Column) -> Column:
+        norm = F.aggregate(entries, F.lit(0.0), lambda total, e: total + e["v"] * e["v"])
+        found = let(norm, lambda n: nearest(centers, entries, n))
+        return F.when(entries.isNotNull(), found["cluster_id"].cast("int"))
 
+    def centers(self) -> list[list[float]]:
+        """The k centers by id."""
+        return [row["center"] for row in self.clustering.centers.orderBy("cluster_id").collect()]
 
-def train_kmeans(
-    vectors: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, seed: int = 0, partitions: int = PARTITIONS
-) -> KMeansModel:
-    """K-means on ``doc_id`` and a vector column ``features``; the training cost is ``model.summary.trainingCost``.
 
-    The result belongs to ``partitions``, which should grow with the data, and not to the session or the files.
-    """
-    means = KMeans(k=k, maxIter=iterations, seed=seed, featuresCol="features", predictionCol="cluster_id")
-    return means.fit(in_order(vectors, partitions))
+def train_kmeans(vectors: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, seed: int = 0, start: str = "parallel") -> KMeansFit:
+    """K-means on ``doc_id`` and a vector column ``features``; depends on the rows and the seed, not on their partitions."""
+    clustering = KMeans(k, iterations, seed, start).fit(points_of_vectors(vectors))
+    cost = clustering.assigned().agg(F.sum("distance")).first()[0]
+    if cost is None:
+        raise ValueError("there is nothing to cluster")
+    return KMeansFit(clustering, cost)
 
 
-def centroids(spark: SparkSession, model: KMeansModel) -> DataFrame:
+def centroids(spark: SparkSession, model: KMeansFit) -> DataFrame:
     """(cluster_id, center) of a model; k rows."""
-    rows = [(i, center.tolist()) for i, center in enumerate(model.clusterCenters())]
-    return spark.createDataFrame(rows, "cluster_id bigint, center array<double>")
+    return model.clustering.centers.select("cluster_id", "center")
 
 
 def points_of(vectors: DataFrame, column: str = "features") -> DataFrame:
@@ -43,11 +75,11 @@ def points_of(vectors: DataFrame, column: str = "features") -> DataFrame:
 
 
 def train_lda(
-    vectors: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, seed: int = 0, partitions: int = PARTITIONS
+    vectors: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, seed: int = 0
 ) -> LDAModel:
-    """LDA by expectation maximisation, partitioned as k-means is; its graph is checkpointed in the shared folder."""
+    """LDA by expectation maximisation; its graph is checkpointed in the shared folder."""
     shared_folder(vectors.sparkSession)
-    return LDA(k=k, maxIter=iterations, seed=seed, optimizer="em", featuresCol="features").fit(in_order(vectors, partitions))
+    return LDA(k=k, maxIter=iterations, seed=seed, optimizer="em", featuresCol="features").fit(in_order(vectors))
 
 
 def add_tfidf(vectors: DataFrame) -> DataFrame:

@@ -119,7 +119,7 @@ class _RobustRun(_Run):
 
     def store_phi(self, sums: DataFrame, frozen: bool) -> Stored:
         joined = self.phi.join(sums, "word_id", "left")
-        counts = [] if frozen else self.counts()
+        counts = [] if frozen else self.counts(joined)
         background = F.coalesce("background_count", F.lit(0.0)).alias("background_count")
         return store(joined.select("word_id", *self.ps(), *counts, background), "phi")
 

@@ -57,11 +57,11 @@ def hashed_tf(docs: DataFrame, num_features: int = NUM_FEATURES, partitions: int
 
 
 def vectorize(docs: DataFrame, num_features: int = NUM_FEATURES, drop_empty: bool = True) -> DataFrame:
-    """Add ``words``, as in every other table, and the sparse vector ``features``; row-wise.
+    """Add ``words``, as in every other table, and the sparse vector ``features``; row by row, a small input over all task slots.
 
     NULL texts are read as empty.  ``drop_empty=False`` counts the empty words between neighbouring separators.
     """
-    filled = docs.withColumn("text", F.coalesce("text", F.lit("")))
+    filled = spread(docs).withColumn("text", F.coalesce("text", F.lit("")))
     worded = filled.withColumn("words", tokens("text", drop_empty))
     return HashingTF(numFeatures=num_features, inputCol="words", outputCol="features").transform(worded)
 

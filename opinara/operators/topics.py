@@ -271,7 +271,7 @@ class _Run:
     def store_theta(self, sums: DataFrame) -> Stored:
         """Regularise and normalise; documents without words or counts keep their mixture."""
         joined = self.theta.join(sums.hint("shuffle_hash"), "doc_id", "left")
-        counts = {f"c{k}": c for k, c in enumerate(self.regularised(self.trainer.theta_prior, self.ts()))}
+        counts = {f"c{k}": c for k, c in enumerate(self.regularised(self.trainer.theta_prior, self.ts(), joined))}
         counted = joined.withColumns(counts).withColumn("total", add([F.col(c) for c in counts]))
         new = counted.select(
             "doc_id",
@@ -287,14 +287,24 @@ class _Run:
     def store_phi(self, sums: DataFrame, frozen: bool) -> Stored:
         """Regularised counts ``c`` beside the old ``p``; every word of the vocabulary stays."""
         joined = self.phi.join(sums, "word_id", "left")
-        return store(joined.select("word_id", *self.ps(), *self.counts()), "phi")
+        return store(joined.select("word_id", *self.ps(), *self.counts(joined)), "phi")
 
-    def counts(self) -> list[Column]:
+    def counts(self, joined: DataFrame) -> list[Column]:
         """Regularised counts by word; words without any count take part with zero."""
-        return [c.alias(f"c{k}") for k, c in enumerate(self.regularised(self.trainer.phi_prior, self.ps()))]
+        return [c.alias(f"c{k}") for k, c in enumerate(self.regularised(self.trainer.phi_prior, self.ps(), joined))]
 
-    def regularised(self, prior: Prior, olds: list[Column]) -> list[Column]:
-        return prior.regularize_all([F.coalesce(f"r{k}", F.lit(0.0)) for k in self.ks], olds)
+    def regularised(self, prior: Prior, olds: list[Column], joined: DataFrame) -> list[Column]:
+        counts = [F.coalesce(f"r{k}", F.lit(0.0)) for k in self.ks]
+        return prior.regularize_matrix(counts, olds, self.matrix_sums(prior, counts, olds, joined))
+
+    @staticmethod
+    def matrix_sums(prior: Prior, counts: list[Column], olds: list[Column], rows: DataFrame) -> dict[str, float]:
+        """What a prior needs to know of the whole matrix: a few numbers, by one aggregation over its rows."""
+        sums = prior.matrix_sums(counts, olds)
+        if not sums:
+            return {}
+        found = rows.agg(*[column.alias(name) for name, column in sums.items()]).first()
+        return {name: found[name] if found[name] is not None else 0.0 for name in sums}
 
     def normalised(self, counts: DataFrame, *others: Column) -> DataFrame:
         """Divide by the topic totals; a topic without any count keeps its words."""
@@ -332,12 +342,15 @@ class _Run:
         total = 0.0
         if not self.trainer.perplexity:
             return total
-        if not self.trainer.theta_prior.flat:
-            total += self.theta.agg(F.sum(self.trainer.theta_prior.log_prior(self.ts()))).first()[0]
-        prior = self.trainer.phi_prior
+        prior = self.trainer.theta_prior
         if not prior.flat:
+            total += self.theta.agg(F.sum(prior.log_prior(self.ts()))).first()[0] or 0.0
+            total += prior.matrix_log(self.matrix_sums(prior, self.ts(), self.ts(), self.theta))
+        prior = self.trainer.phi_prior
+        if not prior.flat and self.corpus.vocabulary.size:
             terms = self.phi.agg(F.sum(add([prior.log_term(p) for p in self.ps()]))).first()[0]
             total += terms + self.trainer.topics * prior.log_constant(self.corpus.vocabulary.size)
+            total += prior.matrix_log(self.matrix_sums(prior, self.ps(), self.ps(), self.phi))
         return total
 
     def note_perplexity(self, likelihood: float | None, prior: float) -> None:

@@ -8,12 +8,12 @@ from __future__ import annotations
 
 import math
 
-from pyspark.ml.clustering import KMeansModel
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions.numeric import add
+from opinara.operators.cluster import KMeansFit
 from opinara.operators.text import vector_entries
 
 #: Relative to the numbers compared.
@@ -47,26 +47,22 @@ def predictions(vectors: DataFrame, model: LinearRegressionModel) -> DataFrame:
     return products(vectors, [list(model.coefficients)]).select("doc_id", F.col("w0").alias("expected"))
 
 
-def center_distances(vectors: DataFrame, model: KMeansModel) -> DataFrame:
+def center_distances(vectors: DataFrame, model: KMeansFit) -> DataFrame:
     """(doc_id, distances): squared distances by cluster id, as |x|² - 2 x·c + |c|²."""
-    found = [[float(v) for v in center] for center in model.clusterCenters()]
+    found = model.centers()
     distances = [
         F.col("norm") - 2 * F.col(f"w{k}") + F.lit(sum(v * v for v in center)) for k, center in enumerate(found)
     ]
     return products(vectors, found).select("doc_id", F.array(*distances).alias("distances"))
 
 
-def cost_holds(distances: DataFrame, model: KMeansModel) -> bool:
-    """The stated cost belongs to the centers before the last round, which can only lower it; a fit that
-    stopped early moved nothing."""
+def cost_holds(distances: DataFrame, model: KMeansFit) -> bool:
+    """Is the stated cost that of the centers?"""
     total = distances.agg(F.sum(F.array_min("distances"))).first()[0] or 0.0
-    stated, summary = model.summary.trainingCost, model.summary
-    slack = TOLERANCE * (1.0 + stated)
-    early = summary.numIter < model.getMaxIter()
-    return total <= stated + slack and (not early or math.isclose(total, stated, rel_tol=1e-3, abs_tol=slack))
+    return math.isclose(total, model.cost, rel_tol=TOLERANCE, abs_tol=TOLERANCE)
 
 
-def clusters(vectors: DataFrame, assigned: DataFrame, model: KMeansModel) -> DataFrame:
+def clusters(vectors: DataFrame, assigned: DataFrame, model: KMeansFit) -> DataFrame:
     """(doc_id, nearest, cost_holds): is the assigned cluster the nearest one, does the stated cost hold?"""
     distances = center_distances(vectors, model)
     own = F.get("distances", F.col("cluster_id"))

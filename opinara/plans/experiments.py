@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.clustering import KMeansModel, LDAModel
+from pyspark.ml.clustering import LDAModel
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opinara.operators.cluster import centroids, points_of, train_kmeans, train_lda
-from opinara.operators.ranking import closest_nth_points, furthest_nth_cluster, most_useful
-from opinara.operators.regression import errors, train_linear, train_ridge
+from opinara.operators.cluster import KMeansFit, centroids, points_of, train_kmeans, train_lda
+from opinara.operators.kmeans import CLUSTERS, ITERATIONS, KMeans, points_of_terms
+from opinara.operators.ranking import closest_nth_points, furthest_nth_cluster, most_useful, most_useful_per
+from opinara.operators.regression import errors, packed_tf, train_linear, train_ridge
 from opinara.operators.selection import (
     MIN_REVIEW_COUNT,
     businesses_above,
@@ -20,7 +21,7 @@ from opinara.operators.selection import (
     split,
     text_with_label,
 )
-from opinara.operators.text import vectorize
+from opinara.operators.text import NUM_FEATURES, vectorize
 
 
 def business_vectors(reviews: DataFrame, business_id: str) -> DataFrame:
@@ -57,7 +58,7 @@ def train_useful(reviews: DataFrame) -> UsefulModels:
 
 @dataclass
 class BusinessModels:
-    kmeans: KMeansModel
+    kmeans: KMeansFit
     lda: LDAModel
     useful: UsefulModels
 
@@ -72,7 +73,7 @@ def train_all(reviews: DataFrame, business_id: str, k: int = 5, seed: int = 0) -
 
 
 def observe(
-    reviews: DataFrame, business_id: str, kmeans: KMeansModel, useful: LinearRegressionModel
+    reviews: DataFrame, business_id: str, kmeans: KMeansFit, useful: LinearRegressionModel
 ) -> DataFrame:
     """(doc_id, text, useful_pred, cluster_id) of each review of a business."""
     scored = useful.transform(business_vectors(reviews, business_id))
@@ -122,3 +123,43 @@ def rank_instance(
     row = ranking.collect()  # one row
     vectors.unpersist()
     return reviews.sparkSession.createDataFrame(row, ranking.schema)
+
+
+def rank_every(
+    reviews: DataFrame,
+    businesses: DataFrame,
+    scored: DataFrame,
+    minimum: int = MIN_REVIEW_COUNT,
+    k: int = CLUSTERS,
+    iterations: int = ITERATIONS,
+    seed: int = 0,
+    start: str = "parallel",
+) -> DataFrame:
+    """One ranking of every business with more than ``minimum`` reviews.
+
+    All businesses are clustered in one set of rounds, a large one spread over
+    all tasks.  ``scored`` has the prediction of each review (doc_id, prediction).
+    """
+    kept = reviews.select("doc_id", "business_id", "text").join(
+        businesses_above(businesses, minimum).select("business_id"), "business_id", "left_semi"
+    )
+    terms = packed_tf(kept.select("doc_id", "text"))
+    packed = kept.select("doc_id", "business_id").join(terms, "doc_id", "left")
+    found = KMeans(k, iterations, seed, start).fit(points_of_terms(packed, F.col("business_id")), NUM_FEATURES)
+    owners = found.points.frame.select("doc_id", F.col("group_id").alias("business_id"))
+    best = most_useful_per(owners.join(scored.select("doc_id", "prediction"), "doc_id"), "business_id")
+    far = found.furthest(best).select("group_id", "cluster_id", F.col("distance").alias("furthest_distance"))
+    near = found.closest(far.select("group_id", "cluster_id"))
+    return (
+        best.join(far.withColumnRenamed("group_id", "business_id"), "business_id")
+        .join(near.select(F.col("group_id").alias("business_id"), F.col("doc_id").alias("closest_doc_id"), "distance"), "business_id")
+        .select(
+            "business_id",
+            F.col("doc_id").alias("most_useful_doc_id"),
+            F.col("prediction").alias("useful_pred"),
+            F.col("cluster_id").alias("furthest_cluster_id"),
+            "furthest_distance",
+            "closest_doc_id",
+            F.col("distance").alias("closest_distance"),
+        )
+    )

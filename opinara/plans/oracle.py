@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import math
 
+from opinara.operators.kmeans import OVERSAMPLING, START_ROUNDS
 from opinara.operators.regression import ITERATIONS, RIDGE
 from opinara.operators.robust import EPS, GAMMA
-from opinara.plans.queries import BUSINESS, PHI_ALPHA, PHI_DIGITS, PULL, PUSH, ROUNDS, SHORT_STEP, STEP, THETA_ALPHA, THETA_DIGITS, TOPICS
+from opinara.plans.queries import BUSINESS, DECORRELATION, PHI_ALPHA, PHI_DIGITS, PULL, PUSH, ROUNDS, SHORT_STEP, STEP, THETA_ALPHA, THETA_DIGITS, TOPICS
 
 KS = range(TOPICS)
 SPLIT = r"string_split_regex(lower(coalesce(text, '')), '[ \t\n\x0B\f\r]')"
@@ -88,10 +89,27 @@ def rows(i: int, prefix: str = "", phi: str | None = None) -> tuple[str, str]:
 NO_PRIOR = "{c}"
 
 
+def share_of(k: int) -> str:
+    return f"sum(t{k} * d{k}) / sum({total('t# * d#')})"
+
+
+def pulled_apart(k: int, i: int) -> str:
+    """What a word loses in topic k to the topics that overlap with it over all words."""
+    others = " + ".join(f"(SELECT sum(p{k} * p{s}) FROM phi{i}) * p{s}" for s in KS if s != k)
+    return f"{DECORRELATION!r}::DOUBLE * p{k} * ({others})"
+
+
+def overlap_density(i: int) -> str:
+    squares = " + ".join(f"pow((SELECT sum(p{s} * p{t}) FROM phi{i}), 2)" for t in KS for s in range(t))
+    return f"(-{DECORRELATION / 2!r}::DOUBLE * ({squares}))"
+
+
 def next_theta(i: int, prior: str = NO_PRIOR, prefix: str = "", source: str | None = None, more: str = "") -> list[tuple[str, str]]:
     source = source or f"{prefix}rows{i}"
     counts = ", ".join(
-        prior.format(c=f"coalesce(t{k} * d{k}, 0)", old=f"t{k}") + f" AS c{k}" for k in KS
+        prior.format(c=f"coalesce(t{k} * d{k}, 0)", old=f"t{k}", part=f"(SELECT {share_of(k)} FROM {prefix}theta{i} JOIN {prefix}dsum{i} USING (doc_id))")
+        + f" AS c{k}"
+        for k in KS
     )
     keep = cols("CASE WHEN total > 0 THEN c# / total ELSE t# END AS t#")
     return [
@@ -114,7 +132,7 @@ def next_theta(i: int, prior: str = NO_PRIOR, prefix: str = "", source: str | No
 def next_phi(i: int, prior: str = NO_PRIOR, source: str | None = None) -> list[tuple[str, str]]:
     source = source or f"rows{i}"
     counts = ", ".join(
-        prior.format(c=f"coalesce(p{k} * w{k}, 0)", old=f"p{k}", all=total("p#")) + f" AS c{k}" for k in KS
+        prior.format(c=f"coalesce(p{k} * w{k}, 0)", old=f"p{k}", all=total("p#"), apart=pulled_apart(k, i)) + f" AS c{k}" for k in KS
     )
     return [
         (f"wsum{i}", f"SELECT token, {cols('sum(CASE WHEN z > 0 THEN n / z END * t#) AS w#')} FROM {source} GROUP BY token"),
@@ -138,6 +156,9 @@ def fold_in_corpus() -> list[tuple[str, str]]:
     ]
 
 
+APART = "greatest(0.0::DOUBLE, {c} - {apart})"
+
+
 def dirichlet(alpha: float) -> str:
     return f"greatest(0.0::DOUBLE, {{c}} + ({alpha - 1.0!r}))"
 
@@ -296,6 +317,115 @@ def gradients(rounds: int, step: float) -> str:
     )
 
 
+# -- clusterings of all businesses ----------------------------------------------------
+
+
+def grouped() -> list[tuple[str, str]]:
+    return tf() + [
+        ("own", "SELECT doc_id, source AS business_id FROM documents"),
+        ("sq", "SELECT doc_id, CAST(sum(tf * tf) AS DOUBLE) AS norm FROM tf GROUP BY doc_id"),
+        ("pt", "SELECT doc_id, business_id, coalesce(norm, 0) AS norm FROM own LEFT JOIN sq USING (doc_id)"),
+        ("ptf", "SELECT business_id, doc_id, bucket, tf FROM tf JOIN own USING (doc_id)"),
+        (
+            "luck",
+            f"SELECT *, row_number() OVER (PARTITION BY business_id ORDER BY {hash32("CAST(doc_id AS VARCHAR) || ':0'")}, doc_id) AS r FROM pt",
+        ),
+    ]
+
+
+def to_centers(name: str, values: str, norms: str) -> list[tuple[str, str]]:
+    """``name``: the distance of each review to each center (cluster_id, bucket, v; cluster_id, norm) of its business."""
+    return [
+        (f"{name}dot", f"SELECT doc_id, cluster_id, sum(tf * v) AS dot FROM ptf JOIN {values} USING (business_id, bucket) GROUP BY doc_id, cluster_id"),
+        (
+            name,
+            f"SELECT business_id, doc_id, cluster_id, greatest(0, pt.norm - 2 * coalesce(dot, 0) + c.norm) AS distance"
+            f" FROM pt JOIN {norms} c USING (business_id) LEFT JOIN {name}dot USING (doc_id, cluster_id)",
+        ),
+    ]
+
+
+def kmeans_rounds(rounds: int, k: int = TOPICS) -> list[tuple[str, str]]:
+    """``cv``/``cn``: components and norms of the centers by round; ``near``: the cluster of each review among the last ones."""
+    nearest = "SELECT * FROM {0} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(distance, 6), cluster_id) = 1"
+    ctes = grouped() + [
+        ("first", f"SELECT business_id, r - 1 AS cluster_id, doc_id FROM luck WHERE r <= {k}"),
+        ("cv0", "SELECT business_id, cluster_id, bucket, CAST(tf AS DOUBLE) AS v FROM first JOIN tf USING (doc_id)"),
+    ]
+    for i in range(rounds + 1):
+        ctes.append(
+            (
+                f"cn{i}",
+                f"SELECT business_id, cluster_id, coalesce(sum(v * v), 0) AS norm FROM first LEFT JOIN cv{i} USING (business_id, cluster_id) GROUP BY ALL",
+            )
+        )
+        ctes += to_centers(f"dist{i}", f"cv{i}", f"cn{i}")
+        if i == rounds:
+            return ctes + [("near", nearest.format(f"dist{i}"))]
+        ctes += [
+            (f"in{i}", nearest.format(f"dist{i}")),
+            (f"n{i}", f"SELECT business_id, cluster_id, count(*) AS n FROM in{i} GROUP BY ALL"),
+            (
+                f"cv{i + 1}",
+                f"SELECT business_id, cluster_id, bucket, sum(tf) / any_value(n) AS v"
+                f" FROM in{i} JOIN tf USING (doc_id) JOIN n{i} USING (business_id, cluster_id) GROUP BY business_id, cluster_id, bucket"
+                f" UNION ALL SELECT business_id, cluster_id, bucket, v FROM cv{i} ANTI JOIN n{i} USING (business_id, cluster_id)",
+            ),
+        ]
+    raise AssertionError
+
+
+def parallel_draws(rounds: int = START_ROUNDS, expected: float = OVERSAMPLING * TOPICS) -> list[tuple[str, str]]:
+    ctes = grouped() + [("drawn0", "SELECT business_id, doc_id, 0 AS place FROM luck WHERE r = 1")]
+    for i in range(rounds + 1):
+        ctes += [
+            (f"pv{i}", f"SELECT business_id, place AS cluster_id, bucket, tf AS v FROM drawn{i} JOIN ptf USING (business_id, doc_id)"),
+            (f"pn{i}", f"SELECT business_id, place AS cluster_id, norm FROM drawn{i} JOIN pt USING (business_id, doc_id)"),
+        ]
+        ctes += to_centers(f"pd{i}", f"pv{i}", f"pn{i}")
+        ctes.append((f"least{i}", f"SELECT * FROM pd{i} QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY distance, cluster_id) = 1"))
+        if i < rounds:
+            draw = unit(f"CAST(doc_id AS VARCHAR) || ':0:{i + 1}'")
+            ctes += [
+                (f"cost{i}", f"SELECT business_id, sum(distance) AS cost FROM least{i} GROUP BY business_id"),
+                (f"last{i}", f"SELECT business_id, max(place) AS last FROM drawn{i} GROUP BY business_id"),
+                (
+                    f"drawn{i + 1}",
+                    f"SELECT * FROM drawn{i} UNION ALL"
+                    f" SELECT business_id, doc_id, last + row_number() OVER (PARTITION BY business_id ORDER BY doc_id) AS place"
+                    f" FROM least{i} JOIN cost{i} USING (business_id) JOIN last{i} USING (business_id) WHERE {draw} * cost < {expected} * distance",
+                ),
+            ]
+    return ctes + [("weights", f"SELECT business_id, cluster_id AS place, count(*) AS weight FROM least{rounds} GROUP BY ALL")]
+
+
+def every_ranking() -> str:
+    ctes = kmeans_rounds(ROUNDS) + PREDICTED[len(tf()) :] + [
+        ("large", "SELECT source AS business_id FROM documents GROUP BY source HAVING count(*) > 5"),
+        (
+            "best",
+            "SELECT business_id, doc_id, prediction FROM shown JOIN own USING (doc_id) JOIN large USING (business_id)"
+            " QUALIFY row_number() OVER (PARTITION BY business_id ORDER BY prediction DESC, doc_id) = 1",
+        ),
+        (
+            "far",
+            f"SELECT d.* FROM dist{ROUNDS} d JOIN best USING (business_id, doc_id)"
+            " QUALIFY row_number() OVER (PARTITION BY business_id ORDER BY round(distance, 6) DESC, cluster_id) = 1",
+        ),
+        (
+            "close",
+            f"SELECT d.* FROM dist{ROUNDS} d JOIN far USING (business_id, cluster_id)"
+            " QUALIFY row_number() OVER (PARTITION BY business_id ORDER BY round(d.distance, 6), d.doc_id) = 1",
+        ),
+    ]
+    return with_(
+        ctes,
+        "SELECT business_id, best.doc_id AS most_useful_doc_id, prediction AS useful_pred, far.cluster_id AS furthest_cluster_id,"
+        " round(far.distance, 6) AS furthest_distance, close.doc_id AS closest_doc_id, round(close.distance, 6) AS closest_distance"
+        " FROM best JOIN far USING (business_id) JOIN close USING (business_id)",
+    )
+
+
 def oracle() -> dict[str, str]:
     train = f"{hash32('CAST(doc_id AS VARCHAR)')} % 100 < 70"
     counts = "SELECT source AS business_id, count(*) AS review_count FROM documents GROUP BY source"
@@ -317,6 +447,16 @@ def oracle() -> dict[str, str]:
         "kmeans_reviews": f"{clustered} WHERE source = '{BUSINESS}'",
         "kmeans_tfidf": clustered,
         "kmeans_theta": clustered,
+        "kmeans_every_business": with_(
+            kmeans_rounds(ROUNDS), "SELECT business_id, doc_id, cluster_id, round(distance, 6) AS distance FROM near"
+        ),
+        "kmeans_every_center": with_(
+            kmeans_rounds(ROUNDS), f"SELECT business_id, cluster_id, bucket, round(v, 8) AS value FROM cv{ROUNDS} WHERE v <> 0"
+        ),
+        "kmeans_parallel_draws": with_(
+            parallel_draws(), f"SELECT business_id, doc_id, place, weight FROM drawn{START_ROUNDS} JOIN weights USING (business_id, place)"
+        ),
+        "rank_every_business": every_ranking(),
         "centroids": "SELECT range AS center_id, CAST(1000 AS INTEGER) AS width, true AS own FROM range(5)",
         "lda_reviews": f"SELECT doc_id, true AS is_mixture FROM documents WHERE source = '{BUSINESS}'",
         "linear_useful": "SELECT range AS bucket, true AS stationary FROM range(1000)",
@@ -384,6 +524,13 @@ def oracle() -> dict[str, str]:
         "robust_regularized_phi": phi_sql(robust_em(*priors), f"phi{last}"),
         "robust_regularized_perplexity": with_(robust_em(*priors) + [robust_rows(last)], perplexity_of(regularized_parts)),
         "custom_prior_phi": phi_sql(em(phi_prior=f"greatest(0.0::DOUBLE, {{c}} - {PUSH} * {{old}} * ({{all}} - {{old}}))"), f"phi{last}"),
+        "matrix_prior_phi": phi_sql(em(phi_prior=APART), f"phi{last}"),
+        "matrix_prior_perplexity": with_(
+            em(phi_prior=APART) + [rows(last)],
+            perplexity_of([f"{log_sum(f'rows{i}')} + {overlap_density(i)}" for i in range(last + 1)]),
+        ),
+        "robust_matrix_prior_phi": phi_sql(robust_em(phi_prior=APART), f"phi{last}"),
+        "matrix_prior_theta": theta_sql(em("{c} * (1 - {part})"), f"theta{last}"),
         "dirichlet_log_prior": with_(em(*priors), f"SELECT doc_id, round({THETA_DENSITY}, 4) AS log_prior FROM theta{last}"),
         "phi_log_prior": with_(
             em(*priors), "SELECT " + ", ".join(f"round({phi_density(k, f'phi{last}')}, 4) AS log_prior{k}" for k in KS)

@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 
 from opinara.functions.numeric import add
 from opinara.functions.text import hash_unit
-from opinara.operators import cluster, corpus, ranking, regression, selection, text
-from opinara.operators.priors import Prior, SymmetricDirichlet
+from opinara.operators import cluster, corpus, kmeans, ranking, regression, selection, text
+from opinara.operators.priors import Decorrelation, Prior, SymmetricDirichlet
 from opinara.operators.robust import RobustPlsa
 from opinara.operators.topics import Plsa, TopicModel, initial_phi
 from opinara.plans import checks, experiments
@@ -28,6 +28,7 @@ THETA_ALPHA = 0.5
 PHI_ALPHA = 0.8
 PULL = 10.0
 PUSH = 10_000.0
+DECORRELATION = 1e9
 
 #: Of two gradient steps, and of twelve, where texts of thousands of words make longer ones diverge.
 STEP, SHORT_STEP = 0.001, 0.00001
@@ -434,6 +435,39 @@ def custom_prior_phi(spark: SparkSession, folder: str) -> DataFrame:
     return phi_columns(fitted(spark, folder, plsa(phi_prior=Push())).phi)
 
 
+@query
+def matrix_prior_phi(spark: SparkSession, folder: str) -> DataFrame:
+    """A prior over the whole matrix: topics lose the more, the more they overlap over all words."""
+    return phi_columns(fitted(spark, folder, plsa(phi_prior=Decorrelation(DECORRELATION))).phi)
+
+
+@query
+def matrix_prior_perplexity(spark: SparkSession, folder: str) -> DataFrame:
+    model = fitted(spark, folder, plsa(perplexity=True, phi_prior=Decorrelation(DECORRELATION)))
+    return rounded(model.perplexity, 4, "perplexity")
+
+
+@query
+def robust_matrix_prior_phi(spark: SparkSession, folder: str) -> DataFrame:
+    return phi_columns(fitted(spark, folder, robust(phi_prior=Decorrelation(DECORRELATION))).phi)
+
+
+class Share(Prior):
+    """A prior over all mixtures: each topic's counts are damped by the part of all counts that it has."""
+
+    def matrix_sums(self, counts: list[Column], olds: list[Column]) -> dict[str, Column]:
+        return {f"n{k}": F.sum(c) for k, c in enumerate(counts)}
+
+    def regularize_matrix(self, counts: list[Column], olds: list[Column], sums: dict[str, float]) -> list[Column]:
+        total = math.fsum(sums.values()) or 1.0
+        return [c * F.lit(1.0 - sums[f"n{k}"] / total) for k, c in enumerate(counts)]
+
+
+@query
+def matrix_prior_theta(spark: SparkSession, folder: str) -> DataFrame:
+    return theta_columns(fitted(spark, folder, plsa(theta_prior=Share())).theta)
+
+
 # -- ranking -----------------------------------------------------------------------
 
 
@@ -549,7 +583,7 @@ def kmeans_reviews_rows(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, cluster_id, wssse) of the reviews of a business."""
     vectors = business_features(spark, folder)
     model = cluster.train_kmeans(vectors)
-    return model.transform(vectors).select("doc_id", "cluster_id", F.lit(model.summary.trainingCost).alias("wssse"))
+    return model.transform(vectors).select("doc_id", "cluster_id", F.lit(model.cost).alias("wssse"))
 
 
 @query
@@ -575,6 +609,54 @@ def centroids(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+# The same rounds by hashed frequencies and hash-drawn starts, which SQL can follow value by value.
+
+
+def grouped_points(spark: SparkSession, folder: str) -> DataFrame:
+    """Hashed term frequencies of all reviews, grouped by business."""
+    owners = plain_reviews(spark, folder).select("doc_id", "business_id")
+    packed = owners.join(regression.packed_tf(texts(spark, folder)), "doc_id", "left")
+    return kmeans.points_of_terms(packed, F.col("business_id"))
+
+
+def _clustered(spark: SparkSession, folder: str) -> kmeans.Clustering:
+    return kmeans.KMeans(cluster.CLUSTERS, ROUNDS, start="hash").fit(grouped_points(spark, folder), text.NUM_FEATURES)
+
+
+@query
+def kmeans_every_business(spark: SparkSession, folder: str) -> DataFrame:
+    """The clusterings of all businesses after two rounds: each review's cluster and its distance."""
+    placed = _clustered(spark, folder).assigned().withColumnRenamed("group_id", "business_id")
+    return rounded(placed, 6, "distance")
+
+
+@query
+def kmeans_every_center(spark: SparkSession, folder: str) -> DataFrame:
+    """The non-zero components of all their centers."""
+    parts = _clustered(spark, folder).centers.select("group_id", "cluster_id", F.posexplode("center").alias("bucket", "value"))
+    return parts.where("value <> 0").select(
+        F.col("group_id").alias("business_id"), "cluster_id", F.col("bucket").cast("bigint").alias("bucket"), F.round("value", 8).alias("value")
+    )
+
+
+@query
+def kmeans_parallel_draws(spark: SparkSession, folder: str) -> DataFrame:
+    """The reviews that the parallel start draws for each business, and how many are nearest to each."""
+    means = kmeans.KMeans(cluster.CLUSTERS)
+    held, width = means.prepare(grouped_points(spark, folder), text.NUM_FEATURES)
+    return means.drawn(held.frame, width).select(F.col("group_id").alias("business_id"), "doc_id", "place", "weight")
+
+
+@query
+def rank_every_business(spark: SparkSession, folder: str) -> DataFrame:
+    """For each business: its most useful review, the cluster furthest from it, the review closest to that cluster."""
+    scored = predict_given_weights(spark, folder)
+    ranked = experiments.rank_every(
+        plain_reviews(spark, folder), businesses(spark, folder), scored, minimum=5, iterations=ROUNDS, start="hash"
+    )
+    return rounded(ranked, 6, "furthest_distance", "closest_distance")
+
+
 def lda_reviews_rows(spark: SparkSession, folder: str) -> DataFrame:
     """(doc_id, t0..): topic mixtures of the reviews of a business."""
     vectors = business_features(spark, folder)
@@ -641,10 +723,10 @@ def train_all(spark: SparkSession, folder: str) -> DataFrame:
 def observe(spark: SparkSession, folder: str) -> DataFrame:
     """Each review of a business with its text: predicted by the weights, and in the nearest cluster?"""
     vectors = business_features(spark, folder)
-    kmeans = cluster.train_kmeans(vectors)
+    means = cluster.train_kmeans(vectors)
     ridge = experiments.train_useful(reviews(spark, folder)).ridge
-    seen = experiments.observe(plain_reviews(spark, folder), BUSINESS, kmeans, ridge)
-    placed = checks.clusters(vectors, seen, kmeans)
+    seen = experiments.observe(plain_reviews(spark, folder), BUSINESS, means, ridge)
+    placed = checks.clusters(vectors, seen, means)
     return (
         seen.join(placed, "doc_id")
         .join(checks.predictions(vectors, ridge), "doc_id")
@@ -658,9 +740,9 @@ def rank_instance(spark: SparkSession, folder: str) -> DataFrame:
     linear = experiments.train_useful(reviews(spark, folder)).linear
     row = experiments.rank_instance(plain_reviews(spark, folder), businesses(spark, folder), linear, minimum=5).first()
     vectors = experiments.business_vectors(plain_reviews(spark, folder), row["business_id"]).select("doc_id", "features")
-    kmeans = cluster.train_kmeans(vectors)
+    means = cluster.train_kmeans(vectors)
     to_chosen = F.get("distances", F.lit(row["furthest_cluster_id"]).cast("int"))
-    facts = checks.center_distances(vectors, kmeans).join(checks.predictions(vectors, linear), "doc_id")
+    facts = checks.center_distances(vectors, means).join(checks.predictions(vectors, linear), "doc_id")
     best, closest = F.col("doc_id") == row["most_useful_doc_id"], F.col("doc_id") == row["closest_doc_id"]
     all_of = facts.agg(
         F.max("expected").alias("most"),

@@ -137,14 +137,14 @@ def test_useful_metrics(reviews):
 def test_more_clusters_cost_less(spark, reviews):
     vectors = experiments.business_vectors(reviews, "b1").select("doc_id", "features")
     two, five = (cluster.train_kmeans(vectors, k) for k in (2, 5))
-    assert five.summary.trainingCost < two.summary.trainingCost
+    assert five.cost < two.cost
     table = cluster.centroids(spark, five)
     assert [r.cluster_id for r in table.orderBy("cluster_id").collect()] == list(range(5))
     assert {len(r.center) for r in table.collect()} == {text.NUM_FEATURES}
     from opinara.operators.ranking import nearest_center, within_set_error
 
     points = cluster.points_of(vectors)
-    assert within_set_error(points, table).first()[0] == pytest.approx(five.summary.trainingCost)
+    assert within_set_error(points, table).first()[0] == pytest.approx(five.cost)
     assigned = nearest_center(points, table).join(five.transform(vectors).withColumnRenamed("cluster_id", "own"), "doc_id")
     assert assigned.where("cluster_id <> own").count() == 0
 

@@ -1,12 +1,13 @@
 import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from opinara.operators import rowids
 from opinara.operators.corpus import build_corpus, build_vocabulary, corpus_from_counts
-from opinara.operators.priors import Prior, SymmetricDirichlet
+from opinara.operators.priors import Decorrelation, Prior, SymmetricDirichlet, UniformPrior
 from opinara.operators.robust import RobustPlsa
 from opinara.operators.text import frequent_tokens
 from opinara.operators.topics import Plsa
@@ -198,3 +199,34 @@ def test_rounds_leave_only_the_last_tables(spark, docs):
     assert len(tables() - before) == 2
     model.drop()
     assert tables() == before
+
+
+def overlaps(model):
+    rows = np.array([[r["p0"], r["p1"], r["p2"]] for r in model.phi.collect()])
+    products = rows.T @ rows
+    return [products[0, 1], products[0, 2], products[1, 2]]
+
+
+@pytest.mark.parametrize("kind", [Plsa, RobustPlsa])
+def test_decorrelated_topics_overlap_less(docs, kind):
+    corpus = build_corpus(docs, threshold=0)
+    plain, apart = (kind(3, 4, seed=1, phi_prior=prior).fit(corpus) for prior in (UniformPrior(), Decorrelation(200.0)))
+    assert sum(x * x for x in overlaps(apart)) < sum(x * x for x in overlaps(plain))
+    for k in range(3):
+        assert apart.phi.agg(F.sum(f"p{k}")).first()[0] == pytest.approx(1.0)
+    # The density of the last topics is part of the last perplexity.
+    penalty = 100.0 * sum(x * x for x in overlaps(apart))
+    if kind is Plsa:
+        total = apart.log_likelihood(corpus).agg(F.sum("loglik")).first()[0]
+        assert apart.perplexities[-1] == pytest.approx(math.exp(-(total - penalty) / corpus.length))
+
+
+def test_one_topic_has_nothing_to_overlap_with(docs):
+    corpus = build_corpus(docs, threshold=0)
+    alone, plain = (Plsa(1, 2, phi_prior=prior).fit(corpus).phi.orderBy("token").collect() for prior in (Decorrelation(9.0), UniformPrior()))
+    assert [r["p0"] for r in alone] == pytest.approx([r["p0"] for r in plain])
+
+
+def test_matrix_sums_of_an_empty_corpus(docs):
+    empty = build_corpus(docs, threshold=1000)
+    assert Plsa(2, 2, phi_prior=Decorrelation(5.0)).fit(empty).phi.count() == 0

@@ -64,7 +64,7 @@ def test_kmeans_is_the_same_however_the_session_cuts(spark):
     vectors = text.vectorize(points, 50).select("doc_id", "features")
     costs = set()
     for parts in (1, 2, 4):
-        costs.add(round(cluster.train_kmeans(vectors.repartition(parts), 4, 5).summary.trainingCost, 6))
+        costs.add(round(cluster.train_kmeans(vectors.repartition(parts), 4, 5).cost, 6))
     assert len(costs) == 1
 
 
