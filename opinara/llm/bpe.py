@@ -27,6 +27,7 @@ import base64
 from collections import defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,10 +39,10 @@ from pyspark.sql import functions as F
 from opinara.llm.columns import gather, whole
 from opinara.sources.state import store_bucketed
 
-#: Text of a block; a longer document is a block of its own.
+#: Text of a block in UTF-8; a longer document is a block of its own.
 BLOCK_BYTES = 16 << 20
 #: Encoded rows that a task gathers before it sends them back in packed form.
-PACK_ROWS = 500_000
+PACK_ROWS = 200_000
 
 _BLOCKS = "block bigint, doc_ids array<bigint>, n_words array<int>, positions binary, words array<string>"
 _PACKED = "block bigint, packed binary"
@@ -94,11 +95,21 @@ def token_bytes(path: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return flat, starts, lengths
 
 
+def _numbered(pattern, text: str, index: dict, at_once: int = 1 << 18) -> Iterator[np.ndarray]:
+    """The words' numbers in the index; a long text's words are never all there at the same time."""
+    if len(text) <= at_once:
+        yield np.array([index[w] for w in pattern.findall(text)], np.uint32)
+        return
+    words = (index[m.group()] for m in pattern.finditer(text))
+    while len(part := np.fromiter(islice(words, at_once), np.uint32)):
+        yield part
+
+
 def _cut_into_blocks(pattern: str, block_bytes: int):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
-        find = regex.compile(pattern).findall
+        compiled = regex.compile(pattern)
         first = TaskContext.get().partitionId() << 32
         schema = pa.schema(
             [
@@ -131,16 +142,16 @@ def _cut_into_blocks(pattern: str, block_bytes: int):
         (index, ids, counts, sequences), held = fresh(), 0
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                text = text.as_py()
-                if ids and held + len(text) > block_bytes:
+                size = text.as_buffer().size if text.is_valid else 0
+                if ids and held + size > block_bytes:
                     yield flush()
                     blocks += 1
                     (index, ids, counts, sequences), held = fresh(), 0
-                words = find(text)
+                before = len(sequences)
+                sequences.extend(_numbered(compiled, text.as_py(), index))
                 ids.append(doc_id)
-                counts.append(len(words))
-                sequences.append(np.array([index[w] for w in words], np.uint32))
-                held += len(text)
+                counts.append(sum(map(len, sequences[before:])))
+                held += size
         if ids:
             yield flush()
 
@@ -185,33 +196,55 @@ def _encode_runs(path: str, pattern: str, pack_rows: int):
     return encode
 
 
-def _reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
-    parts = [(np.cumsum(steps, dtype=np.int64), length, ids) for steps, length, ids in (unpack_ints(p.as_py()) for p in right.column("packed"))]
-    size = 1 + max((int(index.max()) for index, _, _ in parts), default=-1)
-    starts, lengths, at = np.zeros(size, np.int64), np.zeros(size, np.int64), 0
-    for index, length, ids in parts:
-        length = length.astype(np.int64)
-        starts[index] = at + np.cumsum(length) - length
-        lengths[index] = length
-        at += len(ids)
-    flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, "<u4")
-    doc_ids, encoded = [], []
-    for row in left.to_pylist():
-        (positions,), begin = unpack_ints(row["positions"]), 0
-        for doc_id, count in zip(row["doc_ids"], row["n_words"]):
-            at_words = positions[begin : begin + count]
-            doc_ids.append(doc_id)
-            encoded.append(gather(flat, starts[at_words], lengths[at_words]).astype("<u4").tobytes())
-            begin += count
-    return pa.table({"doc_id": pa.array(doc_ids, pa.int64()), "ids": pa.array(encoded, pa.binary())})
+def _reassemble(path: str | None):
+    """Documents of a block from its positions and the ids of its words; with ``path`` also the bytes of their ids."""
+
+    def reassemble(left: pa.Table, right: pa.Table) -> pa.Table:
+        parts = [unpack_ints(p.as_py()) for p in right.column("packed")]
+        size = 1 + max((int(steps.sum(dtype=np.int64)) for steps, _, _ in parts), default=-1)
+        starts, lengths, at = np.zeros(size, np.int64), np.zeros(size, np.int64), 0
+        for steps, length, ids in parts:
+            index, length = np.cumsum(steps, dtype=np.int64), length.astype(np.int64)
+            starts[index] = at + np.cumsum(length) - length
+            lengths[index] = length
+            at += len(ids)
+        flat = np.concatenate([p[2] for p in parts]) if parts else np.zeros(0, "<u4")
+        out: dict[str, list] = {"doc_id": [], "ids": []} | ({"decoded": []} if path else {})
+        for row in left.to_pylist():
+            (positions,), begin = unpack_ints(row["positions"]), 0
+            for doc_id, count in zip(row["doc_ids"], row["n_words"]):
+                at_words = positions[begin : begin + count]
+                ids = gather(flat, starts[at_words], lengths[at_words]).astype("<u4")
+                out["doc_id"].append(doc_id)
+                out["ids"].append(ids.tobytes())
+                if path:
+                    out["decoded"].append(_bytes_of(ids, path))
+                begin += count
+        kinds = {"doc_id": pa.int64(), "ids": pa.binary(), "decoded": pa.binary()}
+        return pa.table({name: pa.array(values, kinds[name]) for name, values in out.items()})
+
+    return reassemble
+
+
+def _bytes_of(ids: np.ndarray, path: str) -> bytes:
+    flat, starts, lengths = token_bytes(path)
+    return gather(flat, starts[ids], lengths[ids]).tobytes()
 
 
 def encode(
-    docs: DataFrame, path: str, pattern: str, id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    id: str = "doc_id",
+    text: str = "text",
+    block_bytes: int = BLOCK_BYTES,
+    decoded: bool = False,
 ) -> DataFrame:
     """``doc_id`` and ``ids``, the little-endian unsigned 32-bit ids of each text.
 
     ``path`` is a rank file that every machine can read, ``pattern`` cuts texts into pre-tokens.
+    ``decoded`` adds the bytes of the ids, as ``decode`` does, but in the tasks that have just
+    reassembled them: a pair of Python workers a slot would need twice the memory.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -234,7 +267,7 @@ def encode(
         blocks.select("block", "doc_ids", "n_words", "positions")
         .groupBy("block")
         .cogroup(packed.groupBy("block"))
-        .applyInArrow(_reassemble, "doc_id bigint, ids binary")
+        .applyInArrow(_reassemble(path if decoded else None), "doc_id bigint, ids binary" + ", decoded binary" * decoded)
     )
 
 
@@ -243,12 +276,8 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     schema = encoded.withColumn("decoded", F.lit(b"")).schema
 
     def join_bytes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        flat, starts, lengths = token_bytes(path)
         for batch in batches:
-            out = []
-            for row in batch.column(ids):
-                tokens = np.frombuffer(row.as_py() or b"", "<u4")
-                out.append(gather(flat, starts[tokens], lengths[tokens]).tobytes())
+            out = [_bytes_of(np.frombuffer(row.as_py() or b"", "<u4"), path) for row in batch.column(ids)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.binary())], [*batch.schema.names, "decoded"])
 
     return encoded.mapInArrow(join_bytes, schema)

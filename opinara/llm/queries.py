@@ -22,8 +22,8 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 
 def op1_bpe(spark: SparkSession, folder: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    encoded = bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN)
-    return bpe.decode(encoded, path).select(
+    encoded = bpe.encode(table(spark, folder, "documents"), path, public_tokenizers.PATTERN, decoded=True)
+    return encoded.select(
         "doc_id",
         (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
         F.sha2("ids", 256).alias("ids_sha256"),

@@ -76,9 +76,12 @@ def reference_encoding():
 def test_encoding_is_that_of_the_library(awkward, documents, block_bytes):
     path, encoding = reference_encoding()
     docs = awkward.select("doc_id", "text", "kept") if block_bytes == 1 else documents
-    out = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN, block_bytes=block_bytes), path).collect()
+    apart = bpe.decode(bpe.encode(docs, path, public_tokenizers.PATTERN, block_bytes=block_bytes), path)
+    at_once = bpe.encode(docs, path, public_tokenizers.PATTERN, block_bytes=block_bytes, decoded=True)
     ids = lambda t: struct.pack(f"<{len(x := encoding.encode_ordinary(t))}I", *x)
-    assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in out) == Counter((d, ids(t), t.encode()) for d, t in pairs(docs))
+    expected = Counter((d, ids(t), t.encode()) for d, t in pairs(docs))
+    for out in (apart, at_once):
+        assert Counter((r["doc_id"], bytes(r["ids"]), bytes(r["decoded"])) for r in out.collect()) == expected
 
 
 def test_pattern_cuts_every_code_point_alike():
@@ -95,6 +98,7 @@ def test_pattern_cuts_every_code_point_alike():
 def test_encoding_of_nothing(nothing):
     path, _ = reference_encoding()
     assert bpe.decode(bpe.encode(nothing, path, public_tokenizers.PATTERN), path).count() == 0
+    assert bpe.encode(nothing, path, public_tokenizers.PATTERN, decoded=True).columns == ["doc_id", "ids", "decoded"]
 
 
 # 2: exact dedup
