@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from opinara.llm import exact_dedup, near_copies, packing, quality, toxicity
+from opinara.llm import exact_dedup, packing, quality, simhash, toxicity
 from opinara.session import let_workers_import
 from opinara.sources.state import store
 
@@ -38,9 +38,9 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Near-dedup at five words and similarity 0.8: of linked documents the smallest id stays."""
+    """SimHash near-dedup over three-word shingles at two bits: of linked documents the smallest id stays."""
     let_workers_import(spark)
-    return near_copies.drop_near_copies(docs)
+    return simhash.drop_near_copies(docs, shingle=3, limit=2)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
