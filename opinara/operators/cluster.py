@@ -57,7 +57,8 @@ class KMeansFit:
 
 def train_kmeans(vectors: DataFrame, k: int = CLUSTERS, iterations: int = ITERATIONS, seed: int = 0, start: str = "parallel") -> KMeansFit:
     """K-means on ``doc_id`` and a vector column ``features``; depends on the rows and the seed, not on their partitions."""
-    clustering = KMeans(k, iterations, seed, start).fit(points_of_vectors(vectors))
+    width = vectors.agg(F.max(F.size(array_of("features")))).first()[0]
+    clustering = KMeans(k, iterations, seed, start).fit(points_of_vectors(vectors), width)
     cost = clustering.assigned().agg(F.sum("distance")).first()[0]
     if cost is None:
         raise ValueError("there is nothing to cluster")

@@ -29,8 +29,8 @@ class Vocabulary:
     frame: DataFrame
     size: int
     occurrences: int
-    chunks: list[dict]
-    stored: Stored | None = None
+    numbered: Numbered | None = None
+    heads: dict[int, int] = field(default_factory=dict)
 
     def head(self, row_bytes: int = 0, limit: int = BROADCAST_BYTES) -> int:
         """How many leading words fit into a broadcast.
@@ -38,18 +38,16 @@ class Vocabulary:
         ``row_bytes`` counts the payload besides the row overhead; with 0 the
         measured length of the tokens is used.
         """
-        words = used = 0
-        for chunk in self.chunks:
-            payload = row_bytes * chunk["rows"] if row_bytes else chunk["bytes"]
-            used += payload + _ROW_OVERHEAD * chunk["rows"]
-            if used > limit:
-                break
-            words += chunk["rows"]
-        return words
+        if row_bytes:
+            return min(self.size, limit // (row_bytes + _ROW_OVERHEAD))
+        if limit not in self.heads:
+            costs = [part["bytes"] + _ROW_OVERHEAD * part["rows"] for part in self.numbered.parts]
+            self.heads[limit] = self.numbered.leading(F.octet_length("token") + _ROW_OVERHEAD, costs, limit)
+        return self.heads[limit]
 
     def drop(self) -> None:
-        if self.stored:
-            self.stored.drop()
+        if self.numbered:
+            self.numbered.stored.drop()
 
 
 def build_vocabulary(counts: DataFrame) -> Vocabulary:
@@ -63,9 +61,8 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     return Vocabulary(
         numbered.frame.select("word_id", "token", "n"),
         numbered.rows,
-        sum(chunk["n"] for chunk in numbered.chunks),
-        numbered.chunks,
-        numbered.stored,
+        sum(part["n"] for part in numbered.parts),
+        numbered,
     )
 
 

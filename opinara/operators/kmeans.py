@@ -1,9 +1,10 @@
 """K-means as rounds of table jobs, for one set of points or for every group of them at the same time.
 
-A round joins each point with the centers of its group, packed into one row a
-group, finds the nearest one inside the row and sums the points by (group,
-cluster, component).  Only partial sums are shuffled, so a group that has most
-of the points is spread over all tasks; centers never come to the driver.
+A round finds the nearest center of its group for each point and sums the points
+by (group, cluster, component).  Only partial sums are shuffled, so a group that
+has most of the points is spread over all tasks.  The centers of many groups are
+a table, packed into one row a group that points join; up to ``SMALL_CELLS``
+numbers are handed to the tasks as values instead, which spares a table a round.
 
 The result is a function of the points and the seed alone, however they are
 partitioned: points are drawn by hashes of their ids, ties go to the lower
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -45,6 +47,9 @@ START_ROUNDS, OVERSAMPLING = 2, 2.0
 #: Rounds of the weighted k-means over the drawn points.
 _LOCAL_ROUNDS = 30
 
+#: Components of all centers that may come to the driver; more are a table.
+SMALL_CELLS = 1 << 20
+
 #: Group of points that are not grouped.
 ALL = "all"
 
@@ -66,8 +71,61 @@ def _finite(values: Column) -> Column:
 
 
 def points_of_vectors(vectors: DataFrame, column: str = "features", group: Column | None = None) -> DataFrame:
-    """Points from a column of ML vectors."""
-    return points_of_arrays(vectors, array_of(column), group)
+    """Points from a column of ML vectors, which Arrow shows as they are stored; the rows left out are those of ``points_of_arrays``."""
+    rows = vectors.select((F.lit(ALL) if group is None else group).alias("group_id"), "doc_id", F.col(column).alias("vector"))
+    rows = rows.where(F.col("doc_id").isNotNull() & F.col("vector").isNotNull())
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            vector = batch.column(2)
+            values, indices = vector.field("values"), vector.field("indices")
+            lengths = np.diff(values.offsets.to_numpy())
+            flat, at = values.flatten().to_numpy(), np.zeros(0, np.int32)
+            sparse = vector.field("type").to_numpy() == 0
+            if len(flat):
+                at = (np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+                at[np.repeat(sparse, lengths)] = indices.flatten().to_numpy()
+            row = np.repeat(np.arange(len(lengths)), lengths)
+            right = np.ones(len(lengths), bool)
+            right[row[~np.isfinite(flat)]] = False
+            kept = right[row] & (flat != 0)
+            entries = _entry_lists(np.bincount(row[kept], minlength=len(lengths)), at[kept], flat[kept])
+            out = pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), entries], ["group_id", "doc_id", "entries"])
+            yield out.filter(pa.array(right))
+
+    return rows.mapInArrow(unpack, f"{_kinds(rows)}, entries {_ENTRIES}")
+
+
+def _kinds(rows: DataFrame) -> str:
+    return ", ".join(f"{name} {rows.schema[name].dataType.simpleString()}" for name in ("group_id", "doc_id"))
+
+
+def _entry_lists(lengths: np.ndarray, at: np.ndarray, values: np.ndarray) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
+    return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays([pa.array(at.astype(np.int32)), pa.array(values)], ["i", "v"]))
+
+
+@dataclass
+class _Rows:
+    """The entries of a batch: the row, index and value of each, and the rows' norms, added up one after the other."""
+
+    n: int
+    row: np.ndarray
+    at: np.ndarray
+    values: np.ndarray
+
+    @classmethod
+    def of(cls, entries: pa.ListArray) -> "_Rows":
+        lengths = np.diff(entries.offsets.to_numpy())
+        flat = entries.flatten()
+        at, values = (np.asarray(flat.field(name)) for name in ("i", "v"))
+        return cls(len(lengths), np.repeat(np.arange(len(lengths)), lengths), at, values)
+
+    def sums(self, terms: np.ndarray) -> np.ndarray:
+        return np.bincount(self.row, weights=terms, minlength=self.n)
+
+    def norms(self) -> np.ndarray:
+        return self.sums(self.values * self.values)
 
 
 def array_of(vector: str) -> Column:
@@ -140,10 +198,6 @@ def _grid(total: float) -> float:
     return 2.0 ** (_EXACT_BITS - math.ceil(math.log2(max(total, 1e-300))))
 
 
-def _on(grid: float, value: Column) -> Column:
-    return F.rint(value * F.lit(grid)) / F.lit(grid)
-
-
 # -- the rounds ------------------------------------------------------------------------
 
 
@@ -179,6 +233,129 @@ def move(points: DataFrame, packed: DataFrame, width: int) -> DataFrame:
     return packed.join(moved, "group_id", "left").select("group_id", latest.alias("centers"))
 
 
+def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = _Rows.of(batch.column(2))
+        most, whole, last = np.zeros(rows.n), np.ones(rows.n, bool), np.full(rows.n, -1, np.int32)
+        np.maximum.at(most, rows.row, np.abs(rows.values))
+        np.maximum.at(last, rows.row, rows.at)
+        whole[rows.row[rows.values != np.rint(rows.values)]] = False
+        arrays = [*batch.columns, pa.array(rows.norms()), pa.array(most), pa.array(whole), pa.array(last)]
+        yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names, "norm", "most", "whole", "last"])
+
+
+def _round_to(grid: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = _Rows.of(batch.column(2))
+            rows.values = np.rint(rows.values * grid) / grid
+            entries = _entry_lists(np.bincount(rows.row, minlength=rows.n), rows.at, rows.values)
+            arrays = [batch.column(0), batch.column(1), entries, pa.array(rows.norms())]
+            yield pa.RecordBatch.from_arrays(arrays, ["group_id", "doc_id", "entries", "norm"])
+
+    return run
+
+
+@dataclass
+class Prepared:
+    """Points (group_id, doc_id, entries, norm) in a stored table, the number of components and of groups, and the grid of distances."""
+
+    stored: Stored
+    points: DataFrame
+    width: int
+    groups: int
+    distance_grid: float
+
+
+# -- few centers -----------------------------------------------------------------------
+#
+# Centers of few groups come to the tasks as values and the sums of a round back to the driver; both are bounded by
+# ``SMALL_CELLS``.  The additions are the same, one after the other, so the centers are too, to the last bit.
+
+
+class _Held:
+    """The centers of all groups as matrices by group."""
+
+    def __init__(self, centers: dict):
+        self.centers = centers
+        self.norms = {g: np.array([np.cumsum(row * row)[-1] if len(row) else 0.0 for row in m]) for g, m in centers.items()}
+
+    def distances(self, group, rows: _Rows, norms: np.ndarray) -> np.ndarray:
+        """(center, row)."""
+        out = []
+        for center, norm in zip(self.centers[group], self.norms[group]):
+            product = rows.sums(rows.values * center[rows.at])
+            out.append(np.maximum(0.0, norms - 2 * product + norm))
+        return np.stack(out)
+
+    def parts(self, batch: pa.RecordBatch) -> Iterator[tuple]:
+        """Per group that has centers: its rows of the batch, their entries, cluster and distance to its center."""
+        codes = batch.column(0).dictionary_encode()
+        groups, code = codes.dictionary.to_pylist(), codes.indices.to_numpy()
+        for c, group in enumerate(groups):
+            if group not in self.centers:
+                continue
+            own = batch if len(groups) == 1 else batch.filter(pa.array(code == c))
+            rows = _Rows.of(own.column(2))
+            distances = self.distances(group, rows, own.column(3).to_numpy())
+            cluster = distances.argmin(axis=0)
+            yield group, own, rows, cluster, distances[cluster, np.arange(rows.n)]
+
+    def sums(self, points: DataFrame, width: int) -> dict:
+        """By group: sums (cluster, component) of the points nearest to each center, and their numbers."""
+        kind = points.schema["group_id"]
+
+        def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            totals: dict = {}
+            for batch in batches:
+                for group, _, rows, cluster, _ in self.parts(batch):
+                    size = len(self.centers[group]) * (width + 1)
+                    cells = cluster[rows.row] * (width + 1) + rows.at
+                    counts = cluster * (width + 1) + width
+                    found = np.bincount(cells, rows.values, size) + np.bincount(counts, minlength=size)
+                    totals[group] = totals[group] + found if group in totals else found
+            for group, total in totals.items():
+                cells = np.flatnonzero(total)
+                yield pa.RecordBatch.from_arrays([pa.array([group] * len(cells)), pa.array(cells), pa.array(total[cells])], ["group_id", "cell", "v"])
+
+        schema = f"group_id {kind.dataType.simpleString()}, cell bigint, v double"
+        table = points.mapInArrow(add, schema).groupBy("group_id", "cell").agg(F.sum("v").alias("v")).toArrow()
+        out = {g: np.zeros(len(m) * (width + 1)) for g, m in self.centers.items()}
+        if table.num_rows:
+            codes = table.column("group_id").combine_chunks().dictionary_encode()
+            cells, values = table.column("cell").to_numpy(), table.column("v").to_numpy()
+            for c, group in enumerate(codes.dictionary.to_pylist()):
+                own = codes.indices.to_numpy() == c
+                out[group][cells[own]] = values[own]
+        return {g: (v.reshape(-1, width + 1)[:, :width], v.reshape(-1, width + 1)[:, width]) for g, v in out.items()}
+
+    def moved(self, points: DataFrame, width: int) -> "_Held":
+        after = {}
+        for group, (total, n) in self.sums(points, width).items():
+            after[group] = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], self.centers[group])
+        return _Held(after)
+
+    def same(self, other: "_Held") -> bool:
+        return all(np.array_equal(m, other.centers[g]) for g, m in self.centers.items())
+
+    def table(self, points: DataFrame) -> DataFrame:
+        """(group_id, cluster_id, center)."""
+        rows = [(g, c, center.tolist()) for g, m in self.centers.items() for c, center in enumerate(m)]
+        kind = points.schema["group_id"].dataType.simpleString()
+        return points.sparkSession.createDataFrame(rows, f"group_id {kind}, cluster_id bigint, center array<double>")
+
+
+def _matrices(drawn: DataFrame, width: int) -> dict:
+    """Dense matrices by group of (group_id, place, entries) rows, in the order of places."""
+    out: dict = {}
+    for row in sorted(drawn.collect(), key=lambda r: r["place"]):
+        center = np.zeros(width)
+        for e in row["entries"]:
+            center[e["i"]] = e["v"]
+        out.setdefault(row["group_id"], []).append(center)
+    return {g: np.stack(m) for g, m in out.items()}
+
+
 @dataclass
 class Clustering:
     """Centers by group and the points they were fitted to."""
@@ -247,34 +424,60 @@ class KMeans:
 
         Stops before ``iterations`` rounds when no center of any group moves.
         """
-        held, width = self.prepare(points, width)
-        found = store(self._hash_start(held.frame, width, self.k) if self.start == "hash" else self._parallel_start(held.frame, width), "kmeans_centers")
-        rounds = 0
-        for _ in range(self.iterations):
-            following = store(move(held.frame, found.frame, width), "kmeans_centers")
+        held = self.prepare(points, width)
+        small = held.groups * self.k * max(held.width, 1) <= SMALL_CELLS
+        found, rounds = self._small_rounds(held) if small else self._table_rounds(held)
+        return Clustering(found, Stored(held.points, held.stored.path), held.width, rounds)
+
+    def _small_rounds(self, held: "Prepared") -> tuple[Stored, int]:
+        if self.start == "hash":
+            centers = _Held(_matrices(self._first(held.points, self.k), held.width))
+        else:
+            centers = _Held(_matrices_of_centers(self._parallel_start(held).collect()))
+        rounds, still = 0, False
+        while rounds < self.iterations and not still:
+            following = centers.moved(held.points, held.width)
+            still = following.same(centers)
+            centers = following
+            rounds += 1
+        return store(_pack(centers.table(held.points)), "kmeans_centers"), rounds
+
+    def _table_rounds(self, held: "Prepared") -> tuple[Stored, int]:
+        start = self._hash_start(held.points, held.width, self.k) if self.start == "hash" else _pack(self._parallel_start(held))
+        found, rounds, still = store(start, "kmeans_centers"), 0, False
+        while rounds < self.iterations and not still:
+            following = store(move(held.points, found.frame, held.width), "kmeans_centers")
             before = found.frame.withColumnRenamed("centers", "before")
             still = following.frame.join(before, "group_id").where(F.col("centers") != F.col("before")).isEmpty()
             found.drop()
             found = following
             rounds += 1
-            if still:
-                break
-        return Clustering(found, held, width, rounds)
-
-    def prepare(self, points: DataFrame, width: int | None = None) -> tuple[Stored, int]:
-        """The points on their grid, written once, and the number of components."""
-        size = points.agg(
+        return found, rounds
+
+    def prepare(self, points: DataFrame, width: int | None = None) -> "Prepared":
+        """The points on their grid, written once, and what is known of them; points of the NULL group are left out."""
+        points = points.select("group_id", "doc_id", "entries").where("group_id IS NOT NULL")
+        schema = f"{_kinds(points)}, entries {_ENTRIES}, norm double"
+        held = store(points.mapInArrow(_measure, schema + ", most double, whole boolean, last int"), "kmeans_points")
+        size = held.frame.agg(
             F.count("*").alias("n"),
-            F.max(F.aggregate("entries", F.lit(0.0), lambda most, e: F.greatest(most, F.abs(e["v"])))).alias("most"),
-            F.max(F.try_element_at("entries", F.lit(-1))["i"]).alias("last"),
+            F.count_distinct("group_id").alias("groups"),
+            F.max("most").alias("most"),
+            F.max("norm").alias("norm"),
+            F.min("whole").alias("whole"),
+            F.max("last").alias("last"),
         ).first()
-        grid = _grid(max(size["n"], 1) * (size["most"] or 1.0))
-        rounded = F.transform("entries", lambda e: F.struct(e["i"].alias("i"), _on(grid, e["v"]).alias("v"))).cast(_ENTRIES)
-        gridded = points.select("group_id", "doc_id", rounded.alias("entries"))
         found = 1 + (-1 if size["last"] is None else size["last"])
         if width is not None and found > width:
             raise ValueError(f"a component beyond the {width} stated")
-        return store(_with_norm(gridded), "kmeans_points"), width if width is not None else found
+        n, most = max(size["n"], 1), size["most"] or 1.0
+        if size["whole"] is False or n * most > 2.0**_EXACT_BITS:
+            given, grid = held, _grid(n * most)
+            held = store(given.frame.select("group_id", "doc_id", "entries").mapInArrow(_round_to(grid), schema), "kmeans_points")
+            given.drop()
+        # Two points are at most twice the greatest length apart.
+        distances = _grid(n * 4 * (size["norm"] or 1.0))
+        return Prepared(held, held.frame.select("group_id", "doc_id", "entries", "norm"), width if width is not None else found, size["groups"], distances)
 
     # -- starts ------------------------------------------------------------------------
 
@@ -289,42 +492,52 @@ class KMeans:
         first = self._first(points, n)
         return _pack(first.select("group_id", (F.col("place") - 1).alias("cluster_id"), _dense(F.col("entries"), width).alias("center")))
 
-    def drawn(self, points: DataFrame, width: int) -> DataFrame:
+    def drawn(self, held: "Prepared") -> DataFrame:
         """(group_id, doc_id, entries, place, weight): the points that the parallel start draws and how many are nearest to each."""
-        first = self._first(points, 1).withColumn("place", F.lit(0).cast("bigint"))
+        first = self._first(held.points, 1).withColumn("place", F.lit(0).cast("bigint"))
         picked = store(first, "kmeans_drawn")
         for number in range(1, self.start_rounds + 1):
-            following = store(picked.frame.unionByName(self._draw(points, picked.frame, width, number)), "kmeans_drawn")
+            following = store(picked.frame.unionByName(self._draw(held, picked.frame, number)), "kmeans_drawn")
             picked.drop()
             picked = following
-        near = assign(points, self._as_centers(picked.frame, width))
-        weights = near.groupBy("group_id", F.col("nearest.cluster_id").alias("place")).agg(F.count("*").alias("weight"))
+        near = self._near(held, picked.frame)
+        weights = near.groupBy("group_id", F.col("cluster_id").alias("place")).agg(F.count("*").alias("weight"))
         return picked.frame.join(weights, ["group_id", "place"])
 
-    @staticmethod
-    def _as_centers(drawn: DataFrame, width: int) -> DataFrame:
-        return _pack(drawn.select("group_id", F.col("place").alias("cluster_id"), _dense(F.col("entries"), width).alias("center")))
+    def _near(self, held: "Prepared", drawn: DataFrame) -> DataFrame:
+        """(group_id, doc_id, cluster_id, distance): the nearest drawn point of each point."""
+        expected = 1 + self.start_rounds * OVERSAMPLING * self.k
+        if held.groups * expected * max(held.width, 1) > SMALL_CELLS:
+            packed = _pack(drawn.select("group_id", F.col("place").alias("cluster_id"), _dense(F.col("entries"), held.width).alias("center")))
+            return assign(held.points, packed).select("group_id", "doc_id", "nearest.cluster_id", "nearest.distance")
+        centers = _Held(_matrices(drawn, held.width))
 
-    def _draw(self, points: DataFrame, picked: DataFrame, width: int, number: int) -> DataFrame:
+        def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                for _, own, _, cluster, distance in centers.parts(batch):
+                    arrays = [own.column(0), own.column(1), pa.array(cluster.astype(np.int64)), pa.array(distance)]
+                    yield pa.RecordBatch.from_arrays(arrays, ["group_id", "doc_id", "cluster_id", "distance"])
+
+        return held.points.mapInArrow(measure, f"{_kinds(held.points)}, cluster_id bigint, distance double")
+
+    def _draw(self, held: "Prepared", picked: DataFrame, number: int) -> DataFrame:
         """Points, each drawn by its share of the group's cost; places go on in the order of ids."""
-        near = store(assign(points, self._as_centers(picked, width)).select("group_id", "doc_id", "entries", "nearest.distance"), "kmeans_near")
-        size = near.frame.agg(F.count("*").alias("n"), F.max("distance").alias("most")).first()
-        grid = _grid(max(size["n"], 1) * (size["most"] or 1.0))
-        costs = near.frame.groupBy("group_id").agg(F.sum(_on(grid, F.col("distance"))).alias("cost"))
+        share = F.rint(F.col("distance") * F.lit(held.distance_grid)) / F.lit(held.distance_grid)
+        near = store(self._near(held, picked).select("group_id", "doc_id", share.alias("distance")), "kmeans_near").frame
+        costs = near.groupBy("group_id").agg(F.sum("distance").alias("cost"))
         places = picked.groupBy("group_id").agg(F.max("place").alias("last"))
         luck = hash_unit(F.concat(F.col("doc_id").cast("string"), F.lit(f":{self.seed}:{number}")))
-        chosen = near.frame.join(costs.join(places, "group_id"), "group_id").where(
-            luck * F.col("cost") < F.lit(OVERSAMPLING * self.k) * _on(grid, F.col("distance"))
+        chosen = near.join(costs.join(places, "group_id"), "group_id").where(
+            luck * F.col("cost") < F.lit(OVERSAMPLING * self.k) * F.col("distance")
         )
         place = F.col("last") + F.row_number().over(Window.partitionBy("group_id").orderBy("doc_id"))
-        out = store(chosen.select("group_id", "doc_id", "entries", place.cast("bigint").alias("place")), "kmeans_draw")
-        near.drop()
-        return out.frame
+        placed = chosen.select("group_id", "doc_id", place.cast("bigint").alias("place"))
+        return held.points.select("group_id", "doc_id", "entries").join(placed, ["group_id", "doc_id"])
 
-    def _parallel_start(self, points: DataFrame, width: int) -> DataFrame:
-        """About ``OVERSAMPLING * k`` points a round are drawn in each group; they meet in one task a group."""
-        drawn = store(self.drawn(points, width), "kmeans_weighted").frame
-        k, seed = self.k, self.seed
+    def _parallel_start(self, held: "Prepared") -> DataFrame:
+        """(group_id, cluster_id, center): about ``OVERSAMPLING * k`` points a round are drawn in each group; they meet in one task a group."""
+        drawn = store(self.drawn(held), "kmeans_weighted").frame
+        k, seed, width = self.k, self.seed, held.width
 
         def choose(table: pa.Table) -> pa.Table:
             table = table.sort_by("place")
@@ -343,7 +556,14 @@ class KMeans:
 
         kind = drawn.schema["group_id"].dataType.simpleString()
         grouped = drawn.select("group_id", "place", "weight", "entries").groupBy("group_id")
-        return _pack(grouped.applyInArrow(choose, f"group_id {kind}, cluster_id bigint, center array<double>"))
+        return grouped.applyInArrow(choose, f"group_id {kind}, cluster_id bigint, center array<double>")
+
+
+def _matrices_of_centers(rows: list) -> dict:
+    out: dict = {}
+    for row in sorted(rows, key=lambda r: r["cluster_id"]):
+        out.setdefault(row["group_id"], []).append(row["center"])
+    return {g: np.array(m) for g, m in out.items()}
 
 
 def weighted_kmeans(points: np.ndarray, weights: np.ndarray, k: int, seed: list[int]) -> np.ndarray:

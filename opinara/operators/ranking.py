@@ -1,16 +1,19 @@
 """Distances between points and cluster centers, and rankings by them.
 
 Points are (doc_id, point), centers (cluster_id, center), both number arrays.
-The centers reach every task as one value, in blocks of a measured size, so a
-point is compared with all centers inside its own row: no pair rows, no
-shuffle of points.  More centers than fit one block are met block by block.
+Centers that fit one block of ``block_bytes`` reach every task as one value, so
+a point is compared with all of them inside its own row: no pair rows, no
+shuffle of points.  More centers are a table of blocks (``center_blocks``) that
+points join, as far as the triangle inequality does not rule a block out.
+
+A point can be ranked if it has an id, the centers' length, and neither NULL
+nor NaN nor infinite components; any other is left out everywhere.  A center
+that is not of this kind raises.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +21,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opinara.functions.numeric import squared_distance
+from opinara.operators import center_blocks
+from opinara.operators.center_blocks import Fold
+from opinara.operators.rowids import first_rows
 
 BLOCK_BYTES = 32 << 20
 _CENTER_OVERHEAD = 64
@@ -25,30 +31,45 @@ _CENTER_OVERHEAD = 64
 FOLD_CELLS = 1 << 20
 
 
-def _center_parts(centers: DataFrame, block_bytes: int) -> tuple[int, list[DataFrame]]:
-    """Length of the centers, and the centers in blocks of at most about ``block_bytes``."""
+def _finite(values: str) -> Column:
+    return F.forall(values, lambda x: x.isNotNull() & ~F.isnan(x.cast("double")) & (F.abs(x.cast("double")) < float("inf")))
+
+
+def _size_of(centers: DataFrame) -> tuple[int, int]:
+    """Number and length of the centers, all of which have to be usable."""
+    right = F.col("cluster_id").isNotNull() & F.col("center").isNotNull() & _finite("center")
     size = centers.agg(
-        F.count("*").alias("n"), F.max(F.size("center")).alias("width"), F.min(F.size("center")).alias("least")
+        F.count("*").alias("n"),
+        F.count(F.when(right, 1)).alias("right"),
+        F.max(F.size("center")).alias("width"),
+        F.min(F.size("center")).alias("least"),
     ).first()
     if not size["n"]:
         raise ValueError("there are no centers")
+    if size["right"] < size["n"]:
+        raise ValueError("a center has no id, or a component that is NULL or not finite")
     if size["width"] != size["least"]:
         raise ValueError("the centers differ in length")
-    count = math.ceil(size["n"] * (8 * size["width"] + _CENTER_OVERHEAD) / block_bytes)
-    part = F.pmod(F.xxhash64("cluster_id"), F.lit(count))
-    return size["width"], [centers.where(part == i) if count > 1 else centers for i in range(count)]
+    return size["n"], size["width"]
+
+
+def usable(points: DataFrame, width: int) -> DataFrame:
+    """The points that can be ranked."""
+    return points.select("doc_id", "point").where(F.col("doc_id").isNotNull() & F.col("point").isNotNull() & (F.size("point") == width) & _finite("point"))
 
 
-def _blocks(centers: DataFrame, block_bytes: int) -> tuple[list[Column], int]:
-    """The centers as array values (one scalar subquery per block), and their number."""
-    _, parts = _center_parts(centers, block_bytes)
+def _fits(n: int, width: int, block_bytes: int) -> bool:
+    return n * (8 * width + _CENTER_OVERHEAD) <= block_bytes
+
+
+def _value(centers: DataFrame) -> Column:
+    """All centers as one array value, by a scalar subquery."""
     entry = F.struct("cluster_id", F.col("center").cast("array<double>").alias("center"))
-    values = [part.agg(F.sort_array(F.collect_list(entry)).alias("centers")).scalar() for part in parts]
-    return values, centers.count()
+    return centers.agg(F.sort_array(F.collect_list(entry)).alias("centers")).scalar()
 
 
-def _measured(points: DataFrame, centers: Column, sign: int) -> tuple[DataFrame, Column]:
-    """The points beside the centers, and the entries (key, cluster_id) of all centers in a row.
+def _entries(sign: int) -> Column:
+    """The entries (key, cluster_id) of all centers beside a point.
 
     The key is the distance, negative where far (-1) centers come first; ties go to the lower id.
     """
@@ -57,49 +78,38 @@ def _measured(points: DataFrame, centers: Column, sign: int) -> tuple[DataFrame,
         distance = squared_distance(F.col("point"), c["center"])
         return F.struct((distance * sign).alias("key"), c["cluster_id"].alias("cluster_id"))
 
-    return points.select("doc_id", "point", centers.alias("centers")), F.transform("centers", entry)
-
-
-def _first_center(points: DataFrame, values: list[Column], sign: int) -> DataFrame:
-    """(doc_id, chosen): the least entry, without sorting the others."""
-    best = []
-    for value in values:
-        placed, entries = _measured(points, value, sign)
-        best.append(placed.select("doc_id", F.array_min(entries).alias("chosen")))
-    merged = reduce(DataFrame.unionByName, best)
-    return merged.groupBy("doc_id").agg(F.min("chosen").alias("chosen")) if len(best) > 1 else merged
-
-
-def _later_center(points: DataFrame, values: list[Column], n: int, sign: int) -> DataFrame:
-    """(doc_id, chosen): the n-th entry in order."""
-    best = []
-    for value in values:
-        placed, entries = _measured(points, value, sign)
-        best.append(placed.select("doc_id", F.slice(F.array_sort(entries), 1, n).alias("best")))
-    merged = reduce(DataFrame.unionByName, best)
-    if len(best) > 1:
-        # At most n entries per block and document meet here.
-        merged = merged.groupBy("doc_id").agg(F.array_sort(F.flatten(F.collect_list("best"))).alias("best"))
-    return merged.select("doc_id", F.element_at("best", n).alias("chosen"))
+    return F.transform("centers", entry)
 
 
 def _nth_center(points: DataFrame, centers: DataFrame, n: int, sign: int, block_bytes: int) -> DataFrame:
-    values, count = _blocks(centers, block_bytes)
+    count, width = _size_of(centers)
     if not 1 <= n <= count:
         raise ValueError(f"n must be in 1 .. {count}, the number of centers")
-    chosen = _first_center(points, values, sign) if n == 1 else _later_center(points, values, n, sign)
+    points = usable(points, width)
+    best = F.array_min(_entries(sign)) if n == 1 else F.slice(F.array_sort(_entries(sign)), 1, n)
+    if _fits(count, width, block_bytes):
+        found = points.select("doc_id", "point", _value(centers).alias("centers")).select("doc_id", best.alias("best"))
+    else:
+        blocks = center_blocks.build(centers, count, width, block_bytes)
+        parts = blocks.met(blocks.needed(points, n, sign)).select("doc_id", best.alias("best"))
+        # At most n entries per block and document meet here.
+        merged = F.min("best") if n == 1 else F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, n)
+        found = parts.groupBy("doc_id").agg(merged.alias("best"))
+    chosen = found.select("doc_id", (F.col("best") if n == 1 else F.element_at("best", n)).alias("chosen"))
     return chosen.select("doc_id", "chosen.cluster_id", (F.col("chosen.key") * sign).alias("distance"))
 
 
 def center_distances(points: DataFrame, centers: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """(doc_id, cluster_id, distance) of every point to every center."""
-    values, _ = _blocks(centers, block_bytes)
+    count, width = _size_of(centers)
+    points = usable(points, width)
+    if _fits(count, width, block_bytes):
+        beside = points.select("doc_id", "point", _value(centers).alias("centers"))
+    else:
+        blocks = center_blocks.build(centers, count, width, block_bytes)
+        beside = blocks.met(blocks.every(points))
     distance = squared_distance(F.col("point"), F.col("c.center")).alias("distance")
-    parts = [
-        points.select("doc_id", "point", F.explode(value).alias("c")).select("doc_id", "c.cluster_id", distance)
-        for value in values
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return beside.select("doc_id", "point", F.explode("centers").alias("c")).select("doc_id", "c.cluster_id", distance)
 
 
 def furthest_nth_cluster(
@@ -119,42 +129,17 @@ def within_set_error(points: DataFrame, centers: DataFrame) -> DataFrame:
     return nearest_center(points, centers).agg(F.sum("distance").alias("wssse"))
 
 
-def _nearest_of_partition(points: DataFrame, block: list, n: int) -> DataFrame:
-    """(cluster_id, doc_id, distance): for each center of a block the n closest points of each partition.
-
-    Distances are summed one dimension after the other, as ``squared_distance`` does.  A task keeps n points a
-    center and looks at no more than ``cells`` distances at a time.
-    """
+def _nearest_of_partition(points: DataFrame, block: list, n: int, cells: int) -> DataFrame:
+    """(cluster_id, doc_id, distance): for each center of a block the n closest points of each partition."""
     ids = np.array([r["cluster_id"] for r in block], np.int64)
-    matrix = np.array([r["center"] for r in block], np.float64).T.copy()
-    cells = FOLD_CELLS
+    matrix = np.array([r["center"] for r in block], np.float64)
 
     def nearest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width, count = matrix.shape
-        best, docs = np.full((n, count), np.inf), np.full((n, count), np.iinfo(np.int64).max)
-        found = 0
-        step = max(1, cells // count)
+        fold = Fold(ids, matrix, n, cells)
         for batch in batches:
             names = batch.column(0).to_numpy()
-            values = batch.column(1).flatten().to_numpy().reshape(len(names), width)
-            for start in range(0, len(names), step):
-                part = values[start : start + step]
-                distance = np.zeros((len(part), count))
-                for i in range(width):
-                    difference = part[:, i, None] - matrix[i]
-                    distance += difference * difference
-                found += len(part)
-                near = (distance <= best[-1]).any(axis=1)
-                both = np.concatenate([best, distance[near]])
-                named = np.repeat(names[start : start + step][near][:, None], count, axis=1)
-                of = np.concatenate([docs, named])
-                order = np.lexsort((of, both), axis=0)[:n]
-                best, docs = np.take_along_axis(both, order, 0), np.take_along_axis(of, order, 0)
-        kept = min(n, found)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.tile(ids, kept)), pa.array(docs[:kept].ravel()), pa.array(best[:kept].ravel())],
-            ["cluster_id", "doc_id", "distance"],
-        )
+            fold.add(names, batch.column(1).flatten().to_numpy().reshape(len(names), matrix.shape[1]))
+        yield fold.batch()
 
     return points.mapInArrow(nearest, "cluster_id bigint, doc_id bigint, distance double")
 
@@ -164,28 +149,27 @@ def closest_nth_points(
 ) -> DataFrame:
     """(cluster_id, doc_id, distance): for each center its n-th closest point, ties by the lower doc id.
 
-    Each partition keeps its n closest points of every center as it goes, and
-    only these are shuffled and ranked; no pair of point and center is sorted.
-    Where n times the centers of a block is above ``fold_cells``, pairs are
-    ranked by a window instead, whose row limit is applied inside each
-    partition first.  Points without a distance, NULL ones and those of
-    another length than the centers, are not ranked.
+    Each task keeps the n closest points of its centers as it goes, and only
+    these are shuffled and ranked; no pair of point and center is sorted.
+    Centers of one block come to every task, more are met block by block in the
+    tasks that hold them.  Where n times the centers of a block is above
+    ``fold_cells``, pairs are ranked by a window instead, whose row limit is
+    applied inside each partition first.
     """
     if n < 1:
         raise ValueError("n counts from 1")
-    width, parts = _center_parts(centers, block_bytes)
-    usable = points.select(F.col("doc_id").cast("long"), F.col("point").cast("array<double>").alias("point")).where(
-        F.col("doc_id").isNotNull() & (F.size("point") == width) & ~F.exists("point", lambda x: x.isNull() | F.isnan(x))
-    )
-    near = []
-    for part in parts:
-        block = part.select(F.col("cluster_id").cast("long"), F.col("center").cast("array<double>")).collect()
-        if block and n * len(block) <= fold_cells:
-            near.append(_nearest_of_partition(usable, block, n))
-        elif block:
-            near.append(center_distances(usable, part, block_bytes))
+    count, width = _size_of(centers)
+    points = usable(points.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("point").cast("array<double>").alias("point")), width)
+    in_a_block = count if _fits(count, width, block_bytes) else center_blocks.PER_BLOCK
+    if n * in_a_block > fold_cells:
+        near = center_distances(points, centers, block_bytes)
+    elif _fits(count, width, block_bytes):
+        block = centers.select(F.col("cluster_id").cast("long"), F.col("center").cast("array<double>")).collect()
+        near = _nearest_of_partition(points, block, n, fold_cells)
+    else:
+        near = center_blocks.build(centers, count, width, block_bytes).closest(points, n, fold_cells)
     order = Window.partitionBy("cluster_id").orderBy(F.col("distance"), F.col("doc_id"))
-    ranked = reduce(DataFrame.unionByName, near).withColumn("rank", F.row_number().over(order))
+    ranked = near.withColumn("rank", F.row_number().over(order))
     nth = ranked.where(F.col("rank") <= n).where(F.col("rank") == n)
     return nth.select("cluster_id", "doc_id", "distance")
 
@@ -197,24 +181,25 @@ def closest_nth_point(points: DataFrame, centers: DataFrame, cluster_id: int, n:
     wanted = centers.where(F.col("cluster_id") == cluster_id)
     if len(wanted.take(2)) != 1:
         raise ValueError(f"cluster {cluster_id} is not in the centers exactly once")
+    _, width = _size_of(wanted)
     center = wanted.agg(F.first("center")).scalar().alias("center")
-    placed = points.select("doc_id", "point", center)
+    placed = usable(points, width).select("doc_id", "point", center)
     distances = placed.select("doc_id", squared_distance(F.col("point"), F.col("center")).alias("distance"))
     return nth_row(distances, [("distance", True), ("doc_id", True)], n)
 
 
 def nth_row(rows: DataFrame, order: list[tuple[str, bool]], n: int) -> DataFrame:
-    """The n-th row in the order given as (column, ascending), by two top-n steps."""
+    """The n-th row in the order given as (column, ascending), by two selections of first rows."""
     if rows.limit(n).count() < n:
         raise ValueError(f"fewer than {n} rows")
     forward = [F.col(c).asc() if up else F.col(c).desc() for c, up in order]
     backward = [F.col(c).desc() if up else F.col(c).asc() for c, up in order]
-    return rows.orderBy(*forward).limit(n).orderBy(*backward).limit(1)
+    return first_rows(rows, forward, n).orderBy(*backward).limit(1)
 
 
-def most_useful(scored: DataFrame, n: int = 1, score: str = "prediction") -> DataFrame:
-    """The n rows with the highest score, ties by the lower doc id."""
-    return scored.orderBy(F.col(score).desc(), F.col("doc_id").asc()).limit(n)
+def most_useful(scored: DataFrame, n: int = 1, score: str = "prediction", top_rows: int | None = None) -> DataFrame:
+    """The n rows with the highest score, ties by the lower doc id; any number (``first_rows``)."""
+    return first_rows(scored, [F.col(score).desc(), F.col("doc_id").asc()], n, top_rows)
 
 
 def most_useful_per(scored: DataFrame, group: str, score: str = "prediction") -> DataFrame:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions.text import hash32, hash_bucket, hash_unit
-from opinara.operators.rowids import number_rows
+from opinara.operators.rowids import first_rows, number_rows
 
 # Least review count (exclusive), training percentage.
 MIN_REVIEW_COUNT = 15
@@ -52,8 +54,16 @@ def _shuffled(key: str, seed: int) -> list[Column]:
 
 
 def random_rows(rows: DataFrame, key: str, n: int = 1, seed: int = 0) -> DataFrame:
-    """``n`` rows drawn at random by a seeded hash of the key (a top-n, no full sort)."""
-    return rows.orderBy(*_shuffled(key, seed)).limit(n)
+    """``n`` rows drawn at random by a seeded hash of the key; any number, without a task that has them all."""
+    return first_rows(rows, _shuffled(key, seed), n)
+
+
+def random_share(rows: DataFrame, key: str, share: float, seed: int = 0) -> DataFrame:
+    """Exactly this share of the rows, rounded up, drawn at random by a seeded hash of the key."""
+    if not 0 <= share <= 1:
+        raise ValueError("the share has to be from 0 to 1")
+    # A share of a count is not below it by a rounding error only.
+    return random_rows(rows, key, math.ceil(round(share * rows.count(), 9)), seed)
 
 
 def random_fraction(rows: DataFrame, key: str, fraction: float, seed: int = 0) -> DataFrame:

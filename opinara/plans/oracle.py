@@ -279,6 +279,25 @@ def nth(partition: str, order: str, n: int, columns: str = "doc_id, cluster_id,
     )
 
 
+def many(partition: str, order: str, n: int) -> str:
+    pairs = [
+        DISTANCES[0],
+        (
+            "d",
+            "SELECT a.doc_id, b.doc_id AS cluster_id, sum((a.v - b.v) * (a.v - b.v)) AS distance"
+            " FROM p a JOIN p b ON a.i = b.i AND a.doc_id % 2 = 1 AND b.doc_id % 2 = 0 GROUP BY ALL",
+        ),
+    ]
+    return with_(
+        pairs,
+        f"SELECT doc_id, cluster_id, round(distance, 6) AS distance"
+        f" FROM (SELECT *, row_number() OVER ({partition} ORDER BY {order}) AS r FROM d) WHERE r = {n}",
+    )
+
+
+USABLE = "doc_id % 11 <> 0 AND doc_id % 13 <> 0 AND doc_id % 17 <> 0 AND doc_id % 19 <> 0"
+JSON_LINE = "('{\"doc_id\":' || doc_id || ',\"business_id\":\"' || source || '\",\"text\":\"')"
+
 PREDICTED = tf() + [
     ("w", f"SELECT range AS bucket, {unit('CAST(range AS VARCHAR)')} - 0.5 AS weight FROM range(1000)"),
     ("known", "SELECT doc_id, sum(tf * weight) AS prediction FROM tf JOIN w USING (bucket) GROUP BY doc_id"),
@@ -543,11 +562,37 @@ def oracle() -> dict[str, str]:
         "closest_point": nth("PARTITION BY cluster_id", "distance, doc_id", 1),
         "closest_nth_point_to_cluster": nth("", "distance, doc_id", 2, "doc_id, round(distance, 6) AS distance", "cluster_id = 4"),
         "assign_given_centers": nth("PARTITION BY doc_id", "distance, cluster_id", 1),
+        "nearest_of_many_centers": many("PARTITION BY doc_id", "round(distance, 6), cluster_id", 1),
+        "furthest_nth_of_many_centers": many("PARTITION BY doc_id", "round(distance, 6) DESC, cluster_id", 2),
+        "closest_nth_of_many_centers": many("PARTITION BY cluster_id", "round(distance, 6), doc_id", 3),
+        "assign_usable_points": nth("PARTITION BY doc_id", "distance, cluster_id", 1, where=USABLE),
+        "wssse_usable_points": with_(
+            DISTANCES, f"SELECT round(sum(m), 6) AS wssse FROM (SELECT min(distance) AS m FROM d WHERE {USABLE} GROUP BY doc_id)"
+        ),
+        "scan_broken_json": f"SELECT 'review' AS kind, CASE WHEN doc_id % 5 <> 0 THEN doc_id END AS doc_id, source AS business_id, text, true AS numbered"
+        f" FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0"
+        f" UNION ALL SELECT 'rejected', NULL, NULL, CASE WHEN doc_id % 7 = 0 THEN substr({JSON_LINE}, 1, 20) ELSE '[' || doc_id || ']' END, false"
+        f" FROM documents WHERE doc_id % 7 = 0 OR doc_id % 11 = 0",
+        "reviews_without_ids": "SELECT doc_id % 3 <> 0 AS given, count(*) AS n, count(*) AS different,"
+        " CASE WHEN doc_id % 3 <> 0 THEN min(doc_id) ELSE any_value(above) END AS least,"
+        " CASE WHEN doc_id % 3 <> 0 THEN max(doc_id) ELSE any_value(above) + count(*) - 1 END AS most"
+        " FROM documents, (SELECT max(doc_id) + 1 AS above FROM documents WHERE doc_id % 3 <> 0) GROUP BY doc_id % 3 <> 0",
         "wssse_given_centers": with_(
             DISTANCES, "SELECT round(sum(m), 6) AS wssse FROM (SELECT min(distance) AS m FROM d GROUP BY doc_id)"
         ),
         "predict_given_weights": with_(PREDICTED, "SELECT doc_id, prediction FROM shown"),
         "most_useful": with_(PREDICTED, "SELECT doc_id, prediction FROM shown ORDER BY prediction DESC, doc_id LIMIT 10"),
+        "most_useful_half": with_(
+            PREDICTED,
+            "SELECT doc_id, prediction FROM shown ORDER BY prediction DESC, doc_id LIMIT (SELECT count(*) // 2 FROM shown)",
+        ),
+        "random_fifth": " UNION ALL ".join(
+            f"SELECT '{kind}' AS kind, key FROM (SELECT *, row_number() OVER (ORDER BY {hash32("key || ':0'")}, id) AS r, count(*) OVER () AS n FROM ({rows})) WHERE r <= ceil(n / 5)"
+            for kind, rows in (
+                ("business", f"SELECT business_id AS key, business_id AS id FROM ({counts})"),
+                ("review", "SELECT CAST(doc_id AS VARCHAR) AS key, doc_id AS id FROM documents"),
+            )
+        ),
         "most_useful_per_business": with_(
             PREDICTED,
             "SELECT business_id, doc_id, prediction FROM (SELECT source AS business_id, doc_id, prediction, row_number() OVER (PARTITION BY source ORDER BY prediction DESC, doc_id) AS r FROM shown JOIN documents USING (doc_id)) WHERE r = 1",

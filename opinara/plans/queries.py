@@ -18,7 +18,7 @@ from opinara.operators.robust import RobustPlsa
 from opinara.operators.topics import Plsa, TopicModel, initial_phi
 from opinara.plans import checks, experiments
 from opinara.sources import models
-from opinara.sources.readers import name_view, read_reviews, read_table
+from opinara.sources.readers import name_view, read_reviews, read_table, scan_reviews
 from opinara.sources.state import new_path
 
 TOPICS = 5
@@ -29,6 +29,8 @@ PHI_ALPHA = 0.8
 PULL = 10.0
 PUSH = 10_000.0
 DECORRELATION = 1e9
+#: So small that the given centers are many blocks.
+CENTER_BYTES = 1 << 14
 
 #: Of two gradient steps, and of twelve, where texts of thousands of words make longer ones diverge.
 STEP, SHORT_STEP = 0.001, 0.00001
@@ -112,6 +114,44 @@ def scan_json_reviews(spark: SparkSession, folder: str) -> DataFrame:
     return spark.sql("SELECT doc_id, business_id, text, coalesce(votes.useful, 0) AS useful FROM review")
 
 
+@query
+def scan_broken_json(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of reviews, of which some are cut short, some name no id and some are no objects: what is read and what is rescued."""
+    path = new_path(spark, "broken-json")
+    line = F.to_json(F.struct("doc_id", "business_id", "text"))
+    anonymous = F.to_json(F.struct("business_id", "text"))
+    number = F.col("doc_id")
+    broken = (
+        F.when(number % 7 == 0, F.substring(line, 1, 20))
+        .when(number % 11 == 0, F.concat(F.lit("["), number.cast("string"), F.lit("]")))
+        .when(number % 5 == 0, anonymous)
+        .otherwise(line)
+    )
+    plain_reviews(spark, folder).select(broken.alias("value")).write.text(path)
+    scanned = scan_reviews(spark, path)
+    first = scanned.reviews.agg(F.min("doc_id")).first()[0]
+    read = scanned.reviews.select(
+        F.lit("review").alias("kind"), F.when(F.col("given"), F.col("doc_id")).alias("doc_id"), "business_id", "text", (F.col("doc_id") >= first).alias("numbered")
+    )
+    rescued = scanned.rejected.select(
+        F.lit("rejected").alias("kind"), F.lit(None).cast("bigint").alias("doc_id"), F.lit(None).cast("string").alias("business_id"), F.col("line").alias("text"), F.lit(False).alias("numbered")
+    )
+    return read.unionByName(rescued)
+
+
+@query
+def reviews_without_ids(spark: SparkSession, folder: str) -> DataFrame:
+    """Numbers given to lines without an id: as many, each once, above those that lines have."""
+    path = new_path(spark, "mixed-json")
+    number = F.col("doc_id")
+    mixed = F.when(number % 3 == 0, F.to_json(F.struct("business_id", "text"))).otherwise(F.to_json(F.struct("doc_id", "business_id", "text")))
+    plain_reviews(spark, folder).select(mixed.alias("value")).write.text(path)
+    read = scan_reviews(spark, path).reviews
+    return read.groupBy("given").agg(
+        F.count("*").alias("n"), F.countDistinct("doc_id").alias("different"), F.min("doc_id").alias("least"), F.max("doc_id").alias("most")
+    )
+
+
 @query
 def save_load_model(spark: SparkSession, folder: str) -> DataFrame:
     """Do the stored models predict what the trained ones do, and what their weights say?"""
@@ -510,6 +550,54 @@ def assign_given_centers(spark: SparkSession, folder: str) -> DataFrame:
     return _distance(ranking.nearest_center(points(spark, folder), centers(spark, folder)))
 
 
+def many_centers(spark: SparkSession, folder: str) -> DataFrame:
+    """Every second vector as a center of its own."""
+    return points(spark, folder).where(F.col("doc_id") % 2 == 0).select(F.col("doc_id").alias("cluster_id"), F.col("point").alias("center"))
+
+
+def other_points(spark: SparkSession, folder: str) -> DataFrame:
+    return points(spark, folder).where(F.col("doc_id") % 2 == 1)
+
+
+@query
+def nearest_of_many_centers(spark: SparkSession, folder: str) -> DataFrame:
+    """Centers that are a table of blocks; points meet those that the triangle inequality leaves."""
+    return _distance(ranking.nearest_center(other_points(spark, folder), many_centers(spark, folder), CENTER_BYTES))
+
+
+@query
+def furthest_nth_of_many_centers(spark: SparkSession, folder: str) -> DataFrame:
+    return _distance(ranking.furthest_nth_cluster(other_points(spark, folder), many_centers(spark, folder), 2, CENTER_BYTES))
+
+
+@query
+def closest_nth_of_many_centers(spark: SparkSession, folder: str) -> DataFrame:
+    return _distance(ranking.closest_nth_points(other_points(spark, folder), many_centers(spark, folder), 3, CENTER_BYTES))
+
+
+def broken_points(spark: SparkSession, folder: str) -> DataFrame:
+    """The vectors, some of them missing, cut short, or with a component that is missing or no number."""
+    whole, n = F.col("point"), F.col("doc_id")
+    broken = (
+        F.when(n % 11 == 0, F.lit(None))
+        .when(n % 13 == 0, F.slice(whole, 1, 7))
+        .when(n % 17 == 0, F.concat(F.array(F.lit(float("nan"))), F.slice(whole, 2, 100)))
+        .when(n % 19 == 0, F.concat(F.array(F.lit(None)), F.slice(whole, 2, 100)))
+        .otherwise(whole)
+    )
+    return points(spark, folder).select("doc_id", broken.cast("array<float>").alias("point"))
+
+
+@query
+def assign_usable_points(spark: SparkSession, folder: str) -> DataFrame:
+    return _distance(ranking.nearest_center(broken_points(spark, folder), centers(spark, folder)))
+
+
+@query
+def wssse_usable_points(spark: SparkSession, folder: str) -> DataFrame:
+    return rounded(ranking.within_set_error(broken_points(spark, folder), centers(spark, folder)), 6, "wssse")
+
+
 @query
 def wssse_given_centers(spark: SparkSession, folder: str) -> DataFrame:
     return rounded(ranking.within_set_error(points(spark, folder), centers(spark, folder)), 6, "wssse")
@@ -531,6 +619,23 @@ def most_useful(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.most_useful(predict_given_weights(spark, folder), 10)
 
 
+@query
+def most_useful_half(spark: SparkSession, folder: str) -> DataFrame:
+    """Half of all reviews by score: more than one task should have."""
+    scored = predict_given_weights(spark, folder)
+    return ranking.most_useful(scored, scored.count() // 2, top_rows=100)
+
+
+@query
+def random_fifth(spark: SparkSession, folder: str) -> DataFrame:
+    """Exactly a fifth of the businesses, rounded up, and of the reviews."""
+    shares = [
+        selection.random_share(rows, key, 0.2).select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("key"))
+        for kind, rows, key in (("business", businesses(spark, folder), "business_id"), ("review", texts(spark, folder), "doc_id"))
+    ]
+    return shares[0].unionByName(shares[1])
+
+
 @query
 def most_useful_per_business(spark: SparkSession, folder: str) -> DataFrame:
     scored = predict_given_weights(spark, folder).join(
@@ -643,8 +748,8 @@ def kmeans_every_center(spark: SparkSession, folder: str) -> DataFrame:
 def kmeans_parallel_draws(spark: SparkSession, folder: str) -> DataFrame:
     """The reviews that the parallel start draws for each business, and how many are nearest to each."""
     means = kmeans.KMeans(cluster.CLUSTERS)
-    held, width = means.prepare(grouped_points(spark, folder), text.NUM_FEATURES)
-    return means.drawn(held.frame, width).select(F.col("group_id").alias("business_id"), "doc_id", "place", "weight")
+    held = means.prepare(grouped_points(spark, folder), text.NUM_FEATURES)
+    return means.drawn(held).select(F.col("group_id").alias("business_id"), "doc_id", "place", "weight")
 
 
 @query

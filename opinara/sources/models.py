@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import SparkSession
 
-from opinara.sources.state import path_exists
+from opinara.sources.state import commit, committed
 
 LINEAR = "linear"
 RIDGE = "ridge"
@@ -16,18 +17,30 @@ Models = tuple[LinearRegressionModel, LinearRegressionModel]
 
 
 def save_models(folder: str, models: Models) -> None:
-    """Write (linear, ridge); a failed write raises."""
+    """Commit (linear, ridge); a failed write raises and leaves what was stored before.
+
+    The pair is written aside, under a name of its own, and counts from the
+    moment when the pointer names it, so a reader sees a whole pair: the old
+    one or the new one.
+    """
+    spark = SparkSession.active()
+    version = uuid.uuid4().hex
     for name, model in zip((LINEAR, RIDGE), models, strict=True):
-        model.write().overwrite().save(f"{folder}/{name}")
+        model.write().save(f"{folder}/{version}/{name}")
+    commit(spark, folder, version)
 
 
 def load_models(folder: str) -> Models:
-    return LinearRegressionModel.load(f"{folder}/{LINEAR}"), LinearRegressionModel.load(f"{folder}/{RIDGE}")
+    """The committed pair; without one this raises."""
+    version = committed(SparkSession.active(), folder)
+    if version is None:
+        raise FileNotFoundError(f"no models are committed in {folder}")
+    return tuple(LinearRegressionModel.load(f"{folder}/{version}/{name}") for name in (LINEAR, RIDGE))
 
 
 def load_or_train(spark: SparkSession, folder: str, train: Callable[[], Models]) -> Models:
-    """Load both models if both are there, otherwise train and save them."""
-    if all(path_exists(spark, f"{folder}/{name}") for name in (LINEAR, RIDGE)):
+    """Load the committed pair if there is one, otherwise train and commit one; a half-written save does not count."""
+    if committed(spark, folder) is not None:
         return load_models(folder)
     models = train()
     save_models(folder, models)

@@ -49,6 +49,36 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return filesystem.exists(hadoop_path)
 
 
+#: Pointers are numbered; the highest one counts.
+_POINTER = "_committed-"
+
+
+def _pointers(spark: SparkSession, folder: str) -> list[tuple[int, str]]:
+    """(number, version) of the committed versions in a folder."""
+    path, filesystem = _filesystem(spark, folder)
+    if not filesystem.exists(path):
+        return []
+    names = [status.getPath().getName() for status in filesystem.listStatus(path)]
+    parts = [name[len(_POINTER) :].split("-", 1) for name in names if name.startswith(_POINTER)]
+    return sorted((int(number), version) for number, version in parts)
+
+
+def commit(spark: SparkSession, folder: str, version: str) -> None:
+    """Make a version the one that counts, by a pointer whose name says which: it is there as a whole or not at all.
+
+    Versions that are no longer named stay, since someone may be reading them.
+    """
+    last = max((number for number, _ in _pointers(spark, folder)), default=0)
+    path, filesystem = _filesystem(spark, f"{folder}/{_POINTER}{last + 1}-{version}")
+    filesystem.create(path, True).close()
+
+
+def committed(spark: SparkSession, folder: str) -> str | None:
+    """The version that counts, if any does."""
+    found = _pointers(spark, folder)
+    return found[-1][1] if found else None
+
+
 @dataclass
 class Stored:
     """A written table; ``drop`` once nothing that is still to run reads it."""

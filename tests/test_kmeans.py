@@ -45,8 +45,9 @@ def by_group(frame):
     return out
 
 
-@pytest.mark.parametrize("rounds", [0, 1, 4])
-def test_rounds_of_every_group(spark, rounds):
+@pytest.mark.parametrize("rounds, cells", [(0, 1 << 20), (1, 0), (4, 1 << 20)])
+def test_rounds_of_every_group(spark, monkeypatch, rounds, cells):
+    monkeypatch.setattr(kmeans, "SMALL_CELLS", cells)
     rows = grouped_rows(np.random.default_rng(rounds), {"a": 90, "b": 11, "c": 3, "d": 1})
     frame = spark.createDataFrame(rows, ROWS)
     points = kmeans.points_of_arrays(frame, F.col("point"), F.col("business_id"))
@@ -72,10 +73,11 @@ def test_rounds_of_every_group(spark, rounds):
 
 
 @pytest.mark.parametrize("start", ["hash", "parallel"])
-def test_partitions_do_not_matter(spark, start):
+def test_partitions_and_the_way_of_the_centers_do_not_matter(spark, monkeypatch, start):
     frame = spark.createDataFrame(grouped_rows(np.random.default_rng(1), {"a": 300, "b": 40}), ROWS)
     seen = set()
-    for parts in (1, 4, 64):
+    for parts, cells in ((1, 0), (1, 1 << 20), (4, 1 << 20), (64, 0), (64, 1 << 20)):
+        monkeypatch.setattr(kmeans, "SMALL_CELLS", cells)
         points = kmeans.points_of_arrays(frame.repartition(parts), F.col("point"), F.col("business_id"))
         found = kmeans.KMeans(4, 5, seed=3, start=start).fit(points)
         seen.add(str(sorted(map(tuple, found.centers.collect()))))  # to the last bit
@@ -87,9 +89,9 @@ def test_parallel_draws(spark):
     rows = grouped_rows(np.random.default_rng(4), {"a": 120, "b": 9}, whole=True)
     means = kmeans.KMeans(3, seed=5)
     points = kmeans.points_of_arrays(spark.createDataFrame(rows, ROWS), F.col("point"), F.col("business_id"))
-    held, width = means.prepare(points, 6)
+    held = means.prepare(points, 6)
     got = {}
-    for r in means.drawn(held.frame, width).collect():
+    for r in means.drawn(held).collect():
         got.setdefault(r["group_id"], []).append((r["place"], r["doc_id"], r["weight"]))
     for name in "ab":
         own = sorted((d, np.array(p)) for b, d, p in rows if b == name)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from opinara.operators import cluster, regression, selection, text
 from opinara.plans import checks, experiments
 from opinara.sources import models, readers
-from opinara.sources.state import new_path, path_exists, shared_folder
+from opinara.sources.state import commit, committed, new_path, path_exists, shared_folder
 
 
 @pytest.fixture(scope="module")
@@ -117,15 +117,53 @@ def test_useful_models_are_saved_and_loaded(spark, reviews):
         return tuple(experiments.train_useful(reviews))
 
     first = models.load_or_train(spark, folder, train)
-    assert path_exists(spark, f"{folder}/linear") and path_exists(spark, f"{folder}/ridge")
+    version = committed(spark, folder)
+    assert path_exists(spark, f"{folder}/{version}/linear") and path_exists(spark, f"{folder}/{version}/ridge")
     second = models.load_or_train(spark, folder, train)
     assert len(calls) == 1
     for a, b in zip(first, second):
         assert a.coefficients == b.coefficients
-    with pytest.raises(Exception):
+    with pytest.raises(FileNotFoundError):
         models.load_models(folder + "-missing")
 
 
+def test_half_written_models_do_not_count(spark, reviews):
+    folder = new_path(spark, "models")
+    linear, ridge = experiments.train_useful(reviews)
+    linear.write().save(f"{folder}/linear")  # saves that broke off: one model of two, and metadata without data
+    linear.write().save(f"{folder}/0123/linear")
+    spark.createDataFrame([("x",)], "value string").write.text(f"{folder}/0123/ridge/metadata")
+    calls = []
+
+    def train():
+        calls.append(1)
+        return linear, ridge
+
+    assert committed(spark, folder) is None
+    models.load_or_train(spark, folder, train)
+    models.load_or_train(spark, folder, train)
+    assert len(calls) == 1
+
+
+def test_a_reader_sees_the_old_pair_or_the_new_one(spark, reviews, monkeypatch):
+    folder = new_path(spark, "models")
+    linear, ridge = experiments.train_useful(reviews)
+    models.save_models(folder, (linear, ridge))
+    seen = []
+    monkeypatch.setattr(models, "commit", lambda *given: (seen.append(models.load_models(folder)), commit(*given)))
+    models.save_models(folder, (ridge, linear))  # everything is written when the old pair is read
+    assert [m.coefficients for m in seen[0]] == [linear.coefficients, ridge.coefficients]
+    assert [m.coefficients for m in models.load_models(folder)] == [ridge.coefficients, linear.coefficients]
+
+    def broken(*_):
+        raise OSError("lost")
+
+    monkeypatch.setattr(models, "commit", broken)
+    with pytest.raises(OSError):
+        models.save_models(folder, (linear, linear))
+    assert [m.coefficients for m in models.load_models(folder)] == [ridge.coefficients, linear.coefficients]
+
+
 def test_useful_metrics(reviews):
     trained = experiments.train_useful(reviews)
     rows = {r.model: r for r in trained.metrics.collect()}

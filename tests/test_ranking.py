@@ -1,8 +1,9 @@
+import math
 import random
 
 import pytest
 
-from opinara.operators import ranking
+from opinara.operators import center_blocks, ranking
 
 CENTERS = [(0, [0.0, 0.0]), (1, [3.0, 4.0]), (2, [6.0, 8.0])]
 POINTS = [(10, [0.0, 0.0]), (11, [1.0, 0.0]), (12, [6.0, 8.0])]
@@ -58,7 +59,8 @@ def test_ties_go_to_the_lower_id(spark):
     assert rows(ranking.closest_nth_point(points, centers, 4, 2)) == {(2, 1.0)}
 
 
-def test_many_blocks_give_the_same(spark):
+def test_many_blocks_give_the_same(spark, monkeypatch):
+    monkeypatch.setattr(center_blocks, "PER_BLOCK", 3)
     draw = random.Random(3)
     vectors = [[draw.random() for _ in range(4)] for _ in range(60)]
     centers = spark.createDataFrame(list(enumerate(vectors[:25])), "cluster_id bigint, center array<double>")
@@ -75,7 +77,8 @@ def test_many_blocks_give_the_same(spark):
     assert rows(ranking.nearest_center(points, centers, small).select("doc_id", "cluster_id")) == brute
 
 
-def test_closest_points_by_fold_and_by_window(spark):
+def test_closest_points_by_fold_and_by_window(spark, monkeypatch):
+    monkeypatch.setattr(center_blocks, "PER_BLOCK", 3)
     draw = random.Random(5)
     vectors = [[float(draw.randrange(3)) for _ in range(3)] for _ in range(90)]  # many ties
     centers = spark.createDataFrame(list(enumerate(vectors[:12])), "cluster_id bigint, center array<double>")
@@ -93,6 +96,53 @@ def test_closest_points_by_fold_and_by_window(spark):
     assert rows(ranking.closest_nth_points(points.limit(0), centers)) == set()
 
 
+def test_blocks_are_bounded_and_rule_others_out(spark):
+    draw = random.Random(9)
+    middles = [[draw.uniform(-100, 100) for _ in range(3)] for _ in range(12)]
+    vectors = [[x + draw.gauss(0, 1) for x in middles[i % 12]] for i in range(900)]
+    vectors += [vectors[0]] * 60  # equal centers have one pivot and several blocks
+    centers = spark.createDataFrame(list(enumerate(vectors)), "cluster_id bigint, center array<double>")
+    points = spark.createDataFrame([(i, [x + 0.1 for x in vectors[i]]) for i in range(0, 900, 9)], "doc_id bigint, point array<double>")
+    blocks = center_blocks.build(centers, 960, 3, 1 << 20, 20)
+    table = blocks.stored.frame.collect()
+    assert sum(b["n"] for b in table) == 960 and max(b["n"] for b in table) <= 60
+    for b in table:
+        assert b["n"] == len(b["centers"])
+        for c in b["centers"]:
+            assert math.dist(c["center"], b["pivot"]) <= b["radius"] + 1e-9
+    assert blocks.needed(points, 1, 1).count() < 100 * len(table) / 3
+    assert blocks.needed(points, 1, -1).count() < 100 * len(table) / 2
+    everywhere = {(p, c): math.dist([x + 0.1 for x in vectors[p]], v) ** 2 for p in range(0, 900, 9) for c, v in enumerate(vectors)}
+    small = 1 << 12
+    for n in (1, 3):
+        got = ranking.closest_nth_points(points, centers, n, small).collect()
+        assert len(got) == 960
+        for r in got:
+            near = sorted(everywhere[p, r["cluster_id"]] for p in range(0, 900, 9))
+            assert r["distance"] == pytest.approx(near[n - 1])
+    for r in ranking.nearest_center(points, centers, small).collect():
+        assert r["distance"] == pytest.approx(min(everywhere[r["doc_id"], c] for c in range(960)))
+
+
+def test_unusable_points_are_left_out_everywhere(spark, points, centers):
+    width = len(centers.first()["center"])
+    bad = [(None, [0.0] * width), (70, None), (71, [0.0] * (width - 1)), (72, [None] * width), (73, [float("nan")] * width), (74, [float("inf")] * width)]
+    more = points.unionByName(spark.createDataFrame(bad, "doc_id bigint, point array<double>"))
+    for rank in (
+        lambda p: ranking.nearest_center(p, centers),
+        lambda p: ranking.furthest_nth_cluster(p, centers, 2),
+        lambda p: ranking.center_distances(p, centers),
+        lambda p: ranking.closest_nth_points(p, centers),
+        lambda p: ranking.closest_nth_point(p, centers, 0),
+        lambda p: ranking.within_set_error(p, centers),
+        lambda p: ranking.nearest_center(p, centers, 1),
+    ):
+        assert rows(rank(more)) == rows(rank(points))
+    for center in (None, [None] * width, [float("nan")] * width):
+        with pytest.raises(ValueError, match="center"):
+            ranking.nearest_center(points, centers.unionByName(spark.createDataFrame([(9, center)], "cluster_id bigint, center array<double>")))
+
+
 def test_first_centers_are_not_sorted(points, centers):
     for frame in (ranking.nearest_center(points, centers), ranking.furthest_nth_cluster(points, centers)):
         main = frame._jdf.queryExecution().executedPlan().toString().split("Subquery")[0]

@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 from collections import Counter
 
 import pytest
@@ -70,8 +71,7 @@ def test_vocabulary_order(docs):
 
 
 @pytest.mark.parametrize("limit", [0, 200, 1 << 20])
-def test_bag_of_words_by_broadcast_head_and_shuffled_rest(spark, docs, monkeypatch, limit):
-    monkeypatch.setattr(rowids, "_CHUNK", 2)
+def test_bag_of_words_by_broadcast_head_and_shuffled_rest(spark, docs, limit):
     vocabulary = corpus.build_vocabulary(text.frequent_tokens(docs, 0))
     head = vocabulary.head(limit=limit)
     assert (head == 0) if limit == 0 else (0 < head < vocabulary.size) if limit == 200 else head == vocabulary.size
@@ -112,4 +112,23 @@ def test_row_numbers_are_consecutive(spark):
     assert [r.i for r in rows] == list(range(5000))
     assert [r.key for r in rows] == sorted(r.key for r in rows)
     assert numbered.rows == 5000
-    assert sum(c["total"] for c in numbered.chunks) == sum(r.key for r in rows)
+    assert sum(p["total"] for p in numbered.parts) == sum(r.key for r in rows)
+    assert len(numbered.parts) <= int(spark.conf.get("spark.sql.shuffle.partitions"))  # what the driver sees
+
+
+@pytest.mark.parametrize("limit", [0, 9, 10, 4000, 12_345, 10**9])
+def test_leading_rows_by_two_levels(spark, limit):
+    costs = [10 + i % 7 for i in range(3000)]
+    frame = spark.createDataFrame(list(enumerate(costs)), "key bigint, cost bigint")
+    numbered = rowids.number_rows(frame, [F.col("key").asc()], "i", {"cost": F.col("cost")})
+    expected = sum(total <= limit for total in itertools.accumulate(costs))
+    assert numbered.leading(F.col("cost"), [p["cost"] for p in numbered.parts], limit) == expected
+
+
+@pytest.mark.parametrize("n", [0, 1, 50, 999, 1000, 5000])
+def test_first_rows_of_any_number(spark, n):
+    frame = spark.range(1000).select(F.col("id").alias("key"), F.when(F.col("id") % 5 > 0, F.col("id") % 5).alias("score"))
+    order = [F.col("score").desc_nulls_last(), F.col("key").asc()]
+    expected = sorted(((-(i % 5) if i % 5 else 1, i) for i in range(1000)))[:n]
+    for top_rows in (10, 10**6):
+        assert sorted(r.key for r in rowids.first_rows(frame, order, n, top_rows).collect()) == sorted(i for _, i in expected)

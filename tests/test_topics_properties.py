@@ -5,7 +5,6 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from opinara.operators import rowids
 from opinara.operators.corpus import build_corpus, build_vocabulary, corpus_from_counts
 from opinara.operators.priors import Decorrelation, Prior, SymmetricDirichlet, UniformPrior
 from opinara.operators.robust import RobustPlsa
@@ -86,12 +85,11 @@ def test_robust_parts_are_distributions(corpus):
         assert row.s == pytest.approx(1)
 
 
-def test_result_does_not_depend_on_partitioning_or_join_way(spark, docs, model, monkeypatch):
-    monkeypatch.setattr(rowids, "_CHUNK", 8)
+def test_result_does_not_depend_on_partitioning_or_join_way(spark, docs, model):
     spark.conf.set("spark.sql.shuffle.partitions", "3")
     try:
         vocabulary = build_vocabulary(frequent_tokens(docs.repartition(5)))
-        limit = 16 * 110  # room for the first two chunks of eight words
+        limit = 16 * 110  # room for sixteen words
         other = build_corpus(docs.repartition(5), vocabulary=vocabulary, broadcast_bytes=limit)
         assert 0 < vocabulary.head(8 * (K + 2), limit) < vocabulary.size
         assert other.buckets == 3

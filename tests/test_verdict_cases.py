@@ -11,7 +11,8 @@ from opinara.operators.corpus import build_corpus
 from opinara.operators.partitions import MOST_BUCKETS, buckets_for
 from opinara.operators.robust import RobustPlsa
 from opinara.operators.topics import Plsa
-from opinara.sources.readers import read_reviews
+from opinara.sources.readers import BUSINESS_SCHEMA, read_reviews, scan_reviews
+from opinara.sources.state import new_path
 
 DOCS = [(1, "a a b a b c c c"), (2, "b c c b a b"), (3, None), (4, "x")]
 
@@ -79,3 +80,32 @@ def test_share_of_businesses(spark):
     drawn = selection.random_fraction(rows, "business_id", 0.2, seed=3)
     assert abs(drawn.count() / 2000 - 0.2) < 0.04
     assert drawn.collect() == selection.random_fraction(rows, "business_id", 0.2, seed=3).collect()
+
+
+def test_exact_shares(spark):
+    rows = spark.range(103).select(F.col("id").cast("string").alias("business_id"))
+    for share, n in ((0, 0), (0.2, 21), (0.5, 52), (1, 103)):
+        assert selection.random_share(rows, "business_id", share).count() == n
+    with pytest.raises(ValueError):
+        selection.random_share(rows, "business_id", 1.5)
+
+
+def test_broken_lines_are_rescued_and_others_numbered(spark):
+    path = new_path(spark, "lines")
+    good = ['{"doc_id": 4, "text": "a", "votes": {"useful": 2, "funny": 1}}', '{"text": "b", "business_id": "x"}', '  {"doc_id": 9}', "{}"]
+    bad = ['{"doc_id": 5, "text": "cut', "[1, 2]", '"text"', "null", "7", "nonsense", '{"doc_id": "no number"}']
+    spark.createDataFrame([(line,) for line in good + bad + ["", "  "]], "value string").coalesce(1).write.text(path)
+    scanned = scan_reviews(spark, path)
+    assert {r["line"] for r in scanned.rejected.collect()} == set(bad)
+    assert {r["reason"] for r in scanned.rejected.where("line = '7'").collect()} == {"no object"}
+    rows = {r["doc_id"]: (r["given"], r["text"], r["business_id"]) for r in scanned.reviews.collect()}
+    assert rows == {4: (True, "a", None), 9: (True, None, None), 10: (False, "b", "x"), 11: (False, None, None)}
+    assert scanned.reviews.where("doc_id = 4").first()["votes"]["useful"] == 2
+    assert read_reviews(spark, path).count() == 4
+    assert set(read_reviews(spark, path, None).columns) >= {"doc_id", "text", "business_id"}
+    nothing = new_path(spark, "lines")
+    spark.createDataFrame([("",)], "value string").write.text(nothing)
+    empty = scan_reviews(spark, nothing)
+    assert empty.reviews.count() == empty.rejected.count() == 0
+    with pytest.raises(ValueError):
+        scan_reviews(spark, path, BUSINESS_SCHEMA)
