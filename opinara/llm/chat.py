@@ -56,19 +56,44 @@ def _segments(turns: Column) -> Column:
     )
 
 
+def _length(s: Column) -> Column:
+    return F.char_length(s["head"]).cast("long") + F.char_length(s["body"])
+
+
 def _spans(segments: Column) -> Column:
-    """Start (from 1) and length of the learned texts, by a running sum over the segments."""
-    start = F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+    """Start (from 1) and length of the learned texts.
+
+    Running sums in two levels: over parts of about the square root of the
+    number of segments, then within each part, since an array that grows by
+    one costs its length.
+    """
+    nothing = F.array().cast("array<struct<start:bigint,length:bigint>>")
 
     def step(state, s):
         begin = state["at"] + F.char_length(s["head"])
-        length = F.char_length(s["body"]).cast("long")
-        span = F.array(F.struct(begin.alias("start"), length.alias("length")))
+        span = F.array(F.struct(begin.alias("start"), F.char_length(s["body"]).cast("long").alias("length")))
         return F.struct(
-            (begin + length).alias("at"), F.when(s["learned"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans")
+            (state["at"] + _length(s)).alias("at"), F.when(s["learned"], F.concat(state["spans"], span)).otherwise(state["spans"]).alias("spans")
         )
 
-    return F.aggregate(segments, start, step, lambda state: state["spans"])
+    def within(part, start):
+        return F.aggregate(part, F.struct(start.alias("at"), nothing.alias("spans")), step, lambda state: state["spans"])
+
+    def of_parts(parts):
+        totals = F.transform(parts, lambda part: F.aggregate(part, F.lit(0).cast("long"), lambda total, s: total + _length(s)))
+        starts = F.aggregate(
+            totals,
+            F.struct(F.lit(1).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts")),
+            lambda state, total: F.struct((state["at"] + total).alias("at"), F.concat(state["starts"], F.array(state["at"])).alias("starts")),
+            lambda state: state["starts"],
+        )
+        return let(starts, lambda known: F.flatten(F.zip_with(parts, known, within)))
+
+    def cut(width):
+        firsts = F.sequence(F.lit(1), F.size(segments), width)
+        return let(F.transform(firsts, lambda first: F.slice(segments, first, width)), of_parts)
+
+    return let(F.ceil(F.sqrt(F.size(segments))).cast("int"), cut)
 
 
 def format_chats(turns: DataFrame) -> DataFrame:
