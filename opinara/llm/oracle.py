@@ -25,7 +25,8 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 """
 
 
-def url_sql(rules=url_filter.RULES, rounds=url_filter.ROUNDS, damping=url_filter.DAMPING, threshold=url_filter.THRESHOLD) -> str:
+def url_sql(rules=url_filter.RULES, damping=url_filter.DAMPING, rounds=60) -> str:
+    """A fixed number of rounds that leaves nothing to change: the query itself stops by growth."""
     whens, verdicts = [], []
     for verdict, host, path in sorted(rules, key=lambda r: (-len(r[1] + r[2]), r)):
         fits = f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '{path}')"
@@ -40,7 +41,8 @@ WITH p AS (
 ), j AS (
   SELECT *, CASE {" ".join(whens)} END AS rule, CASE {" ".join(verdicts)} END AS ruled FROM q
 ), hosts AS (
-  SELECT host, count(*) FILTER (ruled = 'allow') AS trust, count(*) FILTER (ruled = 'block') AS distrust FROM j WHERE host <> '' GROUP BY host
+  SELECT host, count(*) FILTER (ruled = 'allow') / count(*) AS trust, count(*) FILTER (ruled = 'block') / count(*) AS distrust
+  FROM j WHERE host <> '' GROUP BY host
 ), found AS (
   SELECT host AS src, unnest(regexp_extract_all(html, '(?i)href\s*=\s*["'']?\s*(https?://[^"''\s<>]+)', 1)) AS url FROM j
 ), links AS (
@@ -56,8 +58,8 @@ WITH p AS (
   SELECT kind, f, t, n / sum(n) OVER (PARTITION BY kind, f) AS share FROM (
     SELECT 'trust' AS kind, src AS f, dst AS t, n FROM edges UNION ALL SELECT 'distrust', dst, src, n FROM edges)
 ), m0 AS MATERIALIZED (
-  SELECT 'trust' AS kind, host, {1 - damping} * trust / (SELECT sum(trust) FROM hosts) AS mass FROM hosts WHERE trust > 0
-  UNION ALL SELECT 'distrust', host, {1 - damping} * distrust / (SELECT sum(distrust) FROM hosts) FROM hosts WHERE distrust > 0
+  SELECT 'trust' AS kind, host, {1 - damping} * trust AS mass FROM hosts WHERE trust > 0
+  UNION ALL SELECT 'distrust', host, {1 - damping} * distrust FROM hosts WHERE distrust > 0
 )"""
     for i in range(1, rounds + 1):
         text += f""", m{i} AS MATERIALIZED (
@@ -68,7 +70,8 @@ WITH p AS (
 )"""
     return text + f"""
 SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN host IN (
-    SELECT host FROM m{rounds} GROUP BY host HAVING sum(CASE WHEN kind = 'distrust' THEN mass ELSE -mass END) > {threshold}
+    SELECT host FROM m{rounds} GROUP BY host
+    HAVING coalesce(sum(mass) FILTER (kind = 'distrust'), 0) > coalesce(sum(mass) FILTER (kind = 'trust'), 0) * {1 + url_filter.MARGIN}
   ) THEN 'block' ELSE 'allow' END) AS verdict
 FROM j
 """

@@ -6,11 +6,18 @@ at hosts with allowed pages and flows along edges; distrust starts at hosts
 with blocked pages and flows against them: whoever links to a blocked host
 shares its distrust.  Both are personalised PageRank, as joins and sums over
 the edge table, one written table per round.  A host is blocked when its
-distrust exceeds its trust by more than a threshold.
+distrust exceeds its trust.
+
+A host's seed is the part of its own pages that a rule allows or blocks, so
+what is elsewhere in the table changes nothing for hosts that are not linked to
+it.  Rounds go on until no host is reached any more and no mass grows by more
+than ``TOLERANCE`` of itself; they are as many as the longest chain of links
+calls for.  A host with very many edges is spread over ``SALTS`` keys.
 
 Defined cases: a NULL url, or one without ``://``, has empty host and path, no
 rule and no evidence, so it is allowed; a NULL page has no links; a NULL id is
-carried along; repeated rows each get their verdict and count as often as seed;
+carried along; repeated rows each get their verdict and count as often in their host's share;
+very long pages are searched whole;
 an empty table gives no rows; columns other than those named are ignored.
 Without any seed every host is allowed.
 """
@@ -33,8 +40,12 @@ RULES = (
     ("block", "com", "/de/"),
 )
 DAMPING = 0.85
-ROUNDS = 6
-THRESHOLD = 1e-9
+#: Growth of a mass, relative to itself, below which it counts as settled.
+TOLERANCE = 1e-3
+#: Distrust has to exceed trust by more than rounding.
+MARGIN = 1e-6
+#: Keys of a host's edges.
+SALTS = 8
 _ROOT_LABELS = 2
 
 
@@ -80,49 +91,48 @@ def site_edges(hosts: DataFrame) -> DataFrame:
     )
 
 
-def _flows(edges: DataFrame) -> DataFrame:
-    """Trust along the edges and distrust against them, each node's outflow summing to one."""
+def propagate(seeds: DataFrame, edges: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
+    """``kind, host, mass`` when settled, from seeds ``kind, host, mass``.
+
+    Trust moves along the edges and distrust against them, a host's mass dealt
+    by the number of links; mass at dead ends is lost.
+    """
     both = edges.select(F.lit("trust").alias("kind"), F.col("src").alias("from"), F.col("dst").alias("to"), "n").unionAll(
         edges.select(F.lit("distrust"), F.col("dst"), F.col("src"), "n")
     )
-    totals = both.groupBy("kind", "from").agg(F.sum("n").alias("total"))
-    return both.join(totals, ["kind", "from"]).select("kind", "from", "to", (F.col("n") / F.col("total")).alias("share"))
-
-
-def propagate(seeds: DataFrame, edges: DataFrame, rounds: int = ROUNDS, damping: float = DAMPING) -> DataFrame:
-    """``kind, host, mass`` after the rounds, from seeds ``kind, host, mass``; mass at dead ends is lost."""
-    flows = store(_flows(edges), "host_flows")
-    start = store(seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass")), "host_seeds")
-    mass = start
-    for _ in range(rounds):
-        moved = mass.frame.join(flows.frame, (mass.frame["kind"] == flows.frame["kind"]) & (F.col("host") == F.col("from")))
-        moved = moved.select(flows.frame["kind"], F.col("to").alias("host"), (F.col("mass") * F.col("share") * damping).alias("mass"))
-        following = store(start.frame.unionAll(moved).groupBy("kind", "host").agg(F.sum("mass").alias("mass")), "host_mass")
+    salt = F.pmod(F.xxhash64("to"), F.lit(SALTS)).cast("int")
+    flows = store(both.withColumn("salt", salt), "host_flows")
+    outflow = store(flows.frame.groupBy("kind", F.col("from").alias("host")).agg(F.sum("n").alias("total")), "host_outflow")
+    start = store(seeds.select("kind", "host", (F.col("mass") * (1 - damping)).alias("mass"), F.lit(0.0).alias("before")), "host_seeds")
+    mass, settled = start, edges.isEmpty()
+    none = F.lit(0.0)
+    while not settled:
+        # One row a host meets its total; only the parts of it meet the edges.
+        each = mass.frame.join(outflow.frame, ["kind", "host"]).select(
+            "kind", F.col("host").alias("from"), (F.col("mass") * damping / F.col("total")).alias("part"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        )
+        moved = each.join(flows.frame, ["kind", "from", "salt"]).select("kind", F.col("to").alias("host"), (F.col("part") * F.col("n")).alias("mass"), none.alias("before"))
+        known = mass.frame.select("kind", "host", none.alias("mass"), F.col("mass").alias("before"))
+        every = start.frame.unionAll(moved).unionAll(known).groupBy("kind", "host")
+        following = store(every.agg(F.sum("mass").alias("mass"), F.sum("before").alias("before")), "host_mass")
         if mass is not start:
             mass.drop()
         mass = following
+        settled = mass.frame.filter(F.col("mass") - F.col("before") > F.col("mass") * tolerance).isEmpty()
     flows.drop()
-    return mass.frame
+    outflow.drop()
+    return mass.frame.select("kind", "host", "mass")
 
 
-def blocked_hosts(
-    judged: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS, damping: float = DAMPING
-) -> DataFrame:
+def blocked_hosts(judged: DataFrame, tolerance: float = TOLERANCE, damping: float = DAMPING) -> DataFrame:
     """Hosts whose distrust exceeds their trust, from pages ``host, ruled, html``."""
-    hosts = store(
-        judged.filter("host <> ''")
-        .groupBy("host")
-        .agg(F.count_if(F.col("ruled") == "allow").alias("trust"), F.count_if(F.col("ruled") == "block").alias("distrust")),
-        "hosts",
-    ).frame
-    all_hosts = hosts.select("host")
-    edges = link_edges(judged).unionAll(site_edges(all_hosts)).groupBy("src", "dst").agg(F.sum("n").alias("n"))
-    total = hosts.agg(F.sum("trust").alias("trust"), F.sum("distrust").alias("distrust")).first()
-    seeds = hosts.unpivot(["host"], ["trust", "distrust"], "kind", "pages").filter("pages > 0")
-    whole = F.when(F.col("kind") == "trust", F.lit(total["trust"] or 1)).otherwise(F.lit(total["distrust"] or 1))
-    mass = propagate(seeds.select("kind", "host", (F.col("pages") / whole).alias("mass")), edges, rounds, damping)
-    signed = F.when(F.col("kind") == "distrust", F.col("mass")).otherwise(-F.col("mass"))
-    return mass.groupBy("host").agg(F.sum(signed).alias("balance")).filter(F.col("balance") > threshold).select("host")
+    share = lambda verdict: (F.count_if(F.col("ruled") == verdict) / F.count("*")).alias("trust" if verdict == "allow" else "distrust")
+    hosts = store(judged.filter("host <> ''").groupBy("host").agg(share("allow"), share("block")), "hosts").frame
+    edges = link_edges(judged).unionAll(site_edges(hosts.select("host"))).groupBy("src", "dst").agg(F.sum("n").alias("n"))
+    seeds = hosts.unpivot(["host"], ["trust", "distrust"], "kind", "mass").filter("mass > 0")
+    mass = propagate(seeds, store(edges, "host_edges").frame, tolerance, damping)
+    of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("mass")).otherwise(0.0)).alias(kind)
+    return mass.groupBy("host").agg(of("trust"), of("distrust")).filter(F.col("distrust") > F.col("trust") * (1 + MARGIN)).select("host")
 
 
 def judge(pages: DataFrame, rules: Sequence[tuple[str, str, str]] = RULES, **options) -> DataFrame:
