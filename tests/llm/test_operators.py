@@ -6,6 +6,7 @@ import itertools
 import math
 import re
 import struct
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -369,6 +370,73 @@ def test_licenses(spark, nothing):
     assert licenses.scan(nothing).count() == 0
 
 
+def wrapped(text, width, mark="", end=""):
+    words, lines = text.split(" "), [""]
+    for word in words:
+        if len(lines[-1]) + len(word) > width:
+            lines.append("")
+        lines[-1] = f"{lines[-1]} {word}".strip()
+    return "\n".join(f"{mark}{line}{end}" for line in lines)
+
+
+@pytest.fixture(scope="module")
+def licence_model():
+    return licenses.fit_templates([f"we had the {w} of the day and the general mood was public" for w in ("soup", "fish", "rice", "cake")])
+
+
+LICENCE_FORMS = {
+    "as it is": lambda t: t,
+    "over lines": lambda t: wrapped(t, 24),
+    "a word a line": lambda t: t.replace(" ", "\n"),
+    "in hashes": lambda t: f"# Copyright 2020 A. Person\n#\n{wrapped(t, 30, '# ')}\n#\nimport os",
+    "in stars": lambda t: f"/*\n{wrapped(t, 40, ' * ')}\n */\nint main() {{ return 0; }}",
+    "after prose": lambda t: f"The soup was good and the fish was better. {wrapped(t, 40)} See you again",
+}
+
+
+@pytest.mark.parametrize("form", LICENCE_FORMS)
+def test_licence_templates_in_every_form(licence_model, form):
+    for family, texts in licenses.all_templates().items():
+        for text in texts:
+            confirmed = {f.family for f in licence_model.find(LICENCE_FORMS[form](text)) if f.confirmed}
+            assert confirmed == {family}, text
+
+
+def test_licence_notices_side_by_side(licence_model):
+    notices = [(family, t) for family, texts in licenses.all_templates().items() for t in texts]
+    for (family, t), (other, u) in zip(notices, notices[5:] + notices[:5]):
+        for between in ("\n\n", "\n//\n"):
+            text = wrapped(t, 30) + between + wrapped(u, 30)
+            assert {f.family for f in licence_model.find(text) if f.confirmed} == {family, other}, text
+    found = licence_model.find("one\ntwo\n" + wrapped(licenses.TEMPLATES["mit"][1], 30) + "\n\nAll rights\nreserved.")
+    assert [(f.line, f.family) for f in found] == [(2, "mit"), (8, "all-rights-reserved")]
+
+
+def test_licence_words_that_are_no_notice(licence_model):
+    for text in (
+        "We are permitted to use the source.\nThis program is free software in spirit.\nThe public domain is wide.",
+        "SPDX-License-Identifier: none of these",
+        "All of the rights\nwere reserved for the public",
+        "",
+        "\n#\n*\n",
+    ):
+        assert not [f for f in licence_model.find(text) if f.confirmed], text
+
+
+def test_licences_in_a_very_long_text(licence_model):
+    notice = licenses.TEMPLATES["mit"][1]
+    text = " ".join(["soup", notice] * 2000) + "\n" + "word " * 200_000 + "\n\n" + wrapped(licenses.TEMPLATES["gpl-2.0"][1], 20)
+    start = time.time()
+    found = {f.family for f in licence_model.find(text) if f.confirmed}
+    assert found == {"mit", "gpl-2.0"} and time.time() - start < 30
+
+
+def test_licences_of_repeated_rows(spark, licence_model):
+    docs = spark.createDataFrame([(1, "Licensed\nunder CC BY 4.0.")] * 2 + [(None, None)], "doc_id bigint, text string")
+    out = sorted(((r["doc_id"], r["license"]) for r in licenses.scan(docs, licence_model).collect()), key=str)
+    assert out == [(1, "cc-by-4.0"), (1, "cc-by-4.0"), (None, None)]
+
+
 def test_licenses_of_the_documents(spark, documents):
     notices = {t: family for family, texts in licenses.TEMPLATES.items() for t in texts}
     expected = {d: ",".join(sorted({notices[x] for x in t.split("\n") if x in notices})) or None for d, t in pairs(documents)}
