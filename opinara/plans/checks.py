@@ -8,11 +8,13 @@ from __future__ import annotations
 
 import math
 
+from pyspark.ml.clustering import LDAModel
 from pyspark.ml.regression import LinearRegressionModel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from opinara.functions.numeric import add
+from opinara.operators import lda
 from opinara.operators.cluster import KMeansFit
 from opinara.operators.text import vector_entries
 
@@ -20,6 +22,12 @@ from opinara.operators.text import vector_entries
 TOLERANCE = 1e-6
 #: The solvers stop when a step gains this little.
 GRADIENT_TOLERANCE = 1e-4
+#: The library ends the inference of a text when its counts by topic move by less on average.
+LDA_STEP = 1e-3
+#: Fixed value: the library's smoothing of topics in expectation maximisation.
+LDA_TOPIC_CONCENTRATION = 1.1
+#: Between counts of the last round and settled ones.
+LIKELIHOOD_TOLERANCE = 0.02
 
 
 def close(a: Column, b: Column, tolerance: float = TOLERANCE) -> Column:
@@ -107,3 +115,27 @@ def metrics(scored: DataFrame, stated: DataFrame, name: str) -> DataFrame:
 def mixture(columns: list[Column]) -> Column:
     """Are these the shares of a whole?"""
     return close(add(columns), F.lit(1.0)) & (F.least(*columns) >= 0)
+
+
+def likelihood_holds(vectors: DataFrame, model: LDAModel) -> bool:
+    """Does the stated likelihood of the training texts follow from the topics and the texts?
+
+    The library states it with the texts' counts of its last round; here they
+    have settled under the topics, so the two are close and not equal.
+    """
+    alpha = float(model.estimatedDocConcentration()[0])
+    again = lda.fold_in(vectors, model, alpha, LDA_TOPIC_CONCENTRATION).agg(F.sum("loglik")).first()[0] or 0.0
+    return math.isclose(again, model.trainingLogLikelihood(), rel_tol=LIKELIHOOD_TOLERANCE)
+
+
+def lda_holds(vectors: DataFrame, model: LDAModel, mixtures: DataFrame) -> DataFrame:
+    """(doc_id, is_mixture, settled, loglik_holds) of the (doc_id, mixture) rows that the model gives."""
+    topics = len(model.estimatedDocConcentration())
+    steps = lda.variational_step(vectors, model, mixtures)
+    change = F.aggregate(F.zip_with("before", "after", lambda a, b: F.abs(a - b)), F.lit(0.0), lambda total, x: total + x)
+    return mixtures.join(steps, "doc_id").select(
+        "doc_id",
+        mixture([F.col("mixture")[k] for k in range(topics)]).alias("is_mixture"),
+        (change / F.lit(topics) <= LDA_STEP).alias("settled"),
+        F.lit(likelihood_holds(vectors, model)).alias("loglik_holds"),
+    )

@@ -477,7 +477,10 @@ def oracle() -> dict[str, str]:
         ),
         "rank_every_business": every_ranking(),
         "centroids": "SELECT range AS center_id, CAST(1000 AS INTEGER) AS width, true AS own FROM range(5)",
-        "lda_reviews": f"SELECT doc_id, true AS is_mixture FROM documents WHERE source = '{BUSINESS}'",
+        "lda_reviews": f"SELECT doc_id, true AS is_mixture, true AS settled, true AS loglik_holds FROM documents WHERE source = '{BUSINESS}'",
+        "lda_term_counts": with_(
+            tf(), f"SELECT bucket, CAST(sum(tf) AS DOUBLE) AS n FROM tf JOIN documents USING (doc_id) WHERE source = '{BUSINESS}' GROUP BY bucket"
+        ),
         "linear_useful": "SELECT range AS bucket, true AS stationary FROM range(1000)",
         "ridge_useful": "SELECT range AS bucket, true AS stationary FROM range(1000)",
         "useful_models": errors_hold.format(more=""),

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions.numeric import add
 from opinara.functions.text import hash_unit
-from opinara.operators import cluster, corpus, kmeans, ranking, regression, selection, text
+from opinara.operators import cluster, corpus, kmeans, lda, ranking, regression, selection, text
 from opinara.operators.priors import Decorrelation, Prior, SymmetricDirichlet
 from opinara.operators.robust import RobustPlsa
 from opinara.operators.topics import Plsa, TopicModel, initial_phi
@@ -772,8 +772,20 @@ def lda_reviews_rows(spark: SparkSession, folder: str) -> DataFrame:
 
 @query
 def lda_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    shares = [F.col(f"t{k}") for k in range(TOPICS)]
-    return lda_reviews_rows(spark, folder).select("doc_id", checks.mixture(shares).alias("is_mixture"))
+    """Are the mixtures shares that a step of the model leaves alone, does the likelihood follow from topics and texts?"""
+    vectors = business_features(spark, folder)
+    model = cluster.train_lda(vectors)
+    mixture = vector_to_array("topicDistribution").alias("mixture")
+    return checks.lda_holds(vectors, model, model.transform(vectors).select("doc_id", mixture))
+
+
+@query
+def lda_term_counts(spark: SparkSession, folder: str) -> DataFrame:
+    """How often a fitted LDA model expects each bucket of words in the reviews of a business, over all its topics."""
+    counts = text.hashed_tf(selection.reviews_of(plain_reviews(spark, folder), BUSINESS))
+    model = cluster.train_lda(lda.vectors_of_counts(counts, text.NUM_FEATURES), iterations=ROUNDS)
+    expected = lda.expected_counts(spark, model).select("idx", F.aggregate("counts", F.lit(0.0), lambda total, n: total + n).alias("n"))
+    return expected.where("n > 0").select(F.col("idx").cast("bigint").alias("bucket"), F.round("n", 4).alias("n"))
 
 
 def useful_vectors(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
@@ -815,11 +827,10 @@ def train_all(spark: SparkSession, folder: str) -> DataFrame:
     """Training cost, topic likelihood and test errors of the three models of a business."""
     trained = experiments.train_all(reviews(spark, folder), BUSINESS)
     distances = checks.center_distances(business_features(spark, folder), trained.kmeans)
-    likelihood = trained.lda.trainingLogLikelihood()
     return _metrics_hold(spark, folder, trained.useful).withColumns(
         {
             "cost_holds": F.lit(checks.cost_holds(distances, trained.kmeans)),
-            "loglik_holds": F.lit(math.isfinite(likelihood) and likelihood < 0),
+            "loglik_holds": F.lit(checks.likelihood_holds(business_features(spark, folder), trained.lda)),
         }
     )
 

@@ -6,9 +6,10 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
-from opinara.operators import cluster, regression, selection, text
+from opinara.operators import cluster, lda, regression, selection, text
 from opinara.plans import checks, experiments
 from opinara.sources import models, readers
 from opinara.sources.state import commit, committed, new_path, path_exists, shared_folder
@@ -246,3 +247,45 @@ def test_buckets_and_weights_have_to_fit(spark):
             regression.predict_by_weights(docs, weights, 4)
     with pytest.raises(Exception, match="no weight"):
         regression.GradientModel([0.5]).transform(regression.packed_tf(docs, 100)).collect()
+
+
+def test_digamma(spark):
+    known = {1.0: -0.5772156649015329, 0.5: -1.9635100260214235, 0.01: -100.56088545786868, 10.0: 2.251752589066721}
+    rows = spark.createDataFrame([(x,) for x in known], "x double").select("x", lda.digamma(F.col("x")).alias("y")).collect()
+    assert {r.x: r.y for r in rows} == {x: pytest.approx(y, abs=1e-8) for x, y in known.items()}
+
+
+def brute_fold_in(x, topics, alpha, rounds):
+    own = np.full(len(topics), x.sum() / len(topics))
+    for _ in range(rounds):
+        p = topics * (own + alpha - 1)[:, None]
+        own = (p / p.sum(axis=0) * x).sum(axis=1)
+    theta = (own + alpha - 1) / (own + alpha - 1).sum()
+    return theta, float((x * np.log(theta @ topics)).sum())
+
+
+def test_lda_of_texts(spark, reviews):
+    docs = reviews.where("business_id = 'b1'").select("doc_id", "text")
+    empty = spark.createDataFrame([(10**6, "")], "doc_id bigint, text string")
+    vectors = text.vectorize(docs.unionByName(empty), 50).select("doc_id", "features").cache()
+    model = cluster.train_lda(vectors, 3, 10)
+    rows = {r.doc_id: r.features.toArray() for r in vectors.collect()}
+    counts = np.array([r.counts for r in lda.expected_counts(spark, model).orderBy("idx").collect()])
+    assert counts.sum(axis=1) == pytest.approx(sum(rows.values()), abs=1e-6)
+    alpha, eta = float(model.estimatedDocConcentration()[0]), checks.LDA_TOPIC_CONCENTRATION
+    topics = ((counts + eta - 1) / (counts.sum(axis=0) + 50 * (eta - 1))).T
+    for r in lda.fold_in(vectors, model, alpha, eta, 7).collect():
+        mixture, loglik = brute_fold_in(rows[r.doc_id], topics, alpha, 7) if rows[r.doc_id].any() else (np.full(3, 1 / 3), 0.0)
+        assert r.mixture == pytest.approx(mixture, abs=1e-9) and r.loglik == pytest.approx(loglik, abs=1e-6)
+    own = model.transform(vectors).where("doc_id < 1000000").select("doc_id", vector_to_array("topicDistribution").alias("mixture"))
+    right = checks.lda_holds(vectors, model, own).collect()
+    assert len(right) == len(rows) - 1 and all(r.is_mixture and r.settled and r.loglik_holds for r in right)
+    turned = own.select("doc_id", F.array(*[F.col("mixture")[k] for k in (1, 2, 0)]).alias("mixture"))
+    wrong = checks.lda_holds(vectors, model, turned).collect()
+    assert all(r.is_mixture for r in wrong) and not any(r.settled for r in wrong)
+
+
+def test_vectors_of_counts(spark):
+    counts = spark.createDataFrame([(1, 0, 2), (1, 3, 1), (2, 1, 5)], "doc_id bigint, bucket bigint, tf bigint")
+    rows = {r.doc_id: r.features.toArray().tolist() for r in lda.vectors_of_counts(counts, 4).collect()}
+    assert rows == {1: [2, 0, 0, 1], 2: [0, 5, 0, 0]}
