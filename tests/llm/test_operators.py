@@ -156,6 +156,64 @@ def test_machine_learns_a_pair(spark):
     assert all((score(r) > 0) == (r.sum() != 1) for r in x)
 
 
+def labelled_texts(spark, kind, n, seed):
+    """Random words, and what makes a row toxic: one of two words, both of them, or any word of a large set."""
+    random = np.random.default_rng(seed)
+    rows = []
+    for i in range(n):
+        noise = [f"n{k}" for k in random.choice(2000, 20)]
+        if kind == "one of two":
+            first, second = random.random(2) < 0.5
+            toxic, more = first != second, ["alpha"] * int(first) + ["beta"] * int(second)
+        elif kind == "both":
+            draw = random.random()
+            toxic, more = draw < 0.1, ["alpha", "beta"] if draw < 0.1 else ["alpha"] if draw < 0.2 else ["beta"] if draw < 0.3 else []
+        else:
+            toxic = random.random() < 0.5
+            more = [("bad" if toxic else "good") + str(random.integers(200))]
+        rows.append((i, " ".join([*noise, *more]), int(toxic)))
+    table = spark.createDataFrame(rows, "doc_id bigint, text string, toxic int")
+    return table.drop("toxic"), table.drop("text"), rows
+
+
+@pytest.mark.parametrize("kind", ["one of two", "both", "any of many"])
+def test_fit_finds_what_tells(spark, kind):
+    """Words that tell nothing alone, and many words that each tell a little, are learned from texts."""
+    docs, labels, _ = labelled_texts(spark, kind, 5000, 1)
+    model = toxicity.fit(docs, labels)
+    _, _, fresh = labelled_texts(spark, kind, 600, 2)
+    right = [(model.score_text(text) >= 0.5) == (toxic == 1) for _, text, toxic in fresh]
+    assert sum(right) / len(right) > (0.9 if kind == "any of many" else 0.99)
+    if kind != "any of many":
+        assert len(model.terms) < 20
+
+
+def test_machine_by_all_pairs():
+    """Logits and gradients of the sparse rows against sums over every pair of terms."""
+    random = np.random.default_rng(3)
+    x = (random.random((30, 12)) < 0.3).astype(float)
+    x[4] = 0
+    rows = toxicity.Rows.of(x)
+    b, w, v = np.array([0.2]), random.normal(size=12), random.normal(size=(12, toxicity.FACTORS))
+
+    def brute(w, v):
+        return [0.2 + r @ w + sum(r[i] * r[j] * (v[i] @ v[j]) for i in range(12) for j in range(i + 1, 12)) for r in x]
+
+    logit, total = rows.logits(b, w, v)
+    assert np.allclose(logit, brute(w, v))
+    error, step = random.normal(size=30), 1e-6
+    by_w, by_v = rows.gradients(error, total, v)
+    for place, value, vector in zip(rows.used, by_w, by_v):
+        moved = w.copy()
+        moved[place] += step
+        assert abs(error @ (np.array(brute(moved, v)) - logit) / step - value) < 1e-4
+        moved = v.copy()
+        moved[place, 1] += step
+        assert abs(error @ (np.array(brute(w, moved)) - logit) / step - vector[1]) < 1e-4
+    some = rows.take(np.array([7, 4, 2])).columns(np.array([5, 0, 9]))
+    assert (some.dense() == x[[7, 4, 2]][:, [5, 0, 9]]).all()
+
+
 def test_toxicity_on_held_out_rows(spark):
     folder = "/root/testdata/sf0.1"
     out = queries.op3_toxicity(spark, folder).join(spark.read.parquet(f"{folder}/labels.parquet"), "doc_id")
