@@ -185,39 +185,45 @@ def _sigmoid(logit: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
 
 
+def _batches(rows: Rows, random: np.random.Generator, most_rows: int = 256, most_places: int = 1 << 18) -> list[np.ndarray]:
+    """All rows in random order, cut into batches; a row of more places is a batch of its own."""
+    batches, batch, places = [], [], 0
+    for row in random.permutation(len(rows.lengths)):
+        if batch and (len(batch) == most_rows or places + rows.lengths[row] > most_places):
+            batches.append(np.array(batch))
+            batch, places = [], 0
+        batch.append(row)
+        places += rows.lengths[row]
+    return batches + ([np.array(batch)] if batch else [])
+
+
 def train(x: np.ndarray | Rows, y: np.ndarray, weight: np.ndarray, rounds: int = 1000, rate: float = 0.05, seed: int = 7):
-    """Bias, weights and factors by full-batch Adam on the weighted logistic loss with a quadratic penalty."""
+    """Bias, weights and factors by Adam on the weighted logistic loss with a quadratic penalty.
+
+    Each round takes the next of the batches; its step falls to a twentieth in the course of the rounds.
+    """
     rows = x if isinstance(x, Rows) else Rows.of(x)
     random = np.random.default_rng(seed)
-    weight = weight / weight.sum()
+    weight = weight / weight.mean()
     params = [np.zeros(1), np.zeros(rows.width), random.normal(0, 0.05, (rows.width, FACTORS))]
     penalty = [0.0, 1e-5, 1e-4]
     first, second = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
+    batches = [(r, rows.take(r)) for r in _batches(rows, random, most_rows=512)]
     for step in range(1, rounds + 1):
-        logit, total = rows.logits(*params)
-        error = weight * (_sigmoid(logit) - y)
+        chosen, part = batches[step % len(batches)]
+        logit, total = part.logits(*params)
+        error = weight[chosen] * (_sigmoid(logit) - y[chosen]) / len(chosen)
         grads = [error.sum(keepdims=True), np.zeros(rows.width), np.zeros((rows.width, FACTORS))]
-        grads[1][rows.used], grads[2][rows.used] = rows.gradients(error, total, params[2])
+        grads[1][part.used], grads[2][part.used] = part.gradients(error, total, params[2])
+        now = rate * max(1 - step / rounds, 0.05)
         for i, grad in enumerate(grads):
             grad = grad + penalty[i] * params[i]
             first[i] = 0.9 * first[i] + 0.1 * grad
             second[i] = 0.999 * second[i] + 0.001 * grad**2
-            params[i] = params[i] - rate * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-9)
+            params[i] = params[i] - now * (first[i] / (1 - 0.9**step)) / (np.sqrt(second[i] / (1 - 0.999**step)) + 1e-9)
     return float(params[0][0]), params[1], params[2]
 
 
-def _batches(rows: Rows, random: np.random.Generator, most_rows: int = 256, most_places: int = 1 << 18) -> list[np.ndarray]:
-    """All rows in random order, cut into batches; a row of more places is a batch of its own."""
-    batches, batch, places = [], [], 0
-    for row in random.permutation(len(rows.lengths)):
-        if batch and (len(batch) == most_rows or places + rows.lengths[row] > most_places):
-            batches.append(np.array(batch))
-            batch, places = [], 0
-        batch.append(row)
-        places += rows.lengths[row]
-    return batches + ([np.array(batch)] if batch else [])
-
-
 def paired(rows: Rows, y: np.ndarray, weight: np.ndarray, epochs: int = 30, rate: float = 0.1, seed: int = 7) -> np.ndarray:
     """Places whose vector a machine keeps under a penalty on its length: those that matter beside others.
 
