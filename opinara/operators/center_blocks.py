@@ -128,6 +128,25 @@ class CenterBlocks:
         copies = self.stored.frame.select("pivot_id", "sub", "centers", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
         return salted.join(copies, _KEY).select("doc_id", "point", "centers")
 
+    def ranked(self, points: DataFrame, n: int, sign: int, cells: int) -> DataFrame:
+        """(doc_id, key, cluster_id): of each point the n nearest (1) or furthest (-1) centers of every block it needs; the key is distance times sign."""
+        kind = points.schema["doc_id"].dataType
+        seen = self.needed(points, n, sign).select(
+            "pivot_id",
+            "sub",
+            F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt"),
+            F.lit(1).alias("kind"),
+            F.lit(None).cast("bigint").alias("cluster_id"),
+            "doc_id",
+            F.col("point").cast("array<double>").alias("vector"),
+        )
+        copies = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+        own = self.stored.frame.select("pivot_id", "sub", copies, F.explode("centers").alias("c")).select(
+            *_KEY, F.lit(0).alias("kind"), F.col("c.cluster_id").alias("cluster_id"), F.lit(None).cast(kind).alias("doc_id"), F.col("c.center").alias("vector")
+        )
+        rows = own.unionByName(seen).repartition(*_KEY).sortWithinPartitions(*_KEY, "kind")
+        return rows.mapInArrow(_rank_centers(n, sign, cells), f"doc_id {kind.simpleString()}, key double, cluster_id bigint")
+
     def closest(self, points: DataFrame, n: int, cells: int) -> DataFrame:
         """(cluster_id, doc_id, distance): of each center the n closest points of every block and salt."""
         directory = self.directory()
@@ -187,6 +206,62 @@ def _fold_cells(n: int, cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iter
     return run
 
 
+def _rank_centers(n: int, sign: int, cells: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Per block and salt: its centers, which come first and are bounded, are ranked for the points as they pass."""
+
+    def ranked(points: np.ndarray, ids: np.ndarray, centers: np.ndarray, norms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, key, cluster_id) of the n first centers of each point.
+
+        A matrix product rules out centers that cannot be among them however it rounds; the distances of the
+        others are summed one dimension after the other, as ``squared_distance`` does.
+        """
+        with np.errstate(all="ignore"):
+            own = (points * points).sum(axis=1)
+            rough = sign * (own[:, None] - 2.0 * (points @ centers.T) + norms)
+            slip = _SLIP * (own + norms.max()) * 4.0 + np.finfo(float).tiny
+        if n >= len(ids) or not (np.isfinite(rough).all() and np.isfinite(slip).all()):
+            row, at = np.divmod(np.arange(len(points) * len(ids)), len(ids))
+        else:
+            edge = np.partition(rough, n - 1, axis=1)[:, n - 1] + slip
+            row, at = np.nonzero(rough <= edge[:, None])
+        distance = np.zeros(len(row))
+        with np.errstate(over="ignore"):
+            for i in range(points.shape[1]):
+                difference = points[row, i] - centers[at, i]
+                distance += difference * difference
+        key = distance * sign
+        order = np.lexsort((ids[at], key, row))
+        row = row[order]
+        kept = np.arange(len(row)) - np.searchsorted(row, row) < n
+        return row[kept], key[order][kept], ids[at][order][kept]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, held, block = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(i).to_numpy().astype(np.int64) for i in range(4)], axis=1)
+            ids = batch.column(4).fill_null(0).to_numpy()
+            values = batch.column(6).flatten().to_numpy().reshape(len(ids), -1)
+            cuts = np.flatnonzero((np.diff(keys, axis=0) != 0).any(axis=1)) + 1
+            for begin, end in zip([0, *cuts], [*cuts, len(ids)]):
+                key = tuple(keys[begin, :3])
+                if key != current:
+                    current, held, block = key, [], None
+                if keys[begin, 3] == 0:
+                    held.append((ids[begin:end], values[begin:end]))
+                    continue
+                if block is None:
+                    centers = np.concatenate([h[1] for h in held])
+                    with np.errstate(over="ignore"):
+                        block, held = (np.concatenate([h[0] for h in held]), centers, (centers * centers).sum(axis=1)), []
+                step = max(1, cells // len(block[0]))
+                for start in range(begin, end, step):
+                    row, distance, cluster = ranked(values[start : min(end, start + step)], *block)
+                    docs = batch.column(5).take(pa.array(start + row))
+                    yield pa.RecordBatch.from_arrays([docs, pa.array(distance), pa.array(cluster)], ["doc_id", "key", "cluster_id"])
+
+    return run
+
+
 def build(centers: DataFrame, count: int, width: int, block_bytes: int, per_block: int | None = None) -> CenterBlocks:
     """Blocks of (cluster_id, center) rows, all of the same width; ``count`` is their number."""
     row = 8 * width + _OVERHEAD

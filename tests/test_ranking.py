@@ -77,6 +77,21 @@ def test_many_blocks_give_the_same(spark, monkeypatch):
     assert rows(ranking.nearest_center(points, centers, small).select("doc_id", "cluster_id")) == brute
 
 
+def test_blocks_rank_centers_in_batches(spark, monkeypatch):
+    """Ties, equal points, very large and very small numbers; no pair of point and block carries the block's centers."""
+    monkeypatch.setattr(center_blocks, "PER_BLOCK", 5)
+    draw = random.Random(11)
+    for scale in (1.0, 1e153, 1e-160):
+        vectors = [[scale * draw.randrange(4) for _ in range(3)] for _ in range(70)]
+        centers = spark.createDataFrame(list(enumerate(vectors[:30])), "cluster_id bigint, center array<double>")
+        points = spark.createDataFrame([(f"p{i}", v) for i, v in enumerate(vectors[30:])], "doc_id string, point array<double>")
+        for n in (1, 3):
+            assert rows(ranking.furthest_nth_cluster(points, centers, n, 88 * 6)) == rows(ranking.furthest_nth_cluster(points, centers, n))
+        assert rows(ranking.nearest_center(points, centers, 88 * 6)) == rows(ranking.nearest_center(points, centers))
+    plan = ranking.nearest_center(points, centers, 88 * 6)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Join" not in plan
+
+
 def test_closest_points_by_fold_and_by_window(spark, monkeypatch):
     monkeypatch.setattr(center_blocks, "PER_BLOCK", 3)
     draw = random.Random(5)
