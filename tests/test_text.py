@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from opinara.functions.text import hash_bucket, hash_unit, tokens
-from opinara.operators import corpus, rowids, text
+from opinara.operators import corpus, partitions, rowids, text
 
 TEXTS = [
     (1, "The cat sat\ton the  mat"),
@@ -132,3 +132,34 @@ def test_first_rows_of_any_number(spark, n):
     expected = sorted(((-(i % 5) if i % 5 else 1, i) for i in range(1000)))[:n]
     for top_rows in (10, 10**6):
         assert sorted(r.key for r in rowids.first_rows(frame, order, n, top_rows).collect()) == sorted(i for _, i in expected)
+
+
+def test_words_of_one_id_are_counted_together_across_batches(spark):
+    """Ids come twice, are NULL or have no words, and every row is a batch of its own."""
+    rows = [(1, "b a a"), (2, "x İ x"), (1, "a c"), (None, "a"), (None, "z a"), (3, " "), (4, None), (1, None), (5, "q")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    wanted = Counter()
+    for row in docs.select("doc_id", F.explode(tokens("text")).alias("token"), hash_bucket(F.col("token"), 1000).alias("bucket")).collect():
+        wanted[row.doc_id, row.token, row.bucket] += 1
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1")
+    try:
+        for parts in (1, 3):
+            got = text.document_counts(docs, parts).collect()
+            assert sorted((str(r.doc_id), r.token, r.n) for r in got) == sorted((str(d), t, n) for (d, t, _), n in wanted.items())
+            packed = text.packed_tf(docs, partitions=parts).collect()
+            assert [sorted(r.terms) for r in packed] == [r.terms for r in packed]
+            assert sorted((str(r.doc_id), t.bucket, t.tf) for r in packed for t in r.terms) == sorted((str(d), b, n) for (d, _, b), n in wanted.items())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
+def test_counting_keeps_no_table_of_all_words(docs):
+    """One shuffle of the texts, then rows pass: an aggregation would hold all words of a task, or spill them."""
+    for frame in (text.document_counts(docs, 3), text.hashed_tf(docs)):
+        plan = frame._jdf.queryExecution().executedPlan().toString()
+        assert "Aggregate" not in plan and plan.count("Exchange hashpartitioning") == 1
+
+
+def test_buckets_follow_what_is_unpacked(spark, monkeypatch):
+    monkeypatch.setattr(partitions, "scanned_bytes", lambda frame: 6 << 30)
+    assert (6 << 30) / partitions.choose_buckets(spark.range(1)) <= 32 << 20
