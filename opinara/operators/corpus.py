@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opinara.operators.partitions import choose_buckets
 from opinara.operators.rowids import Numbered, number_rows
 from opinara.operators.text import RARE_TOKEN_THRESHOLD, document_counts
-from opinara.sources.state import Stored, store_bucketed
+from opinara.sources.state import Stored, store, store_bucketed
 
 # A side is broadcast only below this estimate of its size on an executor.
 BROADCAST_BYTES = 256 << 20
@@ -90,6 +90,7 @@ class Corpus:
 
     ``documents`` and ``bow`` are bucketed by ``doc_id`` into ``buckets``
     parts.  Documents left without words stay in ``documents`` with length 0.
+    ``words`` are the ids that occur, where the vocabulary is that of other documents.
     """
 
     documents: DataFrame
@@ -99,6 +100,7 @@ class Corpus:
     length: int
     broadcast_bytes: int = BROADCAST_BYTES
     owned: list[Stored] = field(default_factory=list)
+    words: DataFrame | None = None
 
     def drop(self) -> None:
         """Delete the bag of words and document tables (not the vocabulary)."""
@@ -161,7 +163,11 @@ def build_corpus(
     buckets = buckets or choose_buckets(docs.select("doc_id", "text"))
     counts = document_counts(docs, buckets)
     if vocabulary is not None:
-        return _assemble(counts, docs, vocabulary, buckets, broadcast_bytes, partitioned=True)
+        corpus = _assemble(counts, docs, vocabulary, buckets, broadcast_bytes, partitioned=True)
+        words = store(corpus.bow.select("word_id").distinct(), "words")
+        corpus.words = words.frame
+        corpus.owned.append(words)
+        return corpus
     written = store_bucketed(counts, "counts", "doc_id", buckets)
     vocabulary = build_vocabulary(_above(written.frame, threshold))
     corpus = _assemble(written.frame, docs, vocabulary, buckets, broadcast_bytes, partitioned=True)

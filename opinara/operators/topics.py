@@ -195,7 +195,10 @@ class _Run:
     def rows(self) -> DataFrame:
         """The bag of words with theta, phi and ``z``, the probability of the word in the document."""
         with_theta = self.bag.join(self.theta.hint("shuffle_hash"), "doc_id")
-        joined = join_words(with_theta, self.phi, self.head, self.corpus.vocabulary.size)
+        # Of few new documents the words are few, however many the model has.
+        words = self.corpus.words
+        phi = self.phi if words is None else self.phi.join(words, "word_id", "left_semi")
+        joined = join_words(with_theta, phi, self.head, self.corpus.vocabulary.size)
         return joined.withColumn("z", self.mixture())
 
     @staticmethod

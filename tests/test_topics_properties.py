@@ -228,3 +228,11 @@ def test_one_topic_has_nothing_to_overlap_with(docs):
 def test_matrix_sums_of_an_empty_corpus(docs):
     empty = build_corpus(docs, threshold=1000)
     assert Plsa(2, 2, phi_prior=Decorrelation(5.0)).fit(empty).phi.count() == 0
+
+
+def test_fold_in_hands_out_the_words_of_the_new_texts_only(spark, model):
+    new = spark.createDataFrame([(1, "w0 w1 w1 unseen"), (2, "w2")], "doc_id bigint, text string")
+    built = build_corpus(new, vocabulary=model.vocabulary)
+    assert built.words.count() == 3 < model.vocabulary.size
+    rows = model.trainer._start(built, model.word_phi).rows()
+    assert "LeftSemi" in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() == 3
