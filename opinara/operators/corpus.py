@@ -66,8 +66,8 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     )
 
 
-def lookup_words(counts: DataFrame, vocabulary: Vocabulary, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Add ``word_id`` to rows with a ``token``; rows outside the vocabulary go."""
+def lookup_words(counts: DataFrame, vocabulary: Vocabulary, limit: int = BROADCAST_BYTES, buckets: int | None = None) -> DataFrame:
+    """Add ``word_id`` to rows with a ``token``; rows outside the vocabulary go.  ``buckets`` as in ``join_words``."""
     head = vocabulary.head(limit=limit)
     words = vocabulary.frame.select("token", "word_id")
     if head >= vocabulary.size:
@@ -75,7 +75,8 @@ def lookup_words(counts: DataFrame, vocabulary: Vocabulary, limit: int = BROADCA
     marked = counts.join(F.broadcast(words.where(F.col("word_id") < head)), "token", "left")
     frequent = marked.where(F.col("word_id").isNotNull())
     rare = marked.where(F.col("word_id").isNull()).drop("word_id")
-    return frequent.unionByName(rare.join(words.where(F.col("word_id") >= head), "token"))
+    found = rare.join(words.where(F.col("word_id") >= head), "token")
+    return frequent.unionByName(found.repartition(buckets, "doc_id") if buckets else found)
 
 
 def bag_of_words(docs: DataFrame, vocabulary: Vocabulary, limit: int = BROADCAST_BYTES) -> DataFrame:
@@ -109,22 +110,25 @@ class Corpus:
         self.owned = []
 
 
-def join_words(rows: DataFrame, by_word: DataFrame, head: int, size: int) -> DataFrame:
-    """Join rows with a table keyed by ``word_id``: frequent words by broadcast, rare words by shuffle."""
+def join_words(rows: DataFrame, by_word: DataFrame, head: int, size: int, buckets: int | None = None) -> DataFrame:
+    """Join rows with a table keyed by ``word_id``: frequent words by broadcast, rare words by shuffle.
+
+    With ``buckets`` the rare ones go back to their documents, so that none of the rows has left its bucket.
+    """
     if head >= size:
         return rows.join(F.broadcast(by_word), "word_id")
     frequent = rows.where(F.col("word_id") < head).join(
         F.broadcast(by_word.where(F.col("word_id") < head)), "word_id"
     )
     rare = rows.where(F.col("word_id") >= head).join(by_word.where(F.col("word_id") >= head), "word_id")
-    return frequent.unionByName(rare)
+    return frequent.unionByName(rare.repartition(buckets, "doc_id") if buckets else rare)
 
 
 def _assemble(
     counts: DataFrame, ids: DataFrame, vocabulary: Vocabulary, buckets: int, limit: int, partitioned: bool
 ) -> Corpus:
-    bow = lookup_words(counts, vocabulary, limit).select("doc_id", "word_id", "n")
-    if not partitioned or vocabulary.head(limit=limit) < vocabulary.size:
+    bow = lookup_words(counts, vocabulary, limit, buckets if partitioned else None).select("doc_id", "word_id", "n")
+    if not partitioned:
         bow = bow.repartition(buckets, "doc_id")
     bow_table = store_bucketed(bow, "bow", "doc_id", buckets)
     lengths = bow_table.frame.groupBy("doc_id").agg(F.sum("n").alias("length"))

@@ -1,14 +1,14 @@
 """Robust PLSA: besides the topics, a background over all words and noise per document explain words.
 
-The noise of a word in a document changes every round, so each round writes
-the bag anew with the word's unnormalised noise ``x``, in the same buckets.
-The noise is ``x * s``, with ``s`` kept in the document's row.
+The noise of a word in a document changes every round.  It follows row by row
+from the tables of the round before, so for a few rounds it is worked out where
+the bag is read; then the bag is written anew with the word's unnormalised noise
+``x``, in the same buckets.  The noise is ``x * s``, with ``s`` kept in the
+document's row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,12 +16,15 @@ from opinara.functions.numeric import ratio_or
 from opinara.operators.corpus import Corpus, join_words
 from opinara.operators.priors import Prior
 from opinara.operators.topics import FoldIn, Plsa, TopicModel, _row_bytes, _Run
-from opinara.sources.state import Stored, store, store_bucketed
+from opinara.sources.state import Stored, store_bucketed
 
 # Weights of background and noise.
 GAMMA = 0.3
 EPS = 0.01
 
+# Rounds whose noise is worked out anew by each pass over the bag before another round writes it.
+_UNWRITTEN_ROUNDS = 2
+
 
 class RobustPlsa(Plsa):
     """PLSA with a background of weight ``gamma`` and noise of weight ``eps``."""
@@ -55,6 +58,7 @@ class RobustPlsa(Plsa):
         run = self._start(corpus, phi)
         run.fixed_background = background == "fixed"
         run.go(frozen=True)
+        run.write_noise()
         return FoldIn(
             run.theta.select("doc_id", *run.ts()), run.perplexities, run.noise(), run.background(), run.kept()
         )
@@ -95,9 +99,12 @@ class _RobustRun(_Run):
         )
         self.weights_table: Stored | None = None
         self.bag = corpus.bow.withColumn("x", F.lit(1.0))
+        self.unwritten = 0
+        # Tables of earlier rounds that noise which is not written reads.
+        self.read: list[Stored] = []
 
     def kept(self) -> list[Stored]:
-        return super().kept() + ([self.weights_table] if self.weights_table else [])
+        return super().kept() + self.read + ([self.weights_table] if self.weights_table else [])
 
     def mixture(self) -> Column:
         gamma, eps = self.trainer.gamma, self.trainer.eps
@@ -107,9 +114,12 @@ class _RobustRun(_Run):
     def noise_count(self) -> Column:
         return F.lit(self.trainer.eps) * F.col("x") * F.col("s") * F.col("share")
 
-    def expected(self) -> dict[str, Column]:
+    def document_sums(self) -> dict[str, Column]:
+        return {**super().document_sums(), "noise_count": self.noise_count()}
+
+    def word_sums(self, frozen: bool) -> dict[str, Column]:
         background = F.lit(self.trainer.gamma) * F.col("bg") * F.col("share")
-        return {**super().expected(), "noise_count": self.noise_count(), "background_count": background}
+        return {**({} if frozen else super().word_sums(frozen)), "background_count": background}
 
     def needs_words(self, frozen: bool) -> bool:
         return not (frozen and self.fixed_background)
@@ -117,11 +127,10 @@ class _RobustRun(_Run):
     def theta_extra(self) -> list[Column]:
         return [ratio_or(F.lit(1.0), F.coalesce("noise_count", F.lit(0.0)), F.lit(0.0)).alias("s")]
 
-    def store_phi(self, sums: DataFrame, frozen: bool) -> Stored:
-        joined = self.phi.join(sums, "word_id", "left")
-        counts = [] if frozen else self.counts(joined)
+    def counted(self, words: DataFrame, frozen: bool) -> DataFrame:
+        counts = [] if frozen else self.counts(words)
         background = F.coalesce("background_count", F.lit(0.0)).alias("background_count")
-        return store(joined.select("word_id", *self.ps(), *counts, background), "phi")
+        return words.select("word_id", *self.ps(), *counts, background)
 
     def new_phi(self, table: DataFrame, frozen: bool) -> DataFrame:
         """With the background normalised; all zero where it has no weight."""
@@ -132,23 +141,39 @@ class _RobustRun(_Run):
             return table.select("word_id", *self.ps(), background)
         return self.normalised(table, background)
 
-    def more_jobs(self) -> list[Callable]:
-        return [self.store_weights]
+    def begin_round(self) -> None:
+        # Rows that met their rare words by shuffle are beside their documents again only once they are written.
+        if self.unwritten >= (_UNWRITTEN_ROUNDS if self.head >= self.corpus.vocabulary.size else 1):
+            self.write_noise()
 
-    def advance_more(self, results: list) -> None:
-        if self.weights_table:
-            self.weights_table.drop()
-        self.weights_table = results[0]
-        self.bag = self.weights_table.frame
+    def begin_last_pass(self) -> None:
+        if self.head < self.corpus.vocabulary.size:
+            self.write_noise()
 
-    def store_weights(self) -> Stored:
+    def advance(self, theta: Stored, sums: Stored | None, phi: DataFrame | None) -> None:
+        if not self.unwritten and not self.weights_table:
+            self.read = [table.keep() for table in self.corpus.owned]
+        self.bag = self.next_bag()
+        self.unwritten += 1
+        super().advance(theta, sums, phi)
+
+    def leave(self, tables: list[Stored]) -> None:
+        self.read += tables
+
+    def next_bag(self) -> DataFrame:
         """The bag with the next round's unnormalised noise, from the tables of this round."""
-        rows = self.rows().withColumn("share", self.share())
+        rows = self.rows(self.corpus.buckets).withColumn("share", self.share())
         noise = F.coalesce(self.noise_count(), F.lit(0.0)).alias("x")
-        weights = rows.select("doc_id", "word_id", "n", noise)
-        if self.head < self.corpus.vocabulary.size:
-            weights = weights.repartition(self.corpus.buckets, "doc_id")
-        return store_bucketed(weights, "weights", "doc_id", self.corpus.buckets)
+        return rows.select("doc_id", "word_id", "n", noise)
+
+    def write_noise(self) -> None:
+        """Write the bag with its noise, and let go of what it was worked out from."""
+        if not self.unwritten:
+            return
+        written = store_bucketed(self.bag, "weights", "doc_id", self.corpus.buckets)
+        for table in self.read + ([self.weights_table] if self.weights_table else []):
+            table.drop()
+        self.weights_table, self.bag, self.read, self.unwritten = written, written.frame, [], 0
 
     # -- results ---------------------------------------------------------------
 

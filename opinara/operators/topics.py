@@ -1,11 +1,12 @@
 """PLSA and robust PLSA by expectation maximisation over DataFrames.
 
-One round passes over the bag of words once.  Each row meets the mixture of
-its document and the probabilities of its word, and one aggregation over two
-grouping sets gives the expected counts by document and by word.  The bag and
+In one job a round passes over the bag of words twice, for the expected counts
+by document and by word.  Each row meets the mixture of its document and the
+probabilities of its word, which both passes get from one broadcast.  The bag and
 the document table share their bucketing and the word table is joined by
-``join_words``, so the bag itself does not move: only partial sums and the
-rare words beyond the broadcast limit are shuffled.  The tables hold one
+``join_words``, so the bag itself does not move: only partial sums by word and the
+rare words beyond the broadcast limit are shuffled.  The sums by word are written
+beside the old probabilities and read as the new ones.  The tables hold one
 column per topic (``t0..`` by document, ``p0..`` by word), which keeps the
 sums in generated code.
 """
@@ -14,7 +15,6 @@ from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -98,6 +98,7 @@ class TopicModel(FoldIn):
         """Delete the model's tables."""
         for table in self.owned:
             table.drop()
+        self.owned = []
 
 
 class Plsa:
@@ -192,13 +193,13 @@ class _Run:
 
     # -- one round -----------------------------------------------------------
 
-    def rows(self) -> DataFrame:
-        """The bag of words with theta, phi and ``z``, the probability of the word in the document."""
+    def rows(self, buckets: int | None = None) -> DataFrame:
+        """The bag of words with theta, phi and ``z``, the probability of the word in the document; see ``join_words``."""
         with_theta = self.bag.join(self.theta.hint("shuffle_hash"), "doc_id")
         # Of few new documents the words are few, however many the model has.
         words = self.corpus.words
         phi = self.phi if words is None else self.phi.join(words, "word_id", "left_semi")
-        joined = join_words(with_theta, phi, self.head, self.corpus.vocabulary.size)
+        joined = join_words(with_theta, phi, self.head, self.corpus.vocabulary.size, buckets)
         return joined.withColumn("z", self.mixture())
 
     @staticmethod
@@ -211,65 +212,69 @@ class _Run:
         return F.when(F.col("z") > 0, F.col("n") * F.ln("z")).otherwise(F.lit(MINUS_INFINITY))
 
     def expected(self) -> dict[str, Column]:
-        """What a row adds to the sums: expected counts of its word per topic, and more in other models."""
+        """The expected counts of a row's word per topic."""
         return {f"r{k}": F.col("share") * p * t for k, (p, t) in enumerate(zip(self.ps(), self.ts()))}
 
-    def weighed(self) -> DataFrame:
-        rows = self.rows().withColumn("share", self.share())
-        sums = {**self.expected(), "ll": self.log_likelihood()}
-        return rows.select("doc_id", "word_id", *[column.alias(name) for name, column in sums.items()])
+    def document_sums(self) -> dict[str, Column]:
+        """What a row adds to the sums of its document."""
+        return {**self.expected(), "ll": self.log_likelihood()}
+
+    def word_sums(self, frozen: bool) -> dict[str, Column]:
+        """What a row adds to the sums of its word."""
+        return self.expected()
 
     def go(self, frozen: bool) -> None:
         for _ in range(self.trainer.iterations):
+            self.begin_round()
             prior = self.log_priors()
-            sums = self.store_sums() if self.needs_words(frozen) else None
+            sums = self.store_sums(frozen) if self.needs_words(frozen) else None
             jobs = [lambda: self.round_theta(sums)]
             if sums:
                 jobs.append(lambda: self.round_phi(sums, frozen))
-            done = together(self.theta.sparkSession, *jobs, *self.more_jobs())
-            if sums:
-                sums.drop()
+            done = together(self.theta.sparkSession, *jobs)
             theta, likelihood = done[0]
             if self.trainer.perplexity:
                 self.note_perplexity(likelihood, prior)
-            self.advance(theta, *(done[1] if sums else (None, None)))
-            self.advance_more(done[len(jobs) :])
+            self.advance(theta, sums, done[1] if sums else None)
         if self.trainer.perplexity:
+            self.begin_last_pass()
             likelihood = self.rows().agg(F.sum(self.log_likelihood())).first()[0]
             self.note_perplexity(likelihood, self.log_priors())
 
     def round_theta(self, sums: Stored | None) -> tuple[Stored, float | None]:
-        by_document = sums.frame.where("kind = 'document'").drop("kind", "word_id") if sums else None
+        by_document = sums.frame.where("kind = 'document'").select("doc_id", *self.document_sums()) if sums else None
         theta = self.store_theta(self.sums_by_document() if by_document is None else by_document)
         return theta, theta.frame.agg(F.sum("ll")).first()[0] if self.trainer.perplexity else None
 
-    def round_phi(self, sums: Stored, frozen: bool) -> tuple[Stored, DataFrame]:
-        phi = self.store_phi(sums.frame.where("kind = 'word'").drop("kind", "doc_id"), frozen)
-        return phi, self.new_phi(phi.frame, frozen)
+    def round_phi(self, sums: Stored, frozen: bool) -> DataFrame:
+        return self.new_phi(self.counted(sums.frame.where("kind = 'word'"), frozen), frozen)
 
-    def more_jobs(self) -> list[Callable]:
-        """What else a round computes from the tables it starts with."""
-        return []
+    def begin_round(self) -> None:
+        """What a round needs before it passes over the bag."""
 
-    def advance_more(self, results: list) -> None:
-        pass
+    def begin_last_pass(self) -> None:
+        """The same before the pass over the bag that follows the last round."""
 
     def needs_words(self, frozen: bool) -> bool:
         return not frozen
 
-    def store_sums(self) -> Stored:
-        """The sums by document and by word from the same pass."""
-        rows = self.weighed()
-        names = [c for c in rows.columns if c not in ("doc_id", "word_id")]
-        kind = F.when(F.grouping("doc_id") == 0, "document").otherwise("word").alias("kind")
-        grouped = rows.groupingSets([["doc_id"], ["word_id"]], "doc_id", "word_id")
-        return store(grouped.agg(kind, *[F.sum(c).alias(c) for c in names]), "sums", "kind")
+    def store_sums(self, frozen: bool) -> Stored:
+        """The sums by document, and those by word beside the old phi, in one job that broadcasts phi once.
+
+        Every word of the vocabulary stays.
+        """
+        sums = self.summed("word_id", self.word_sums(frozen))
+        by_word = self.phi.select("word_id", *self.ps()).join(sums, "word_id", "left").withColumn("kind", F.lit("word"))
+        by_document = self.sums_by_document().withColumn("kind", F.lit("document"))
+        return store(by_document.unionByName(by_word, allowMissingColumns=True), "sums", "kind")
 
     def sums_by_document(self) -> DataFrame:
-        """The sums by document only; follows the bucketing, without a shuffle."""
-        rows = self.weighed()
-        names = [c for c in rows.columns if c not in ("doc_id", "word_id")]
-        return rows.groupBy("doc_id").agg(*[F.sum(c).alias(c) for c in names])
+        """Follows the bucketing, without a shuffle."""
+        return self.summed("doc_id", self.document_sums())
+
+    def summed(self, key: str, sums: dict[str, Column]) -> DataFrame:
+        rows = self.rows().withColumn("share", self.share()).select(key, *[column.alias(name) for name, column in sums.items()])
+        return rows.groupBy(key).agg(*[F.sum(name).alias(name) for name in sums])
 
     def store_theta(self, sums: DataFrame) -> Stored:
         """Regularise and normalise; documents without words or counts keep their mixture."""
@@ -287,10 +292,9 @@ class _Run:
     def theta_extra(self) -> list[Column]:
         return []
 
-    def store_phi(self, sums: DataFrame, frozen: bool) -> Stored:
-        """Regularised counts ``c`` beside the old ``p``; every word of the vocabulary stays."""
-        joined = self.phi.join(sums, "word_id", "left")
-        return store(joined.select("word_id", *self.ps(), *self.counts(joined)), "phi")
+    def counted(self, words: DataFrame, frozen: bool) -> DataFrame:
+        """Regularised counts ``c`` beside the old ``p``."""
+        return words.select("word_id", *self.ps(), *self.counts(words))
 
     def counts(self, joined: DataFrame) -> list[Column]:
         """Regularised counts by word; words without any count take part with zero."""
@@ -321,16 +325,19 @@ class _Run:
     def new_phi(self, table: DataFrame, frozen: bool) -> DataFrame:
         return self.normalised(table)
 
-    def advance(self, theta: Stored, phi: Stored | None, new_phi: DataFrame | None) -> None:
-        """Move on to the new tables and delete the old ones, which nothing reads any more."""
-        old = [self.theta_table, self.phi_table if phi else None]
+    def advance(self, theta: Stored, sums: Stored | None, phi: DataFrame | None) -> None:
+        """Move on to the new tables; ``phi`` reads the sums by word."""
+        old = [self.theta_table, self.phi_table if sums else None]
         self.theta_table = theta
         self.theta = theta.frame.drop("ll")
-        if phi:
-            self.phi_table, self.phi = phi, new_phi
-        for table in old:
-            if table:
-                table.drop()
+        if sums:
+            self.phi_table, self.phi = sums, phi
+        self.leave([table for table in old if table])
+
+    def leave(self, tables: list[Stored]) -> None:
+        """Delete the old tables, which nothing reads any more."""
+        for table in tables:
+            table.drop()
 
     # -- perplexity ------------------------------------------------------------
 

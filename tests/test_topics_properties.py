@@ -1,15 +1,17 @@
 import math
+import os
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from opinara.operators import robust
 from opinara.operators.corpus import build_corpus, build_vocabulary, corpus_from_counts
 from opinara.operators.priors import Decorrelation, Prior, SymmetricDirichlet, UniformPrior
 from opinara.operators.robust import RobustPlsa
 from opinara.operators.text import frequent_tokens
-from opinara.operators.topics import Plsa
+from opinara.operators.topics import Plsa, initial_phi
 
 K = 3
 
@@ -236,3 +238,37 @@ def test_fold_in_hands_out_the_words_of_the_new_texts_only(spark, model):
     assert built.words.count() == 3 < model.vocabulary.size
     rows = model.trainer._start(built, model.word_phi).rows()
     assert "LeftSemi" in rows._jdf.queryExecution().optimizedPlan().toString() and rows.count() == 3
+
+
+def test_the_bag_is_not_written_anew_each_round(docs, monkeypatch):
+    built = build_corpus(docs, threshold=0)
+    names = []
+    written = robust.store_bucketed
+
+    def watched(frame, name, *others):
+        names.append(name)
+        return written(frame, name, *others)
+
+    monkeypatch.setattr(robust, "store_bucketed", watched)
+    found = RobustPlsa(K, 2, perplexity=False).fit(built)
+    assert names == []
+    monkeypatch.setattr(robust, "_UNWRITTEN_ROUNDS", 1)
+    other = RobustPlsa(K, 2, perplexity=False).fit(built)
+    assert names == ["weights"]
+    built.drop()
+    # The noise is still there without the corpus, and the same.
+    noise = {(r.doc_id, r.token): [r.noise] for r in found.noise.collect()}
+    close({(r.doc_id, r.token): [r.noise] for r in other.noise.collect()}, noise)
+    close(thetas(other), thetas(found))
+    paths = [table.path for table in found.owned + other.owned]
+    found.drop()
+    other.drop()
+    found.drop()
+    assert not any(os.path.exists(path.removeprefix("file:")) for path in paths)
+
+
+def test_sums_of_a_round_broadcast_phi_once_and_shuffle_by_word_only(corpus):
+    run = RobustPlsa(K, 2)._start(corpus, initial_phi(corpus.vocabulary, K))
+    by_document = run.sums_by_document()
+    assert "Exchange hashpartitioning" not in by_document._jdf.queryExecution().executedPlan().toString()
+    assert set(run.word_sums(False)) == {"background_count", *(f"r{k}" for k in range(K))}
