@@ -163,3 +163,15 @@ def test_counting_keeps_no_table_of_all_words(docs):
 def test_buckets_follow_what_is_unpacked(spark, monkeypatch):
     monkeypatch.setattr(partitions, "scanned_bytes", lambda frame: 6 << 30)
     assert (6 << 30) / partitions.choose_buckets(spark.range(1)) <= 32 << 20
+
+
+def test_terms_meet_their_rows_in_parts_that_follow_the_texts(spark):
+    docs = spark.createDataFrame([(1, "a b a"), (2, None), (3, "b"), (None, "c")], "doc_id bigint, text string")
+    rows = docs.select("doc_id", F.lit("x").alias("owner")).unionByName(docs.select("doc_id", F.lit("y").alias("owner")))
+    parts = 7  # the session shuffles into 2
+    joined = text.add_terms(rows, docs, partitions=parts)
+    found = {(r.doc_id, r.owner): None if r.terms is None else sum(t.tf for t in r.terms) for r in joined.collect()}
+    assert found == {(i, o): n for o in "xy" for i, n in ((1, 3), (2, None), (3, 1), (None, None))}
+    assert joined.count() == rows.count()
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression [doc_id") == plan.count(f"], {parts}") == 3
