@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from opinara.operators.partitions import choose_buckets
 from opinara.operators.rowids import Numbered, number_rows
 from opinara.operators.text import RARE_TOKEN_THRESHOLD, document_counts
-from opinara.sources.state import Stored, store, store_bucketed
+from opinara.sources.state import Stored, bucket_by_bucket, store, store_bucketed
 
 # A side is broadcast only below this estimate of its size on an executor.
 BROADCAST_BYTES = 256 << 20
@@ -130,7 +130,8 @@ def _assemble(
     bow = lookup_words(counts, vocabulary, limit, buckets if partitioned else None).select("doc_id", "word_id", "n")
     if not partitioned:
         bow = bow.repartition(buckets, "doc_id")
-    bow_table = store_bucketed(bow, "bow", "doc_id", buckets)
+    with bucket_by_bucket(bow.sparkSession):
+        bow_table = store_bucketed(bow, "bow", "doc_id", buckets)
     lengths = bow_table.frame.groupBy("doc_id").agg(F.sum("n").alias("length"))
     documents = (
         ids.select("doc_id")

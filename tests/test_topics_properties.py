@@ -272,3 +272,12 @@ def test_sums_of_a_round_broadcast_phi_once_and_shuffle_by_word_only(corpus):
     by_document = run.sums_by_document()
     assert "Exchange hashpartitioning" not in by_document._jdf.queryExecution().executedPlan().toString()
     assert set(run.word_sums(False)) == {"background_count", *(f"r{k}" for k in range(K))}
+
+
+def test_the_bag_is_written_bucket_by_bucket(docs):
+    built = build_corpus(docs, threshold=0, buckets=11)
+    names = [name for name in os.listdir(built.owned[0].path.removeprefix("file:")) if name.startswith("part-")]
+    # The task's number comes first, the bucket's last.
+    assert len(names) > 5 and all(int(n.split("-")[1]) == int(n.rsplit("_", 1)[1].split(".")[0]) for n in names)
+    assert built.bow.agg(F.sum("n")).first()[0] == built.length
+    built.drop()
