@@ -1,7 +1,9 @@
 import hashlib
 import itertools
+import tracemalloc
 from collections import Counter
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -153,6 +155,35 @@ def test_words_of_one_id_are_counted_together_across_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
 
 
+def test_a_batch_is_counted_in_pieces():
+    """Words by word and by bucket, the same in pieces of any size, and what they take does not grow with the batch."""
+    lists = [["a", "b", "a"], [], ["c"], ["a"], ["b", "b"], [], [], ["x"] * 9, ["a", "x"], []]
+    ids = [1, 1, 1, 2, 2, None, None, None, 3, 4]
+    batch = pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(lists, pa.list_(pa.string()))], ["doc_id", "words"])
+    wanted = Counter((i, w) for i, ws in zip(ids, lists) for w in ws)
+    hashed = Counter()
+    for (i, w), n in wanted.items():
+        hashed[i, int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 7] += n
+    for most in (1, 2, 4, 100):
+        for cut in (0, 3, 7):
+            halves = [batch.slice(0, cut), batch.slice(cut)]
+            rows = [r for out in text._count_words(None)(iter(halves), most) for r in out.to_pylist()]
+            assert sorted((str(r["doc_id"]), r["token"], r["n"]) for r in rows) == sorted((str(i), w, n) for (i, w), n in wanted.items())
+            packed = [r for out in text._count_words(7)(iter(halves), most) for r in out.to_pylist()]
+            assert sorted((str(r["doc_id"]), t["bucket"], t["tf"]) for r in packed for t in r["terms"]) == sorted((str(i), b, n) for (i, b), n in hashed.items())
+
+    def held(texts: int) -> int:
+        words = pa.array([["w%d" % (i % 997) for i in range(500)]] * texts, pa.list_(pa.string()))
+        large = pa.RecordBatch.from_arrays([pa.array(range(texts), pa.int64()), words], ["doc_id", "words"])
+        tracemalloc.start()
+        assert sum(out.num_rows for out in text._count_words(1000)(iter([large]))) == texts
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return peak
+
+    assert held(9000) < 1.3 * held(3000)
+
+
 def test_counting_keeps_no_table_of_all_words(docs):
     """One shuffle of the texts, then rows pass: an aggregation would hold all words of a task, or spill them."""
     for frame in (text.document_counts(docs, 3), text.hashed_tf(docs)):
