@@ -12,9 +12,19 @@ from opinara.operators.rowids import Numbered, number_rows
 from opinara.operators.text import RARE_TOKEN_THRESHOLD, document_counts
 from opinara.sources.state import Stored, bucket_by_bucket, store, store_bucketed
 
-# A side is broadcast only below this estimate of its size on an executor.
+# The tables that a plan broadcasts are together below this estimate of their size on an executor, and below this
+# part of the driver's heap, which holds each beside the rows it came from, the blocks it sends and those of before.
 BROADCAST_BYTES = 256 << 20
+_HEAP_PARTS = 8
+# Of a row that numbers find, and of one that its token finds, which is key and row at once.
 _ROW_OVERHEAD = 64
+_TOKEN_OVERHEAD = 160
+
+
+def broadcast_limit(frame: DataFrame) -> int:
+    """How many bytes a plan may broadcast in the session of ``frame``."""
+    heap = frame.sparkSession._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    return min(BROADCAST_BYTES, heap // _HEAP_PARTS)
 
 
 @dataclass
@@ -32,19 +42,28 @@ class Vocabulary:
     numbered: Numbered | None = None
     heads: dict[int, int] = field(default_factory=dict)
 
-    def head(self, row_bytes: int = 0, limit: int = BROADCAST_BYTES) -> int:
+    def head(self, row_bytes: int = 0, limit: int | None = None) -> int:
         """How many leading words fit into a broadcast.
 
         ``row_bytes`` counts the payload besides the row overhead; with 0 the
         measured length of the tokens is used.
         """
+        limit = broadcast_limit(self.frame) if limit is None else limit
         if row_bytes:
             return min(self.size, limit // (row_bytes + _ROW_OVERHEAD))
         if limit not in self.heads:
-            costs = [part["bytes"] + _ROW_OVERHEAD * part["rows"] for part in self.numbered.parts]
-            self.heads[limit] = self.numbered.leading(F.octet_length("token") + _ROW_OVERHEAD, costs, limit)
+            self.heads[limit] = self.numbered.leading(F.octet_length("token") + _TOKEN_OVERHEAD, self._costs(), limit)
         return self.heads[limit]
 
+    def broadcast_size(self, row_bytes: int = 0) -> int:
+        """The estimate that ``head`` cuts, of all words."""
+        if row_bytes:
+            return self.size * (row_bytes + _ROW_OVERHEAD)
+        return sum(self._costs())
+
+    def _costs(self) -> list[int]:
+        return [part["bytes"] + _TOKEN_OVERHEAD * part["rows"] for part in self.numbered.parts]
+
     def drop(self) -> None:
         if self.numbered:
             self.numbered.stored.drop()
@@ -66,7 +85,7 @@ def build_vocabulary(counts: DataFrame) -> Vocabulary:
     )
 
 
-def lookup_words(counts: DataFrame, vocabulary: Vocabulary, limit: int = BROADCAST_BYTES, buckets: int | None = None) -> DataFrame:
+def lookup_words(counts: DataFrame, vocabulary: Vocabulary, limit: int | None = None, buckets: int | None = None) -> DataFrame:
     """Add ``word_id`` to rows with a ``token``; rows outside the vocabulary go.  ``buckets`` as in ``join_words``."""
     head = vocabulary.head(limit=limit)
     words = vocabulary.frame.select("token", "word_id")
@@ -79,7 +98,7 @@ def lookup_words(counts: DataFrame, vocabulary: Vocabulary, limit: int = BROADCA
     return frequent.unionByName(found.repartition(buckets, "doc_id") if buckets else found)
 
 
-def bag_of_words(docs: DataFrame, vocabulary: Vocabulary, limit: int = BROADCAST_BYTES) -> DataFrame:
+def bag_of_words(docs: DataFrame, vocabulary: Vocabulary, limit: int | None = None) -> DataFrame:
     """(doc_id, token, n) of (doc_id, text) rows; words outside the vocabulary are dropped."""
     counts = document_counts(docs, choose_buckets(docs.select("doc_id", "text")))
     return lookup_words(counts, vocabulary, limit).select("doc_id", "token", "n")
@@ -99,7 +118,7 @@ class Corpus:
     bow: DataFrame
     buckets: int
     length: int
-    broadcast_bytes: int = BROADCAST_BYTES
+    broadcast_bytes: int
     owned: list[Stored] = field(default_factory=list)
     words: DataFrame | None = None
 
@@ -110,18 +129,29 @@ class Corpus:
         self.owned = []
 
 
-def join_words(rows: DataFrame, by_word: DataFrame, head: int, size: int, buckets: int | None = None) -> DataFrame:
+def join_words(
+    rows: DataFrame, by_word: DataFrame, head: int, size: int, buckets: int | None = None, by_document: DataFrame | None = None
+) -> DataFrame:
     """Join rows with a table keyed by ``word_id``: frequent words by broadcast, rare words by shuffle.
 
     With ``buckets`` the rare ones go back to their documents, so that none of the rows has left its bucket.
+    They meet ``by_document``, a table keyed by ``doc_id`` in those buckets, where nothing of it has to move on.
     """
+
+    def beside(part: DataFrame) -> DataFrame:
+        return part if by_document is None else part.join(by_document.hint("shuffle_hash"), "doc_id")
+
     if head >= size:
-        return rows.join(F.broadcast(by_word), "word_id")
-    frequent = rows.where(F.col("word_id") < head).join(
+        return beside(rows).join(F.broadcast(by_word), "word_id")
+    frequent = beside(rows.where(F.col("word_id") < head)).join(
         F.broadcast(by_word.where(F.col("word_id") < head)), "word_id"
     )
-    rare = rows.where(F.col("word_id") >= head).join(by_word.where(F.col("word_id") >= head), "word_id")
-    return frequent.unionByName(rare.repartition(buckets, "doc_id") if buckets else rare)
+    rare, rare_words = rows.where(F.col("word_id") >= head), by_word.where(F.col("word_id") >= head)
+    if buckets:
+        rare = beside(rare.join(rare_words, "word_id").repartition(buckets, "doc_id"))
+    else:
+        rare = beside(rare).join(rare_words, "word_id")
+    return frequent.unionByName(rare)
 
 
 def _assemble(
@@ -155,7 +185,7 @@ def build_corpus(
     docs: DataFrame,
     threshold: int = RARE_TOKEN_THRESHOLD,
     vocabulary: Vocabulary | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int | None = None,
     buckets: int | None = None,
 ) -> Corpus:
     """Corpus of (doc_id, text) rows with unique ids.
@@ -166,6 +196,7 @@ def build_corpus(
     new documents into a fitted model.
     """
     buckets = buckets or choose_buckets(docs.select("doc_id", "text"))
+    broadcast_bytes = broadcast_limit(docs) if broadcast_bytes is None else broadcast_bytes
     counts = document_counts(docs, buckets)
     if vocabulary is not None:
         corpus = _assemble(counts, docs, vocabulary, buckets, broadcast_bytes, partitioned=True)
@@ -185,12 +216,13 @@ def corpus_from_counts(
     ids: DataFrame | None = None,
     threshold: int = 0,
     vocabulary: Vocabulary | None = None,
-    broadcast_bytes: int = BROADCAST_BYTES,
+    broadcast_bytes: int | None = None,
     buckets: int | None = None,
 ) -> Corpus:
     """Corpus of ready (doc_id, token, n) rows; ``ids`` adds documents without words."""
     if vocabulary is None:
         vocabulary = build_vocabulary(_above(counts, threshold))
+    broadcast_bytes = broadcast_limit(counts) if broadcast_bytes is None else broadcast_bytes
     ids = counts.select("doc_id").distinct() if ids is None else ids
     buckets = buckets or choose_buckets(counts)
     return _assemble(counts, ids, vocabulary, buckets, broadcast_bytes, partitioned=False)

@@ -5,6 +5,9 @@ from the tables of the round before, so for a few rounds it is worked out where
 the bag is read; then the bag is written anew with the word's unnormalised noise
 ``x``, in the same buckets.  The noise is ``x * s``, with ``s`` kept in the
 document's row.
+
+Noise that is not written reads the word tables of its rounds, each by a broadcast.
+It is written before a pass whose broadcasts would pass the limit together.
 """
 
 from __future__ import annotations
@@ -60,7 +63,7 @@ class RobustPlsa(Plsa):
         run.go(frozen=True)
         run.write_noise()
         return FoldIn(
-            run.theta.select("doc_id", *run.ts()), run.perplexities, run.noise(), run.background(), run.kept()
+            run.theta.select("doc_id", *run.ts()), run.perplexities, run.noise, run.background(), run.kept()
         )
 
     def _start(self, corpus: Corpus, phi: Stored | DataFrame) -> "_RobustRun":
@@ -72,7 +75,7 @@ class RobustPlsa(Plsa):
         model.word_phi = run.phi.drop("bg")
         model.word_background = run.phi.select("word_id", "bg")
         model.background = run.background()
-        model.noise = run.noise()
+        model.noise_of = run.noise
         model.last_run = run
         return model
 
@@ -143,13 +146,18 @@ class _RobustRun(_Run):
 
     def begin_round(self) -> None:
         # Rows that met their rare words by shuffle are beside their documents again only once they are written.
-        if self.unwritten >= (_UNWRITTEN_ROUNDS if self.head >= self.corpus.vocabulary.size else 1):
+        if self.unwritten >= _UNWRITTEN_ROUNDS or not self.fits(self.unwritten + 1):
             self.write_noise()
 
     def begin_last_pass(self) -> None:
-        if self.head < self.corpus.vocabulary.size:
+        if not self.fits(self.unwritten + 1):
             self.write_noise()
 
+    def fits(self, tables: int) -> bool:
+        """Whether so many rounds' probabilities of all words fit a broadcast together."""
+        vocabulary = self.corpus.vocabulary
+        return tables * vocabulary.broadcast_size(_row_bytes(self.trainer.topics + 1)) <= self.corpus.broadcast_bytes
+
     def advance(self, theta: Stored, sums: Stored | None, phi: DataFrame | None) -> None:
         if not self.unwritten and not self.weights_table:
             self.read = [table.keep() for table in self.corpus.owned]

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import sys
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 
 from opinara.functions.numeric import add, ratio_or
 from opinara.functions.text import hash_unit
-from opinara.operators.corpus import BROADCAST_BYTES, Corpus, Vocabulary, build_corpus, join_words
+from opinara.operators.corpus import Corpus, Vocabulary, build_corpus, join_words
 from opinara.operators.priors import Prior, UniformPrior
 from opinara.sources.state import Stored, store, store_bucketed, together
 
@@ -49,10 +50,15 @@ class FoldIn:
 
     theta: DataFrame
     perplexities: list[float]
-    noise: DataFrame | None = None
+    noise_of: Callable[[], DataFrame] | None = None
     background: DataFrame | None = None
     owned: list[Stored] = field(default_factory=list)
 
+    @property
+    def noise(self) -> DataFrame | None:
+        """(doc_id, token, noise) of the robust kind; who asks for it may have it written."""
+        return self.noise_of() if self.noise_of else None
+
     @property
     def perplexity(self) -> DataFrame:
         """(iteration, perplexity), from before the first round to after the last."""
@@ -74,7 +80,7 @@ class TopicModel(FoldIn):
     word_phi: DataFrame = None
     word_background: DataFrame | None = None
     last_run: object = None
-    broadcast_bytes: int = BROADCAST_BYTES
+    broadcast_bytes: int | None = None
 
     def transform(self, docs: DataFrame, background: str = "reestimate") -> FoldIn:
         """Topic mixtures of new (doc_id, text) rows under the fitted phi."""
@@ -195,11 +201,10 @@ class _Run:
 
     def rows(self, buckets: int | None = None) -> DataFrame:
         """The bag of words with theta, phi and ``z``, the probability of the word in the document; see ``join_words``."""
-        with_theta = self.bag.join(self.theta.hint("shuffle_hash"), "doc_id")
         # Of few new documents the words are few, however many the model has.
         words = self.corpus.words
         phi = self.phi if words is None else self.phi.join(words, "word_id", "left_semi")
-        joined = join_words(with_theta, phi, self.head, self.corpus.vocabulary.size, buckets)
+        joined = join_words(self.bag, phi, self.head, self.corpus.vocabulary.size, buckets, self.theta)
         return joined.withColumn("z", self.mixture())
 
     @staticmethod

@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from opinara.operators import corpus as corpus_module
 from opinara.operators import robust
 from opinara.operators.corpus import build_corpus, build_vocabulary, corpus_from_counts
 from opinara.operators.priors import Decorrelation, Prior, SymmetricDirichlet, UniformPrior
@@ -281,3 +282,42 @@ def test_the_bag_is_written_bucket_by_bucket(docs):
     assert len(names) > 5 and all(int(n.split("-")[1]) == int(n.rsplit("_", 1)[1].split(".")[0]) for n in names)
     assert built.bow.agg(F.sum("n")).first()[0] == built.length
     built.drop()
+
+
+def room_for(built, tables):
+    """Room for the word tables of so many rounds in what a plan broadcasts."""
+    built.broadcast_bytes = tables * built.vocabulary.size * (8 * (K + 3) + 64)
+
+
+def watch_writes(monkeypatch):
+    names, written = [], robust.store_bucketed
+
+    def watched(frame, name, *others):
+        names.append(name)
+        return written(frame, name, *others)
+
+    monkeypatch.setattr(robust, "store_bucketed", watched)
+    return names
+
+
+def test_broadcasts_are_bounded_by_the_heap_of_the_driver(spark, docs, monkeypatch):
+    heap = spark._jvm.java.lang.Runtime.getRuntime().maxMemory()
+    monkeypatch.setattr(corpus_module, "_HEAP_PARTS", heap // 2000)
+    small = build_corpus(docs, threshold=0)
+    assert 2000 <= small.broadcast_bytes < 2002
+    assert 0 < small.vocabulary.head() < small.vocabulary.size
+    assert small.bow.agg(F.sum("n")).first()[0] == small.length
+
+
+def test_a_pass_broadcasts_the_words_of_no_more_rounds_than_fit_together(docs, monkeypatch):
+    built = build_corpus(docs, threshold=0)
+    names = watch_writes(monkeypatch)
+    found = {}
+    for tables, wanted in ((3, []), (2, ["weights"]), (1, ["weights", "weights"])):
+        room_for(built, tables)
+        found[tables] = RobustPlsa(K, 2).fit(built)
+        assert names == wanted
+        names.clear()
+    for other in (found[2], found[1]):
+        assert other.perplexities == pytest.approx(found[3].perplexities)
+        close(thetas(other), thetas(found[3]))
