@@ -7,7 +7,7 @@ the bag is read; then the bag is written anew with the word's unnormalised noise
 document's row.
 
 Noise that is not written reads the word tables of its rounds, each by a broadcast.
-It is written before a pass whose broadcasts would pass the limit together.
+It is written before a pass or a result whose broadcasts would pass the limit together.
 """
 
 from __future__ import annotations
@@ -79,11 +79,19 @@ class RobustPlsa(Plsa):
         model.last_run = run
         return model
 
+    @staticmethod
+    def _settled(model: TopicModel, names: bool = False) -> "_RobustRun":
+        """The run of the fit, its noise fit for a pass over the bag, or with ``names`` for one that only names the words."""
+        run = model.last_run
+        if run.unwritten and not run.fits(run.unwritten + (not names), names):
+            model.owned.append(run.settle())
+        return run
+
     def log_likelihood(self, corpus: Corpus, model: TopicModel) -> DataFrame:
         """With the noise and background of the last round, which belong to the corpus that was fitted to."""
         if model.last_run is None or model.last_run.corpus is not corpus:
             raise ValueError("noise is known for the corpus of the fit only")
-        return model.last_run.document_likelihoods()
+        return self._settled(model).document_likelihoods()
 
 
 class _RobustRun(_Run):
@@ -153,10 +161,11 @@ class _RobustRun(_Run):
         if not self.fits(self.unwritten + 1):
             self.write_noise()
 
-    def fits(self, tables: int) -> bool:
-        """Whether so many rounds' probabilities of all words fit a broadcast together."""
+    def fits(self, tables: int, names: bool = False) -> bool:
+        """Whether so many rounds' probabilities of all words fit a broadcast together, with the words' ``names`` also beside these."""
         vocabulary = self.corpus.vocabulary
-        return tables * vocabulary.broadcast_size(_row_bytes(self.trainer.topics + 1)) <= self.corpus.broadcast_bytes
+        size = tables * vocabulary.broadcast_size(_row_bytes(self.trainer.topics + 1))
+        return size + (vocabulary.broadcast_size() if names else 0) <= self.corpus.broadcast_bytes
 
     def advance(self, theta: Stored, sums: Stored | None, phi: DataFrame | None) -> None:
         if not self.unwritten and not self.weights_table:
@@ -183,6 +192,12 @@ class _RobustRun(_Run):
             table.drop()
         self.weights_table, self.bag, self.read, self.unwritten = written, written.frame, [], 0
 
+    def settle(self) -> Stored:
+        """Write the noise of a finished run; what it was worked out from stays, since results may read it."""
+        self.read, self.weights_table = [], None
+        self.write_noise()
+        return self.weights_table
+
     # -- results ---------------------------------------------------------------
 
     def noise(self) -> DataFrame:

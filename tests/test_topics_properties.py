@@ -321,3 +321,22 @@ def test_a_pass_broadcasts_the_words_of_no_more_rounds_than_fit_together(docs, m
     for other in (found[2], found[1]):
         assert other.perplexities == pytest.approx(found[3].perplexities)
         close(thetas(other), thetas(found[3]))
+
+
+def test_likelihoods_of_documents_broadcast_no_more_than_fits_together(docs, monkeypatch):
+    built = build_corpus(docs, threshold=0)
+    trainer = RobustPlsa(K, 2, perplexity=False)
+    whole = trainer.fit(built)
+    wanted = {r.doc_id: [r.loglik] for r in whole.log_likelihood(built).collect()}
+    names = watch_writes(monkeypatch)
+    room_for(built, 2)
+    model = trainer.fit(built)
+    assert names == []
+    close({r.doc_id: [r.loglik] for r in model.log_likelihood(built).collect()}, wanted)
+    assert names == ["weights"]
+    paths = [table.path.removeprefix("file:") for table in model.owned]
+    assert all(map(os.path.exists, paths))
+    model.drop()
+    built.drop()
+    whole.drop()
+    assert not any(map(os.path.exists, paths))
