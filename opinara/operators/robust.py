@@ -75,7 +75,7 @@ class RobustPlsa(Plsa):
         model.word_phi = run.phi.drop("bg")
         model.word_background = run.phi.select("word_id", "bg")
         model.background = run.background()
-        model.noise_of = run.noise
+        model.noise_of = lambda: self._settled(model, names=True).noise()
         model.last_run = run
         return model
 

@@ -340,3 +340,26 @@ def test_likelihoods_of_documents_broadcast_no_more_than_fits_together(docs, mon
     built.drop()
     whole.drop()
     assert not any(map(os.path.exists, paths))
+
+
+def test_noise_is_written_where_words_and_names_do_not_fit_together(docs, monkeypatch):
+    built = build_corpus(docs, threshold=0)
+    trainer = RobustPlsa(K, 2, perplexity=False)
+    names = watch_writes(monkeypatch)
+
+    def noise(model):
+        return {(r.doc_id, r.token): [r.noise] for r in model.noise.collect()}
+
+    wanted = noise(trainer.fit(built))
+    assert names == []
+    room_for(built, 2)
+    model = trainer.fit(built)
+    assert names == []
+    close(noise(model), wanted)
+    assert names == ["weights"]
+    close(noise(model), wanted)
+    assert names == ["weights"]
+    path = model.owned[-1].path.removeprefix("file:")
+    assert "weights" in path and os.path.exists(path)
+    model.drop()
+    assert not os.path.exists(path)
